@@ -354,3 +354,113 @@ FROM u""")
 @query("insights", INSIGHTS_SQL)
 def q_insights(spark, sf_dir):
     return ins.insights(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+
+
+# ---------------------------------------------------------------- J1-J4, W4-W8, U2
+from ..operators import compare as cmp  # noqa: E402
+
+PREV_PERIOD, CURR_PERIOD = 1996, 1997
+
+UP_ITEMS_SQL = """items AS (SELECT store_id, period, item_name, sum(quantity) AS q
+                  FROM sales GROUP BY store_id, period, item_name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY store_id, period ORDER BY q DESC, item_name) AS rk FROM items)"""
+
+FIXED_PAIRS_SQL = f"""pairs AS (SELECT store_id, {PREV_PERIOD} AS prev_upload, {CURR_PERIOD} AS curr_upload FROM sales
+                  WHERE period IN ({PREV_PERIOD}, {CURR_PERIOD}) GROUP BY store_id
+                  HAVING count(DISTINCT period) = 2)"""
+
+LAG_PAIRS_SQL = """ups AS (SELECT DISTINCT store_id, period FROM sales),
+pairs AS (SELECT store_id, prev_upload, curr_upload FROM (
+            SELECT store_id, period AS curr_upload,
+                   lag(period) OVER (PARTITION BY store_id ORDER BY period) AS prev_upload FROM ups)
+          WHERE prev_upload IS NOT NULL)"""
+
+
+def _panel_old_sql(pairs_sql: str) -> str:
+    return with_sales(UP_ITEMS_SQL + ",\n" + pairs_sql + f""",
+prev_top AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk AS prev_rank, {int_sql('r.q')} AS prev_qty
+             FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.prev_upload WHERE r.rk <= 5),
+curr_all AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk AS curr_rank, {int_sql('r.q')} AS curr_qty
+             FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.curr_upload)
+SELECT t.store_id, t.prev_upload, t.curr_upload, CAST(t.prev_rank AS INTEGER) AS prev_rank, t.item_name, t.prev_qty,
+       coalesce(c.curr_qty, 0) AS curr_qty,
+       CASE WHEN t.prev_qty = 0 THEN NULL
+            ELSE (CAST(coalesce(c.curr_qty, 0) AS DOUBLE) - CAST(t.prev_qty AS DOUBLE)) / CAST(t.prev_qty AS DOUBLE) * 100 END AS pct_change,
+       CASE WHEN c.curr_rank <= 5 THEN 'Still Top 5' ELSE 'Dropped from Top 5' END AS status
+FROM prev_top t LEFT JOIN curr_all c
+  ON c.store_id = t.store_id AND c.prev_upload = t.prev_upload AND c.curr_upload = t.curr_upload
+ AND c.item_name = t.item_name""")
+
+
+def _period_sales(spark, sf_dir):
+    return _sales(spark, sf_dir)
+
+
+@query("compare_panels_old", _panel_old_sql(FIXED_PAIRS_SQL))
+def q_compare_panels_old(spark, sf_dir):
+    s = _period_sales(spark, sf_dir)
+    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    return cmp.top_panels(s, pairs, STORE, "period", 5)[0]
+
+
+@query("compare_panels_new", with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + f"""
+SELECT p.store_id, p.prev_upload, p.curr_upload, CAST(r.rk AS INTEGER) AS curr_rank, r.item_name,
+       {int_sql('r.q')} AS curr_qty
+FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.curr_upload WHERE r.rk <= 5"""))
+def q_compare_panels_new(spark, sf_dir):
+    s = _period_sales(spark, sf_dir)
+    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    return cmp.top_panels(s, pairs, STORE, "period", 5)[1]
+
+
+@query("compare_successive_periods", _panel_old_sql(LAG_PAIRS_SQL))
+def q_compare_successive_periods(spark, sf_dir):
+    s = _period_sales(spark, sf_dir)
+    pairs = cmp.successive_pairs(s, STORE, "period")
+    return cmp.top_panels(s, pairs, STORE, "period", 5)[0]
+
+
+@query("full_comparison", with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + f""",
+pv AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk, {int_sql('r.q')} AS qty
+       FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.prev_upload),
+cu AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk, {int_sql('r.q')} AS qty
+       FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.curr_upload),
+j AS (SELECT coalesce(pv.store_id, cu.store_id) AS store_id, coalesce(pv.prev_upload, cu.prev_upload) AS prev_upload,
+             coalesce(pv.curr_upload, cu.curr_upload) AS curr_upload, coalesce(pv.item_name, cu.item_name) AS item_name,
+             coalesce(pv.qty, 0) AS previous, coalesce(cu.qty, 0) AS current,
+             CAST(pv.rk AS INTEGER) AS prev_rank, CAST(cu.rk AS INTEGER) AS curr_rank
+      FROM pv FULL OUTER JOIN cu ON pv.store_id = cu.store_id AND pv.item_name = cu.item_name
+       AND pv.prev_upload = cu.prev_upload AND pv.curr_upload = cu.curr_upload)
+SELECT *, CASE WHEN previous = 0 THEN NULL
+               ELSE (CAST(current AS DOUBLE) - CAST(previous AS DOUBLE)) / CAST(previous AS DOUBLE) * 100 END AS percent_change,
+       prev_rank - curr_rank AS rank_change
+FROM j"""))
+def q_full_comparison(spark, sf_dir):
+    s = _period_sales(spark, sf_dir)
+    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    return cmp.full_comparison(s, pairs, STORE, "period")
+
+
+def _set_sql(kind: str) -> str:
+    base = with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + """,
+pt AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, CAST(r.rk AS INTEGER) AS rank
+       FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.prev_upload WHERE r.rk <= 5),
+ct AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, CAST(r.rk AS INTEGER) AS rank
+       FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.curr_upload WHERE r.rk <= 5)
+""")
+    a, b, neg = {"kept": ("pt", "ct", ""), "dropped": ("pt", "ct", "NOT"),
+                 "entered": ("ct", "pt", "NOT")}[kind]
+    return base + f"""SELECT * FROM {a} x WHERE {neg} EXISTS (
+  SELECT 1 FROM {b} y WHERE y.store_id = x.store_id AND y.item_name = x.item_name)"""
+
+
+def _set_query(kind: str):
+    def fn(spark, sf_dir):
+        s = _period_sales(spark, sf_dir)
+        pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+        return cmp.top_sets(s, pairs, STORE, "period", 5)[kind]
+    return fn
+
+
+for _kind in ("kept", "dropped", "entered"):
+    query(f"{_kind}_items", _set_sql(_kind))(_set_query(_kind))
