@@ -464,3 +464,183 @@ def _set_query(kind: str):
 
 for _kind in ("kept", "dropped", "entered"):
     query(f"{_kind}_items", _set_sql(_kind))(_set_query(_kind))
+
+
+# ---------------------------------------------------------------- X13-X15, T3, T4
+from ..operators import events as ev  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+# How driver events stand in for progress events of a reply stream.
+EVENT_STATUS = {"view": "connecting", "click": "generating", "purchase": "streaming",
+                "signup": "processing"}
+EVENT_MESSAGE = {"connecting": ev.TEXT_CONNECTING, "generating": ev.TEXT_GENERATING,
+                 "processing": ev.TEXT_PROCESSING}
+FRAMES_PER_CHUNK = 4
+
+
+def progress_events(spark, sf_dir) -> DataFrame:
+    """One progress event per driver event: request = user, sequence = event id."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    status = F.create_map(*[F.lit(x) for kv in EVENT_STATUS.items() for x in kv])[F.col("event_type")]
+    message = F.create_map(*[F.lit(x) for kv in EVENT_MESSAGE.items() for x in kv])[status]
+    return e.select(
+        F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts",
+        status.alias("status"), message.alias("message"),
+        F.when(status == "streaming", F.floor(F.col("value") * 100).cast("bigint")).alias("partial"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("Error: upstream "), F.col("props"))).alias("error"))
+
+
+PROGRESS_SQL = """pe AS (
+  SELECT user_id AS request_id, event_id AS seq, ts,
+         CASE event_type WHEN 'view' THEN 'connecting' WHEN 'click' THEN 'generating'
+                         WHEN 'purchase' THEN 'streaming' WHEN 'signup' THEN 'processing' END AS status,
+         CASE event_type WHEN 'view' THEN 'Connecting to AI...' WHEN 'click' THEN 'Generating marketing content...'
+                         WHEN 'signup' THEN 'Processing response...' END AS message,
+         CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 100) AS BIGINT) END AS partial,
+         CASE WHEN event_type = 'error' THEN 'Error: upstream ' || props END AS error
+  FROM events)"""
+
+
+@query("event_frames", f"WITH {PROGRESS_SQL} SELECT request_id, seq, status, message, partial, error FROM pe")
+def q_event_frames(spark, sf_dir):
+    pe = progress_events(spark, sf_dir)
+    payload = F.to_json(F.struct("status", "message", "partial", "error", "request_id", "seq"))
+    # a network chunk carries up to FRAMES_PER_CHUNK consecutive frames of one request
+    framed = pe.select("request_id", F.floor(F.col("seq") / FRAMES_PER_CHUNK).alias("chunk_no"),
+                       "seq", ev.frame(payload).alias("frame"))
+    chunks = framed.groupBy("request_id", "chunk_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))),
+                                 lambda x: x["frame"]), "").alias("chunk"))
+    out = ev.decode_frames(chunks, "chunk", keep=["chunk_no"])
+    return out.select("request_id", "seq", "status", "message", "partial", "error")
+
+
+PROGRESS_TEXT_SQL = """CASE WHEN error IS NOT NULL THEN error
+  WHEN status = 'connecting' THEN 'Connecting to AI...'
+  WHEN status = 'generating' THEN 'Generating marketing content...'
+  WHEN status = 'streaming' THEN 'Generating content... (' || CAST(partial AS VARCHAR) || ' chars)'
+  WHEN status = 'processing' THEN 'Processing response...'
+  WHEN status = 'complete' THEN '' END"""
+
+
+@query("progress_text", f"WITH {PROGRESS_SQL} SELECT request_id, seq, {PROGRESS_TEXT_SQL} AS progress_text FROM pe")
+def q_progress_text(spark, sf_dir):
+    pe = progress_events(spark, sf_dir)
+    return pe.select("request_id", "seq", ev.progress_text("status", "partial", "error").alias("progress_text"))
+
+
+@query("latest_status", f"""WITH {PROGRESS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, seq DESC) AS rk,
+             count(*) OVER (PARTITION BY request_id) AS n_events FROM pe)
+SELECT request_id, n_events, seq, status, partial, error, {PROGRESS_TEXT_SQL} AS progress_text FROM r WHERE rk = 1""")
+def q_latest_status(spark, sf_dir):
+    pe = progress_events(spark, sf_dir).withColumn(
+        "progress_text", ev.progress_text("status", "partial", "error"))
+    return ev.latest_status(pe, ["request_id"], ["ts", "seq"],
+                            ["seq", "status", "partial", "error", "progress_text"])
+
+
+@query("reply_progress", """SELECT conv_id, turn, role,
+  sum(CAST(length(text) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS partial
+FROM conversations""")
+def q_reply_progress(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return ev.running_length(c, ["conv_id"], ["turn"], "text").drop("text")
+
+
+# Error texts the driver events stand in for.
+ERROR_TEXTS = {"view": "Error code: 401 - authentication failed for this key",
+               "click": "rate_limit_exceeded: too many requests",
+               "purchase": "The model does not exist or you do not have access",
+               "signup": "Connection error while calling the API"}
+
+
+def _error_sql_case() -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ERROR_TEXTS.items()) \
+        + " ELSE 'unexpected failure ' || props END"
+
+
+def _err_case_sql(variant: str) -> str:
+    m = "lower(message)"
+    if variant == "stream":
+        return f"""CASE WHEN contains({m}, 'authentication') OR contains({m}, 'api key') OR contains({m}, 'invalid_api_key')
+            THEN ['authentication', '{ev.ERR_AUTH}']
+          WHEN contains({m}, 'rate_limit') OR contains({m}, 'rate limit') THEN ['rate_limit', '{ev.ERR_RATE}']
+          WHEN contains({m}, 'model') AND (contains({m}, 'not found') OR contains({m}, 'does not exist'))
+            THEN ['model_not_found', 'Model ''' || model || ''' not found. Please check the model name.']
+          WHEN contains({m}, 'connection') THEN ['connection', '{ev.ERR_CONN}']
+          ELSE ['other', 'Error: ' || message] END"""
+    if variant == "plain":
+        return f"""CASE WHEN contains({m}, 'authentication') OR contains({m}, 'api key') THEN ['authentication', '{ev.ERR_AUTH_PLAIN}']
+          WHEN contains({m}, 'rate_limit') THEN ['rate_limit', '{ev.ERR_RATE}']
+          WHEN contains({m}, 'model') AND contains({m}, 'not found')
+            THEN ['model_not_found', 'Model ''' || model || ''' not found. Please use a valid model name.']
+          ELSE ['other', 'Error: ' || message] END"""
+    return f"""CASE WHEN contains({m}, 'authentication') OR contains({m}, 'api key') THEN ['authentication', '{ev.ERR_AUTH_SERVER}']
+          WHEN contains({m}, 'rate_limit') THEN ['rate_limit', '{ev.ERR_RATE_SERVER}']
+          WHEN contains({m}, 'model') AND contains({m}, 'not found') THEN ['model_not_found', '{ev.ERR_MODEL_SERVER}']
+          WHEN contains({m}, 'connection') THEN ['connection', '{ev.ERR_CONN}']
+          ELSE ['other', 'Error: ' || message] END"""
+
+
+@query("error_class", f"""WITH m AS (SELECT event_id, {_error_sql_case()} AS message,
+                                    'model-' || CAST(user_id AS VARCHAR) AS model FROM events),
+c AS (SELECT event_id, message, {_err_case_sql('stream')} AS s, {_err_case_sql('plain')} AS p,
+             {_err_case_sql('server')} AS v FROM m)
+SELECT event_id, message, s[1] AS stream_class, s[2] AS stream_message, p[1] AS plain_class,
+       p[2] AS plain_message, v[1] AS server_class, v[2] AS server_message FROM c""")
+def q_error_class(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    msg = F.coalesce(F.create_map(*[F.lit(x) for kv in ERROR_TEXTS.items() for x in kv])[F.col("event_type")],
+                     F.concat(F.lit("unexpected failure "), F.col("props")))
+    m = e.select("event_id", msg.alias("message"),
+                 F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("model"))
+    out = m.select("event_id", "message",
+                   ev.error_class("message", "model", "stream").alias("s"),
+                   ev.error_class("message", "model", "plain").alias("p"),
+                   ev.error_class("message", "model", "server").alias("v"))
+    return out.select("event_id", "message",
+                      F.col("s.error_class").alias("stream_class"), F.col("s.user_message").alias("stream_message"),
+                      F.col("p.error_class").alias("plain_class"), F.col("p.user_message").alias("plain_message"),
+                      F.col("v.error_class").alias("server_class"), F.col("v.user_message").alias("server_message"))
+
+
+# ---------------------------------------------------------------- F8-F13
+from ..functions import text as tx  # noqa: E402
+
+
+@query("currency_text", """SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(38,6)), 2) AS DOUBLE) AS acctbal,
+  CASE WHEN round(CAST(c_acctbal AS DECIMAL(38,6)), 2) < 0
+       THEN '-$' || format('{:,.2f}', abs(round(CAST(c_acctbal AS DECIMAL(38,6)), 2)))
+       ELSE '$' || format('{:,.2f}', round(CAST(c_acctbal AS DECIMAL(38,6)), 2)) END AS currency_text,
+  CASE WHEN c_acctbal > 0 THEN 'good' WHEN c_acctbal < 0 THEN 'bad' ELSE 'neutral' END AS balance_class
+FROM customer""")
+def q_currency_text(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return c.select("c_custkey", F.round(F.col("c_acctbal").cast("decimal(38,6)"), 2).cast("double").alias("acctbal"),
+                    tx.currency_text("c_acctbal").alias("currency_text"),
+                    tx.sign_class("c_acctbal").alias("balance_class"))
+
+
+@query("percent_text", """WITH o AS (
+  SELECT o_orderkey, o_custkey, o_totalprice,
+         lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
+p AS (SELECT *, CASE WHEN prev IS NULL OR prev = 0 THEN NULL ELSE (o_totalprice - prev) / prev * 100 END AS pct FROM o)
+SELECT o_orderkey, o_custkey, pct AS pct_change,
+       CASE WHEN pct IS NULL OR isnan(pct) THEN '—' ELSE (CASE WHEN pct > 0 THEN '+' ELSE '' END) || printf('%.1f', pct) || '%' END AS pct_text,
+       CASE WHEN pct > 0 THEN 'percent-good' WHEN pct < 0 THEN 'percent-bad' ELSE 'percent-neutral' END AS pct_class,
+       '$' || format('{:,.2f}', round(CAST(o_totalprice AS DECIMAL(38,6)), 2)) AS total_text
+FROM p""")
+def q_percent_text(spark, sf_dir):
+    from pyspark.sql import Window
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    p = o.withColumn("prev", F.lag("o_totalprice").over(w))
+    pct = F.when(F.col("prev").isNull() | (F.col("prev") == 0), F.lit(None).cast("double")) \
+        .otherwise((F.col("o_totalprice") - F.col("prev")) / F.col("prev") * 100)
+    p = p.withColumn("pct_change", pct)
+    return p.select("o_orderkey", "o_custkey", "pct_change",
+                    tx.signed_pct_text("pct_change").alias("pct_text"),
+                    tx.sign_class("pct_change", "percent-good", "percent-bad", "percent-neutral").alias("pct_class"),
+                    tx.money_text(F.col("o_totalprice").cast("decimal(38,6)")).alias("total_text"))
