@@ -74,6 +74,11 @@ def money_text_sql(x: str) -> str:
     return f"'$' || format('{{:,.2f}}', round({x}, 2))"
 
 
+def sq(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def with_sales(body: str) -> str:
     return f"WITH {SALES_CTE},\n{body}"
 
@@ -644,3 +649,205 @@ def q_percent_text(spark, sf_dir):
                     tx.signed_pct_text("pct_change").alias("pct_text"),
                     tx.sign_class("pct_change", "percent-good", "percent-bad", "percent-neutral").alias("pct_class"),
                     tx.money_text(F.col("o_totalprice").cast("decimal(38,6)")).alias("total_text"))
+
+
+# ---------------------------------------------------------------- X4-X12 reply tables
+from ..operators import replies as rp  # noqa: E402
+
+
+def _part(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+def _doc_parts():
+    """JSON pieces of a reply built from a part row (caption = part name …)."""
+    ig = F.to_json(F.struct(F.col("p_name").alias("caption"),
+                            F.array(F.concat(F.lit("#"), F.regexp_replace("p_brand", "#", "")),
+                                    F.concat(F.lit("#"), F.lower("p_type"))).alias("hashtags")))
+    tt = F.to_json(F.struct(F.concat("p_name", F.lit(" size "), F.col("p_size").cast("string")).alias("caption"),
+                            F.array(F.concat(F.lit("#"), F.lower("p_type"))).alias("hashtags")))
+    ideas = F.to_json(F.array(F.struct(F.concat(F.lit("Feature "), "p_name").alias("text"),
+                                       F.concat("p_brand", F.lit(" sells")).alias("reason"))))
+    return ig, tt, ideas
+
+
+def _doc(ig, tt, ideas):
+    return F.concat(F.lit('{"instagram": '), ig, F.lit(', "tiktok": '), tt,
+                    F.lit(', "promotion_ideas": '), ideas, F.lit("}"))
+
+
+def _wrap(j):
+    """Reply wrappers by row: fenced with tag, fenced plain, bare, unclosed fence."""
+    k = F.col("p_partkey") % 4
+    return (F.when(k == 0, F.concat(F.lit("Here you go:\n```json\n"), j, F.lit("\n```\nEnjoy")))
+            .when(k == 1, F.concat(F.lit("```\n"), j, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("  "), j, F.lit("\n")))
+            .otherwise(F.concat(F.lit("```json\n"), j)))
+
+
+def _content_cols(parsed: str = "r"):
+    c = F.col(f"{parsed}.content")
+    return [F.col(f"{parsed}.layout").alias("layout"), F.col(f"{parsed}.error").alias("error"),
+            c["instagram"]["caption"].alias("ig_caption"),
+            F.array_join(c["instagram"]["hashtags"], " ").alias("ig_hashtags"),
+            c["tiktok"]["caption"].alias("tt_caption"),
+            F.array_join(c["tiktok"]["hashtags"], " ").alias("tt_hashtags"),
+            tx.join_idea_texts(c["promotion_ideas"]).alias("idea_texts")]
+
+
+EXPECTED_CURRENT_SQL = """SELECT p_partkey, 'current' AS layout, CAST(NULL AS VARCHAR) AS error, p_name AS ig_caption,
+       '#' || replace(p_brand, '#', '') || ' #' || lower(p_type) AS ig_hashtags,
+       p_name || ' size ' || CAST(p_size AS VARCHAR) AS tt_caption, '#' || lower(p_type) AS tt_hashtags,
+       'Feature ' || p_name AS idea_texts FROM part"""
+
+
+@query("reply_parse", EXPECTED_CURRENT_SQL)
+def q_reply_parse(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    text = _wrap(_doc(*_doc_parts()))
+    return rp.parse_replies(p.select("p_partkey", text.alias("t")), "t", "r").select("p_partkey", *_content_cols())
+
+
+def _json_string(j):
+    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(j, r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"'))
+
+
+@query("reply_double_encoded", EXPECTED_CURRENT_SQL)
+def q_reply_double_encoded(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    text = _wrap(_json_string(_doc(*_doc_parts())))
+    return rp.parse_replies(p.select("p_partkey", text.alias("t")), "t", "r").select("p_partkey", *_content_cols())
+
+
+@query("reply_nested_caption", EXPECTED_CURRENT_SQL)
+def q_reply_nested_caption(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    inner = _doc(*_doc_parts())
+    outer = F.concat(F.lit('{"instagram": {"caption": '), _json_string(F.concat(F.lit(" "), inner)),
+                     F.lit(', "hashtags": []}, "tiktok": {"caption": "", "hashtags": []}, "promotion_ideas": []}'))
+    return rp.parse_replies(p.select("p_partkey", _wrap(outer).alias("t")), "t", "r") \
+        .select("p_partkey", *_content_cols())
+
+
+@query("reply_legacy", """WITH t AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_size % 3 AS nc,
+         list_slice(list_transform(range(1, 11), lambda i: '#' || lower(p_type) || CAST(i AS VARCHAR)), 1, p_size % 11) AS tags
+  FROM part)
+SELECT p_partkey, 'legacy' AS layout, CAST(NULL AS VARCHAR) AS error,
+       CASE WHEN nc >= 1 THEN p_name ELSE 'Check out our delicious food!' END AS ig_caption,
+       array_to_string(list_slice(tags, 1, 8), ' ') AS ig_hashtags,
+       CASE WHEN nc >= 2 THEN p_name || ' video' WHEN nc = 1 THEN p_name ELSE 'This food is amazing!' END AS tt_caption,
+       array_to_string(list_slice(tags, 1, 3), ' ') AS tt_hashtags,
+       'Feature ' || p_name AS idea_texts
+FROM t""")
+def q_reply_legacy(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    caps = F.slice(F.array(F.col("p_name"), F.concat("p_name", F.lit(" video"))), 1, F.col("p_size") % 3)
+    tags = F.slice(F.transform(F.sequence(F.lit(1), F.lit(10)),
+                               lambda i: F.concat(F.lit("#"), F.lower("p_type"), i.cast("string"))),
+                   1, F.col("p_size") % 11)
+    ideas = F.array(F.struct(F.concat(F.lit("Feature "), "p_name").alias("text"),
+                             F.concat("p_brand", F.lit(" sells")).alias("reason")))
+    doc = F.to_json(F.struct(caps.alias("captions"), tags.alias("hashtags"), ideas.alias("promotion_ideas")))
+    return rp.parse_replies(p.select("p_partkey", _wrap(doc).alias("t")), "t", "r") \
+        .select("p_partkey", *_content_cols())
+
+
+VALIDATE_FAULTS = 12
+
+
+@query("reply_validate", f"""SELECT p_partkey, CASE p_partkey % {VALIDATE_FAULTS}
+    WHEN 0 THEN NULL WHEN 1 THEN '{rp.ERR_IG_OBJ}' WHEN 2 THEN '{rp.ERR_TT_OBJ}' WHEN 3 THEN '{rp.ERR_IG_KEYS}'
+    WHEN 4 THEN '{rp.ERR_IG_CAP}' WHEN 5 THEN '{rp.ERR_IG_TAGS}' WHEN 6 THEN '{rp.ERR_TT_CAP}'
+    WHEN 7 THEN 'tiktok caption contains embedded JSON instead of plain caption text'
+    WHEN 8 THEN '{rp.ERR_IDEA_OBJ}' WHEN 9 THEN '{rp.ERR_IDEA_KEYS}' WHEN 10 THEN '{rp.ERR_LAYOUT}'
+    ELSE '{rp.ERR_JSON}' END AS error,
+  CASE WHEN p_partkey % {VALIDATE_FAULTS} = 0 THEN p_name END AS ig_caption
+FROM part""")
+def q_reply_validate(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    ig, tt, ideas = _doc_parts()
+    k = F.col("p_partkey") % VALIDATE_FAULTS
+    name_json = F.to_json(F.array("p_name")).substr(F.lit(2), F.length(F.to_json(F.array("p_name"))) - 2)
+    ig_v = (F.when(k == 1, name_json)
+            .when(k == 3, F.concat(F.lit('{"caption": '), name_json, F.lit("}")))
+            .when(k == 4, F.concat(F.lit('{"caption": '), F.col("p_size").cast("string"), F.lit(', "hashtags": []}')))
+            .when(k == 5, F.concat(F.lit('{"caption": '), name_json, F.lit(', "hashtags": "#x"}')))
+            .otherwise(ig))
+    tt_v = (F.when(k == 2, F.lit("[]"))
+            .when(k == 6, F.concat(F.lit('{"caption": '), F.col("p_size").cast("string"), F.lit(', "hashtags": []}')))
+            .when(k == 7, F.lit('{"caption": " {\\"instagram\\": 1}", "hashtags": []}'))
+            .otherwise(tt))
+    ideas_v = (F.when(k == 8, F.to_json(F.array("p_name")))
+               .when(k == 9, F.to_json(F.array(F.struct(F.col("p_name").alias("text")))))
+               .otherwise(ideas))
+    doc = F.when(k == 10, F.concat(F.lit('{"instagram": '), ig, F.lit(', "tiktok": '), tt, F.lit("}"))) \
+        .otherwise(_doc(ig_v, tt_v, ideas_v))
+    text = F.when(k == 11, F.concat(F.lit("```json\n"), F.substring(doc, 1, 20))).otherwise(_wrap(doc))
+    r = rp.parse_replies(p.select("p_partkey", text.alias("t")), "t", "r")
+    return r.select("p_partkey", F.col("r.error").alias("error"),
+                    F.col("r.content.instagram.caption").alias("ig_caption"))
+
+
+API_FAULTS = 8
+
+
+@query("reply_api_validate", f"""SELECT p_partkey, CASE p_partkey % {API_FAULTS}
+    WHEN 0 THEN NULL WHEN 1 THEN {sq(rp.ERR_API_ACTIONS)} WHEN 2 THEN {sq(rp.ERR_API_ACTIONS)}
+    WHEN 3 THEN {sq(rp.ERR_API_IG)} WHEN 4 THEN {sq(rp.ERR_API_TT)} WHEN 5 THEN 'Missing ''caption'' in instagram'
+    WHEN 6 THEN 'Missing or invalid ''hashtags'' in tiktok' ELSE '{rp.ERR_JSON}' END AS error,
+  CASE WHEN p_partkey % {API_FAULTS} = 0 THEN 2 END AS n_actions,
+  CASE WHEN p_partkey % {API_FAULTS} = 0 THEN p_name END AS ig_caption
+FROM part""")
+def q_reply_api_validate(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    ig, tt, _ = _doc_parts()
+    k = F.col("p_partkey") % API_FAULTS
+    acts = F.to_json(F.array(F.concat(F.lit("Promote "), "p_name"), F.concat(F.lit("Bundle "), "p_type")))
+    acts_v = F.when(k == 2, F.lit('"do it"')).otherwise(acts)
+    ig_v = F.when(k == 5, F.lit('{"hashtags": []}')).otherwise(ig)
+    tt_v = F.when(k == 4, F.lit('"tiktok"')).when(k == 6, F.lit('{"caption": "c", "hashtags": "#a"}')).otherwise(tt)
+    parts = [F.when(k != 1, F.concat(F.lit('"recommended_actions": '), acts_v)),
+             F.when(k != 3, F.concat(F.lit('"instagram": '), ig_v)),
+             F.concat(F.lit('"tiktok": '), tt_v)]
+    doc = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    text = F.when(k == 7, F.substring(doc, 1, 15)).otherwise(_wrap(doc))
+    r = rp.parse_api_replies(p.select("p_partkey", text.alias("t")), "t", "r")
+    return r.select("p_partkey", F.col("r.error").alias("error"),
+                    F.size(F.col("r.content.recommended_actions")).alias("n_actions"),
+                    F.col("r.content.instagram.caption").alias("ig_caption")) \
+        .withColumn("n_actions", F.when(F.col("error").isNull(), F.col("n_actions")))
+
+
+@query("platform_validate", """WITH t AS (SELECT p_partkey, p_name,
+    ['instagram', 'tiktok', 'actions', 'facebook'][p_partkey % 4 + 1] AS platform, (p_partkey // 4) % 3 AS f FROM part)
+SELECT p_partkey, platform,
+  CASE WHEN platform = 'facebook' THEN 'platform must be one of: instagram, tiktok, actions'
+       WHEN f = 1 AND platform = 'actions' THEN 'actions response must contain actions: [..] with 3 items'
+       WHEN f = 1 THEN platform || ' response must contain caption (string) and hashtags (list)' END AS error,
+  CASE WHEN platform IN ('instagram', 'tiktok') AND f <> 1 THEN p_name END AS caption,
+  CASE WHEN platform = 'actions' AND f <> 1 THEN 3 END AS n_actions
+FROM t""")
+def q_platform_validate(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    platform = F.element_at(F.array(*[F.lit(x) for x in ("instagram", "tiktok", "actions", "facebook")]),
+                            (F.col("p_partkey") % 4 + 1).cast("int"))
+    f = F.floor(F.col("p_partkey") / 4) % 3
+    post_ok = F.concat(F.expr("substring(to_json(named_struct('caption', p_name)), 1, "
+                              "length(to_json(named_struct('caption', p_name))) - 1)"),
+                       F.lit(', "hashtags": ["#a", "#b"]}'))
+    post_bad = F.concat(F.expr("substring(to_json(named_struct('caption', p_name)), 1, "
+                               "length(to_json(named_struct('caption', p_name))) - 1)"),
+                        F.lit(', "hashtags": "#a"}'))
+    acts_ok = F.to_json(F.struct(F.array(F.lit("a1"), F.lit("a2"), F.col("p_name")).alias("actions")))
+    acts_bad = F.to_json(F.struct(F.array(F.lit("a1"), F.col("p_name")).alias("actions")))
+    is_acts = platform == "actions"
+    body = F.when(f == 1, F.when(is_acts, acts_bad).otherwise(post_bad)) \
+        .otherwise(F.when(is_acts, acts_ok).otherwise(post_ok))
+    text = F.when(f == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    r = rp.parse_platform_replies(p.select("p_partkey", platform.alias("platform"), text.alias("t")),
+                                  "platform", "t", "r")
+    return r.select("p_partkey", "platform", F.col("r.error").alias("error"),
+                    F.col("r.content.caption").alias("caption"),
+                    F.when(F.col("r.error").isNull() & (F.col("platform") == "actions"),
+                           F.size("r.content.actions")).alias("n_actions"))
