@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as agg
 from ..operators import insights as ins
 from ..operators import labels as lab
+from ..contracts import money_out as _money_out
 from ..sources.tables import sales_view
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -851,3 +852,344 @@ def q_platform_validate(spark, sf_dir):
                     F.col("r.content.caption").alias("caption"),
                     F.when(F.col("r.error").isNull() & (F.col("platform") == "actions"),
                            F.size("r.content.actions")).alias("n_actions"))
+
+
+# ---------------------------------------------------------------- S1-S9, P1-P8, F1-F4, Q1-Q3
+from ..functions import coerce as co  # noqa: E402
+from ..operators import quality as qa  # noqa: E402
+from ..sources import exports as ex  # noqa: E402
+
+EXPORT_HEADER = ("Sales Category,Item Name,Modifier,,Avg. Price,Item Qty,Gross Sales,Discount Amount,"
+                 "Net Sales,Type,")
+KEY_STRUCT = "struct<l_orderkey:bigint,l_linenumber:int,l_partkey:bigint,l_shipdate:timestamp_ntz,sub:int>"
+
+
+def export_lines(spark, sf_dir) -> DataFrame:
+    """Every lineitem row written as a line of its (supplier, year) export.
+
+    Cells carry the quirks of real exports: trailing commas, a blank header
+    column, quoted commas and quoted newlines in names, NA words, blank names,
+    numbers with thousands separators or junk, Type values, stray blank lines.
+    Positions: header first, then rows by key; block = order key / 1024.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_returnflag", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    upload = F.concat(F.lit("store="), F.col("l_suppkey").cast("string"), F.lit("/period="),
+                      F.year("l_shipdate").cast("string"))
+    gross = F.col("l_extendedprice").cast("decimal(18,2)")
+    disc = (gross * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)")
+    net = (gross - disc).cast("decimal(18,4)")
+    from ..sources.tables import unit_price
+    qty = F.col("l_quantity").cast("int").cast("string")
+    ln, size = F.col("l_linenumber"), F.col("p_size")
+    item = (F.when((ln == 1) & (size % 5 == 0), F.lit("None"))
+            .when(size % 13 == 0, F.lit("  "))
+            .when(size > 45, F.concat(F.lit('"'), "p_name", F.lit(', large"')))
+            .when(size == 7, F.concat(F.lit('"'), "p_name", F.lit('\nspecial"')))
+            .when(size % 11 == 0, F.concat(F.lit("  "), "p_name", F.lit(" ")))
+            .otherwise(F.col("p_name")))
+    qty_text = (F.when(ln == 3, F.concat(F.lit('"1,'), F.lpad(qty, 3, "0"), F.lit('"')))
+                .when(ln == 5, F.concat(F.lit(" "), qty, F.lit(" ")))
+                .when(ln == 6, F.concat(qty, F.lit("d")))
+                .otherwise(qty))
+    type_text = F.when(F.col("l_returnflag") == "R", F.lit("modifier")) \
+        .when(size == 3, F.lit("menuitem")).otherwise(F.lit("menuItem"))
+    line = F.concat_ws(",", "p_type", item, F.lit(""), F.lit(""),
+                       unit_price("_gross", "_qty").cast("string"), qty_text,
+                       gross.cast("string"), disc.cast("string"), net.cast("string"), type_text)
+    line = F.concat(line, F.when(size == 50, F.lit(",x")).otherwise(F.lit("")),
+                    F.when(ln == 2, F.lit(",\r")).otherwise(F.lit(",")))
+    rows = j.withColumn("_gross", gross).withColumn("_qty", F.col("l_quantity").cast("decimal(18,4)")) \
+        .select(upload.alias("upload_id"), F.floor(F.col("l_orderkey") / 1024).cast("bigint").alias("block"),
+                "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+                F.when(ln == 4, F.array(line, F.lit("   ,,"))).otherwise(F.array(line)).alias("_ls"))
+    # a quoted newline splits the text into two physical lines
+    phys = rows.select("upload_id", "block", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+                       F.posexplode(F.flatten(F.transform("_ls", lambda x: F.split(x, "\n")))).alias("sub", "line"))
+    data = phys.select("upload_id", F.struct(
+        "block", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "sub").alias("off")).alias("pos"),
+        "line")
+    header = j.select(upload.alias("upload_id")).distinct().select(
+        "upload_id", F.struct(F.lit(-1).cast("bigint").alias("block"),
+                              F.lit(None).cast(KEY_STRUCT).alias("off")).alias("pos"),
+        F.lit(EXPORT_HEADER).alias("line"))
+    return header.unionByName(data)
+
+
+def _export_ingest(spark, sf_dir) -> ex.Ingested:
+    return ex.ingest_lines(export_lines(spark, sf_dir))
+
+
+EXPORT_EXPECT_SQL = """x AS (
+  SELECT l_suppkey AS store_id, CAST(year(l_shipdate) AS INTEGER) AS period, l_orderkey, l_linenumber, l_partkey,
+         p_type AS category,
+         CASE WHEN p_size > 45 THEN p_name || ', large' WHEN p_size = 7 THEN p_name || chr(10) || 'special'
+              ELSE p_name END AS item_name,
+         CASE WHEN l_linenumber IN (3, 6) THEN 0.0 ELSE l_quantity END AS quantity,
+         CAST(round(CAST(CAST(l_extendedprice AS DECIMAL(18,2))
+              - CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)), 2) AS DOUBLE) AS net_sales,
+         (l_linenumber = 1 AND p_size % 5 = 0) OR p_size % 13 = 0 AS blank_name,
+         l_returnflag = 'R' OR p_size = 3 AS wrong_type,
+         l_linenumber IN (3, 6) AS zeroed, p_size = 50 AS wide
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query("ingest_csv_lines", f"""WITH {EXPORT_EXPECT_SQL}
+SELECT store_id, period, l_orderkey, l_linenumber, l_partkey, category, item_name, quantity, net_sales
+FROM x WHERE NOT blank_name AND NOT wrong_type""")
+def q_ingest_csv_lines(spark, sf_dir):
+    s = _export_ingest(spark, sf_dir).sales
+    return s.select(
+        F.regexp_extract("upload_id", r"store=(\d+)", 1).cast("bigint").alias("store_id"),
+        F.regexp_extract("upload_id", r"period=(\d+)", 1).cast("int").alias("period"),
+        F.col("row_pos.off.l_orderkey").alias("l_orderkey"), F.col("row_pos.off.l_linenumber").alias("l_linenumber"),
+        F.col("row_pos.off.l_partkey").alias("l_partkey"), "category", "item_name",
+        F.col("quantity").cast("double").alias("quantity"), _money_out("net_sales").alias("net_sales"))
+
+
+@query("quality_report", f"""WITH {EXPORT_EXPECT_SQL}
+SELECT 'store=' || CAST(store_id AS VARCHAR) || '/period=' || CAST(period AS VARCHAR) AS upload_id, 'menu' AS layout,
+       count(*) AS data_rows, count(*) FILTER (WHERE wrong_type) AS dropped_type,
+       count(*) FILTER (WHERE NOT wrong_type AND blank_name) AS dropped_blank_name,
+       CAST(0 AS BIGINT) AS dropped_marker,
+       count(*) FILTER (WHERE NOT wrong_type AND NOT blank_name) AS kept_rows,
+       count(*) FILTER (WHERE NOT wrong_type AND NOT blank_name AND zeroed) AS zeroed_numeric_rows,
+       count(*) FILTER (WHERE wide) AS wide_rows
+FROM x GROUP BY store_id, period""")
+def q_quality_report(spark, sf_dir):
+    return _export_ingest(spark, sf_dir).quality
+
+
+HEADER_CANDIDATES = ["Sales Category", "Item Name", "Item, Open Item", "Item Qty", "Qty Sold", "Quantity",
+                     "Avg Price", "Avg. Price", "Gross Sales", "Discount Amount", "Net Sales", "quantity_sold",
+                     "Date", "item_name", "Type", "Modifier"]
+
+
+def _alias_case_sql(aliases: dict[str, str], h: str) -> str:
+    return f"CASE lower(trim({h})) " + " ".join(f"WHEN {sq(k)} THEN {sq(v)}" for k, v in aliases.items()) \
+        + f" ELSE {h} END"
+
+
+@query("header_alias", f"""WITH h AS (
+  SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN upper(base) WHEN p_size % 3 = 1 THEN '  ' || base || ' '
+                         ELSE base END AS header
+  FROM (SELECT p_partkey, p_size,
+               CASE WHEN p_partkey % {len(HEADER_CANDIDATES) + 1} = {len(HEADER_CANDIDATES)} THEN p_brand
+                    ELSE [{', '.join(sq(c) for c in HEADER_CANDIDATES)}][p_partkey % {len(HEADER_CANDIDATES) + 1} + 1]
+               END AS base FROM part))
+SELECT p_partkey, header, {_alias_case_sql(ex.HEADER_ALIASES, 'header')} AS canonical,
+       {_alias_case_sql(ex.HEADER_ALIASES_API, 'header')} AS api_canonical FROM h""")
+def q_header_alias(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    n = len(HEADER_CANDIDATES) + 1
+    k = (F.col("p_partkey") % n).cast("int")
+    base = F.when(k == n - 1, F.col("p_brand")).otherwise(
+        F.element_at(F.array(*[F.lit(c) for c in HEADER_CANDIDATES]), k + 1))
+    h = F.when(F.col("p_size") % 3 == 0, F.upper(base)) \
+        .when(F.col("p_size") % 3 == 1, F.concat(F.lit("  "), base, F.lit(" "))).otherwise(base)
+    d = p.select("p_partkey", h.alias("header"))
+    return d.select("p_partkey", "header", ex.canonical_header(F.col("header")).alias("canonical"),
+                    ex.canonical_header(F.col("header"), ex.HEADER_ALIASES_API).alias("api_canonical"))
+
+
+LINE_SUFFIXES = [",", ",,", ", ", ",\t", "\r", "  ", ""]
+
+
+@query("line_cleanup", f"""WITH r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CASE WHEN l_orderkey % 2 = 0 THEN '  ' ELSE '' END || CAST(l_orderkey AS VARCHAR) || ',' ||
+         CAST(l_partkey AS VARCHAR) || ',' || l_returnflag ||
+         [{', '.join("'" + s.replace(chr(9), "' || chr(9) || '").replace(chr(13), "' || chr(13) || '") + "'" for s in LINE_SUFFIXES)}][(l_linenumber - 1) % {len(LINE_SUFFIXES)} + 1] AS raw
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(rtrim(raw, ','), ' ' || chr(9) || chr(10) || chr(13)) AS cleaned
+FROM r""")
+def q_line_cleanup(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_returnflag")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in LINE_SUFFIXES]),
+                          ((F.col("l_linenumber") - 1) % len(LINE_SUFFIXES) + 1).cast("int"))
+    raw = F.concat(F.when(F.col("l_orderkey") % 2 == 0, F.lit("  ")).otherwise(F.lit("")),
+                   F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"),
+                               "l_returnflag"), suffix)
+    d = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", raw.alias("line"))
+    # S6 without S7: blank results are kept here so every line is reported
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    ex.clean_line(F.col("line")).alias("cleaned"))
+
+
+@query("numeric_coerce", """WITH t AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE l_linenumber WHEN 1 THEN CAST(q AS DOUBLE) WHEN 2 THEN CAST(q AS DOUBLE) WHEN 7 THEN CAST(q * 10 AS DOUBLE)
+            WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE CAST(p AS DOUBLE) END AS dated_value,
+       CASE l_linenumber WHEN 1 THEN CAST(q AS DOUBLE) WHEN 2 THEN CAST(q AS DOUBLE) WHEN 7 THEN CAST(q * 10 AS DOUBLE)
+            WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 WHEN 5 THEN 0.0 WHEN 6 THEN 0.0 ELSE CAST(p AS DOUBLE) END AS menu_value
+FROM t""")
+def q_numeric_coerce(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_quantity", "l_extendedprice")
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    ln = F.col("l_linenumber")
+    text = (F.when(ln == 1, q).when(ln == 2, F.concat(F.lit(" "), q, F.lit(" ")))
+            .when(ln == 3, F.concat(q, F.lit("d"))).when(ln == 4, F.concat(F.lit("1,"), q))
+            .when(ln == 5, F.lit("inf")).when(ln == 6, F.lit("NaN")).when(ln == 7, F.concat(q, F.lit("e1")))
+            .otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
+    d = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("t"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    co.numeric_or_null(F.col("t")).cast("double").alias("dated_value"),
+                    co.numeric_or_zero(F.col("t")).cast("double").alias("menu_value"))
+
+
+@query("date_coerce", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN l_linenumber IN (4, 5, 6) THEN NULL ELSE strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') END AS parsed
+FROM lineitem""")
+def q_date_coerce(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_shipdate")
+    d = F.col("l_shipdate").cast("date")
+    ln = F.col("l_linenumber")
+    text = (F.when(ln == 1, F.date_format(d, "yyyy-MM-dd")).when(ln == 2, F.date_format(d, "M/d/yyyy"))
+            .when(ln == 3, F.date_format(d, "yyyy/M/d")).when(ln == 4, F.concat(F.year(d).cast("string"), F.lit("-13-01")))
+            .when(ln == 5, F.lit("")).when(ln == 6, F.lit("not a date"))
+            .otherwise(F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd"), F.lit(" "))))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     F.date_format(co.lenient_date(text), "yyyy-MM-dd").alias("parsed"))
+
+
+LAYOUT_COLUMNS = ["date", "item_name", "quantity", "category", "net_sales"]
+
+
+def _py_list_sql(lst: str) -> str:
+    return "'[' || coalesce(array_to_string(list_transform(" + lst + ", lambda x: '''' || x || ''''), ', '), '') || ']'"
+
+
+@query("layout_detect", f"""WITH h AS (
+  SELECT s_suppkey, list_filter([{', '.join(sq(c) for c in LAYOUT_COLUMNS)}], lambda x, i: ((s_suppkey >> (i - 1)) & 1) = 1) AS cols
+  FROM supplier),
+m AS (SELECT *, list_filter(['date', 'item_name', 'quantity', 'category'], lambda x: NOT list_contains(cols, x)) AS missing,
+             CASE WHEN list_contains(cols, 'item_name') AND list_contains(cols, 'category') THEN 'menu'
+                  WHEN list_contains(cols, 'date') THEN 'dated' ELSE 'unrecognised' END AS layout FROM h)
+SELECT s_suppkey, array_to_string(cols, ',') AS columns, layout,
+       CASE WHEN layout = 'dated' THEN 'Missing required columns: ' || {_py_list_sql('missing')}
+            WHEN layout = 'unrecognised' THEN 'CSV format not recognized. Available columns: ' || {_py_list_sql('cols')}
+       END AS error
+FROM m""")
+def q_layout_detect(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    cols = F.filter(F.array(*[F.lit(c) for c in LAYOUT_COLUMNS]),
+                    lambda x, i: (F.col("s_suppkey") / F.pow(F.lit(2), i)).cast("bigint") % 2 == 1)
+    d = s.select("s_suppkey", cols.alias("cols"))
+    layout = (F.when(F.array_contains("cols", "item_name") & F.array_contains("cols", "category"), F.lit("menu"))
+              .when(F.array_contains("cols", "date"), F.lit("dated")).otherwise(F.lit("unrecognised")))
+    missing = F.array_except(F.array(*[F.lit(c) for c in ex.REQUIRED_DATED]), F.col("cols"))
+    d = d.withColumn("layout", layout).withColumn("missing", missing)
+    return d.select("s_suppkey", F.array_join("cols", ",").alias("columns"), "layout",
+                    F.when(F.col("layout") == "dated", F.concat(F.lit(ex.ERR_MISSING), ex.py_list_text(F.col("missing"))))
+                    .when(F.col("layout") == "unrecognised",
+                          F.concat(F.lit(ex.ERR_FORMAT), ex.py_list_text(F.col("cols")))).alias("error"))
+
+
+@query("required_columns", f"""WITH h AS (
+  SELECT s_suppkey, list_filter([{', '.join(sq(c) for c in LAYOUT_COLUMNS)}], lambda x, i: ((s_suppkey >> (i - 1)) & 1) = 1) AS cols
+  FROM supplier)
+SELECT s_suppkey, array_to_string(list_filter(['date', 'item_name', 'quantity', 'category'],
+                                              lambda x: NOT list_contains(cols, x)), ',') AS missing FROM h""")
+def q_required_columns(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    cols = F.filter(F.array(*[F.lit(c) for c in LAYOUT_COLUMNS]),
+                    lambda x, i: (F.col("s_suppkey") / F.pow(F.lit(2), i)).cast("bigint") % 2 == 1)
+    return s.select("s_suppkey", F.array_join(F.array_except(F.array(*[F.lit(c) for c in ex.REQUIRED_DATED]), cols),
+                                              ",").alias("missing"))
+
+
+ITEM_VARIANTS = 7
+
+
+@query("drop_blank_items", f"""WITH r AS (SELECT p_partkey, CASE p_partkey % {ITEM_VARIANTS}
+    WHEN 0 THEN p_name WHEN 1 THEN '  ' || p_name || chr(9) WHEN 2 THEN '' WHEN 3 THEN 'None'
+    WHEN 4 THEN 'null' WHEN 5 THEN 'N/A' ELSE 'NA ' END AS raw FROM part)
+SELECT p_partkey, raw,
+       CASE WHEN p_partkey % {ITEM_VARIANTS} IN (0, 1) THEN trim(raw, ' ' || chr(9))
+            WHEN p_partkey % {ITEM_VARIANTS} = 6 THEN 'NA' ELSE '' END AS item_name,
+       p_partkey % {ITEM_VARIANTS} IN (0, 1, 6) AS kept
+FROM r""")
+def q_drop_blank_items(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    k = F.col("p_partkey") % ITEM_VARIANTS
+    raw = (F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit("\t")))
+           .when(k == 2, F.lit("")).when(k == 3, F.lit("None")).when(k == 4, F.lit("null"))
+           .when(k == 5, F.lit("N/A")).otherwise(F.lit("NA ")))
+    d = p.select("p_partkey", raw.alias("raw"))
+    name = tx.strip_text(F.coalesce(co.na_to_null(F.col("raw")), F.lit("")))
+    return d.select("p_partkey", "raw", name.alias("item_name"), (name != "").alias("kept"))
+
+
+@query("menu_item_filter", """SELECT l_suppkey AS store_id,
+  count(*) FILTER (WHERE l_returnflag = 'N') AS kept, count(*) FILTER (WHERE l_returnflag <> 'N') AS dropped
+FROM lineitem GROUP BY l_suppkey""")
+def q_menu_item_filter(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag")
+    t = F.when(F.col("l_returnflag") == "N", F.lit("menuItem")).when(F.col("l_returnflag") == "R", F.lit("menuitem")) \
+        .otherwise(F.lit("modifier"))
+    ok = F.coalesce(t == ex.MENU_ITEM_TYPE, F.lit(False))
+    return li.groupBy(F.col("l_suppkey").alias("store_id")).agg(F.count_if(ok).alias("kept"),
+                                                                F.count_if(~ok).alias("dropped"))
+
+
+@query("utf8_check", """SELECT doc_id, octet_length(encode(text)) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_bytes,
+  doc_id % 7 <> 0 AS is_valid FROM documents""")
+def q_utf8_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = F.encode("text", "UTF-8")
+    b = F.when(F.col("doc_id") % 7 == 0, F.concat(b, F.unhex(F.lit("FF")))).otherwise(b)
+    x = d.select("doc_id", b.alias("b"))
+    return x.select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"),
+                    F.try_validate_utf8(F.col("b").cast("string")).isNotNull().alias("is_valid"))
+
+
+NAME_SUFFIXES = [".csv", ".CSV", ".txt", ""]
+
+
+@query("csv_name_filter", f"""WITH n AS (SELECT page_id,
+  coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '([^/]*)$', 1), ''), 'index')
+  || [{', '.join(sq(s) for s in NAME_SUFFIXES)}][page_id % 4 + 1] AS name FROM pages)
+SELECT page_id, name, suffix(name, '.csv') AS accepted FROM n""")
+def q_csv_name_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
+    last = F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("")), F.lit("index"))
+    suffix = F.element_at(F.array(*[F.lit(s) for s in NAME_SUFFIXES]), (F.col("page_id") % 4 + 1).cast("int"))
+    d = p.select("page_id", F.concat(last, suffix).alias("name"))
+    return d.select("page_id", "name", F.col("name").endswith(".csv").alias("accepted"))
+
+
+@query("subtotal_reconcile", with_sales(f"""c AS (SELECT store_id, period, category, sum(quantity) AS q, sum(net_sales) AS n
+                                      FROM sales GROUP BY store_id, period, category)
+SELECT store_id, period, category, {int_sql('q')} AS item_qty, {money_sql('n')} AS item_net,
+       {int_sql('q')} AS subtotal_qty, {money_sql('n')} AS subtotal_net, CAST(0 AS BIGINT) AS qty_diff,
+       CAST(0.0 AS DOUBLE) AS net_diff FROM c"""))
+def q_subtotal_reconcile(spark, sf_dir):
+    s = _sales(spark, sf_dir)
+    rows = qa.with_subtotals(s, ["store_id", "period"])
+    return qa.reconcile_subtotals(rows, ["store_id", "period"])
+
+
+DUP_COLS = ["store_id", "period", "category", "item_name", "date", "quantity", "gross_sales",
+            "discount_amount", "net_sales"]
+
+
+@query("duplicate_rows", with_sales("""d AS (SELECT store_id, period, category, item_name, date, quantity, gross_sales,
+                                          discount_amount, net_sales, count(*) AS copies FROM sales
+                                   GROUP BY ALL HAVING count(*) > 1)
+SELECT store_id, period, category, item_name, strftime(date, '%Y-%m-%d') AS date, CAST(quantity AS DOUBLE) AS quantity,
+       CAST(gross_sales AS DOUBLE) AS gross_sales, CAST(discount_amount AS DOUBLE) AS discount_amount,
+       CAST(net_sales AS DOUBLE) AS net_sales, copies FROM d"""))
+def q_duplicate_rows(spark, sf_dir):
+    d = qa.duplicate_rows(_sales(spark, sf_dir), DUP_COLS)
+    return d.select("store_id", "period", "category", "item_name", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                    *[F.col(c).cast("double").alias(c) for c in ("quantity", "gross_sales", "discount_amount",
+                                                                 "net_sales")], "copies")
