@@ -322,7 +322,7 @@ def q_monthly_trend(spark, sf_dir):
     return ins.monthly_trend(_sales(spark, sf_dir), STORE, max_months=2)
 
 
-INSIGHTS_SQL = with_sales(CATS_SQL + f""",
+INSIGHTS_CTES = CATS_SQL + f""",
 tot AS (SELECT store_id, sum(net_sales) AS n, sum(discount_amount) AS d FROM sales GROUP BY store_id),
 best AS (SELECT store_id, item_name, quantity, row_number() OVER (PARTITION BY store_id ORDER BY quantity DESC, {ROW_ORDER}) AS rk
          FROM sales WHERE quantity IS NOT NULL),
@@ -352,9 +352,11 @@ u AS (
   SELECT p.store_id, 5, 'premium', item_name || ' is the top premium item ($'
          || CAST(CAST(round(avg_price, 2) AS DECIMAL(38,2)) AS VARCHAR) || ' avg) with '
          || CAST({int_sql('quantity')} AS VARCHAR) || ' sales'
-  FROM prem p JOIN tot t USING (store_id) WHERE p.rk = 1 AND t.n > 0)
-SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY ord) AS INTEGER) AS seq, type, text
-FROM u""")
+  FROM prem p JOIN tot t USING (store_id) WHERE p.rk = 1 AND t.n > 0),
+ins AS (SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY ord) AS INTEGER) AS seq, type, text
+        FROM u)"""
+
+INSIGHTS_SQL = with_sales(INSIGHTS_CTES + "\nSELECT * FROM ins")
 
 
 @query("insights", INSIGHTS_SQL)
@@ -1193,3 +1195,153 @@ def q_duplicate_rows(spark, sf_dir):
     return d.select("store_id", "period", "category", "item_name", F.date_format("date", "yyyy-MM-dd").alias("date"),
                     *[F.col(c).cast("double").alias(c) for c in ("quantity", "gross_sales", "discount_amount",
                                                                  "net_sales")], "copies")
+
+
+# ---------------------------------------------------------------- X1-X3, P12, F17, F19-F22
+from ..operators import content as ct  # noqa: E402
+from ..operators import prompts as pr  # noqa: E402
+
+
+def _store_summary(spark, sf_dir):
+    s = _sales(spark, sf_dir)
+    top = agg.top_items(s, STORE, 5, with_revenue=True)
+    cats = agg.top_categories(s, STORE, 5, with_revenue=True)
+    insight_rows = ins.insights(s, STORE, premium_price=PREMIUM_PRICE)
+    return s, top, cats, insight_rows
+
+
+def _prompt_sql(api: bool, focus: bool) -> str:
+    units = "units" if api else "units sold"
+    closing = pr.CLOSING_LINES_API if api else pr.CLOSING_LINES
+    close_sql = " UNION ALL ".join(f"SELECT store_id, 5, {i}, {sq(t)} FROM g" for i, t in enumerate(closing))
+    focus_sql = ""
+    if focus:
+        parts = []
+        for i, t in enumerate(pr.FOCUS_LINES + ("",)):
+            line = sq(t) if "{item}" not in t else (sq(t.split("{item}")[0]) + " || item_name || "
+                                                     + sq(t.split("{item}")[1]))
+            parts.append(f"SELECT store_id, 1, {i}, {line} FROM focus")
+        focus_sql = "UNION ALL " + " UNION ALL ".join(parts)
+    return with_sales(ITEMS_SQL.format(g="store_id,") + ",\n" + INSIGHTS_CTES + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY q DESC, item_name) AS rk FROM items),
+ti AS (SELECT store_id, rk, item_name, {int_sql('q')} AS quantity, {money_sql('n')} AS net_sales,
+              {mean_sql('ps', 'pn')} AS avg_price FROM ranked WHERE rk <= 5),
+tc AS (SELECT store_id, rk, category, {int_sql('q')} AS quantity, {money_sql('n')} AS net_sales
+       FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY n DESC, category) AS rk FROM cats) WHERE rk <= 5),
+g AS (SELECT DISTINCT store_id FROM ti),
+focus AS (SELECT t.store_id, t.item_name FROM ti t JOIN toprev r ON r.store_id = t.store_id AND r.rk = 1
+          AND r.item_name = t.item_name),
+lines AS (
+  SELECT store_id, 0 AS s, 0 AS k, {sq(pr.HEADER_LINE)} AS line FROM g UNION ALL
+  SELECT store_id, 0, 1, '' FROM g UNION ALL
+  SELECT store_id, 2, 0, {sq(pr.ITEMS_TITLE)} FROM g UNION ALL
+  SELECT store_id, 2, rk, '- ' || item_name || ': ' || CAST(quantity AS VARCHAR) || ' {units}' ||
+         CASE WHEN coalesce(net_sales, 0) <> 0 THEN ', $' || format('{{:,.2f}}', net_sales) || ' revenue, $'
+              || printf('%.2f', avg_price) || ' avg price' ELSE '' END FROM ti UNION ALL
+  SELECT store_id, 2, 1048576, '' FROM g UNION ALL
+  SELECT store_id, 3, 0, {sq(pr.CATS_TITLE)} FROM g UNION ALL
+  SELECT store_id, 3, rk, '- ' || category || ': ' || CAST(quantity AS VARCHAR) || ' units' ||
+         CASE WHEN coalesce(net_sales, 0) <> 0 THEN ', $' || format('{{:,.2f}}', net_sales) || ' revenue' ELSE '' END
+  FROM tc UNION ALL
+  SELECT store_id, 3, 1048576, '' FROM g UNION ALL
+  SELECT store_id, 4, 0, {sq(pr.INSIGHTS_TITLE)} FROM g UNION ALL
+  SELECT store_id, 4, seq, '- ' || text FROM ins UNION ALL
+  SELECT store_id, 4, 1048576, '' FROM g UNION ALL
+  {close_sql} {focus_sql})
+SELECT store_id, string_agg(line, chr(10) ORDER BY s, k) AS prompt FROM lines GROUP BY store_id""")
+
+
+@query("prompt_focus", _prompt_sql(api=False, focus=True))
+def q_prompt_focus(spark, sf_dir):
+    s, top, cats, insight_rows = _store_summary(spark, sf_dir)
+    sel = ins.top_revenue_row(s, STORE).select(*STORE, F.col("item_name").alias("selected_item"))
+    return pr.user_prompt(top, cats, insight_rows, STORE, selections=sel)
+
+
+@query("prompt_variant", _prompt_sql(api=True, focus=False))
+def q_prompt_variant(spark, sf_dir):
+    _, top, cats, insight_rows = _store_summary(spark, sf_dir)
+    return pr.user_prompt(top, cats, insight_rows, STORE, variant="api")
+
+
+PLATFORM_CHOICES = ["instagram", "tiktok", "actions", "facebook"]
+
+
+@query("prompt_platform", _prompt_sql(api=False, focus=False).replace(
+    "SELECT store_id, string_agg(line, chr(10) ORDER BY s, k) AS prompt FROM lines GROUP BY store_id",
+    f""", pp AS (SELECT store_id, string_agg(line, chr(10) ORDER BY s, k) AS prompt FROM lines GROUP BY store_id),
+rq AS (SELECT p.store_id, [{', '.join(sq(x) for x in PLATFORM_CHOICES)}][p.store_id % 4 + 1] AS platform,
+              p.store_id + 1000 AS nonce, t.item_name AS prev FROM pp p LEFT JOIN ti t ON t.store_id = p.store_id AND t.rk = 1)
+SELECT store_id, platform,
+  CASE platform WHEN 'instagram' THEN 'INSTAGRAM_PROMPT' WHEN 'tiktok' THEN 'TIKTOK_PROMPT' WHEN 'actions' THEN 'ACTIONS_PROMPT' END AS system_prompt,
+  CASE WHEN platform <> 'facebook' THEN prompt || chr(10) || chr(10) || 'nonce=' || CAST(nonce AS VARCHAR) || chr(10) ||
+       CASE WHEN platform = 'instagram' THEN 'previous_text=' || prev || chr(10) || {sq(pr.NEW_VARIATION_LINE)} || chr(10) ELSE '' END
+  END AS user_prompt,
+  CASE WHEN platform = 'facebook' THEN 'platform must be one of: instagram, tiktok, actions' END AS error
+FROM rq JOIN pp USING (store_id)"""))
+def q_prompt_platform(spark, sf_dir):
+    _, top, cats, insight_rows = _store_summary(spark, sf_dir)
+    prompts = pr.user_prompt(top, cats, insight_rows, STORE)
+    first = top.filter(F.col("rank") == 1).select(*STORE, F.col("item_name").alias("_first"))
+    platform = F.element_at(F.array(*[F.lit(x) for x in PLATFORM_CHOICES]), (F.col("store_id") % 4 + 1).cast("int"))
+    req = prompts.select(*STORE).join(first, STORE, "left").select(
+        *STORE, platform.alias("platform"), (F.col("store_id") + 1000).alias("nonce"),
+        F.when(platform == "instagram", F.col("_first")).alias("previous_text"))
+    return pr.platform_prompt(prompts, req, STORE)
+
+
+@query("post_text", """SELECT p_partkey, p_name || chr(10) || chr(10) || '#' || replace(p_brand, '#', '') || ' #' || lower(p_type)
+  AS instagram_text FROM part""")
+def q_post_text(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    tags = F.array(F.concat(F.lit("#"), F.regexp_replace("p_brand", "#", "")), F.concat(F.lit("#"), F.lower("p_type")))
+    return p.select("p_partkey", tx.post_text(F.col("p_name"), tags).alias("instagram_text"))
+
+
+def _ideas_col():
+    return F.array(F.struct(F.concat(F.lit("Feature "), "p_name").alias("text"), F.lit("top seller").alias("reason")),
+                   F.struct(F.concat(F.lit("Bundle "), "p_type").alias("text"), F.col("p_brand").alias("reason")))
+
+
+@query("ideas_join", """SELECT p_partkey, 'Feature ' || p_name || ' | Bundle ' || p_type AS previous_text,
+  'Feature ' || p_name || chr(10) || chr(10) || 'Bundle ' || p_type AS copy_text FROM part""")
+def q_ideas_join(spark, sf_dir):
+    p = _part(spark, sf_dir).select("p_partkey", _ideas_col().alias("ideas"))
+    return p.select("p_partkey", tx.join_idea_texts("ideas", " | ").alias("previous_text"),
+                    tx.join_idea_texts("ideas", "\n\n").alias("copy_text"))
+
+
+@query("actions_to_ideas", """SELECT p_partkey, p_name || ' | ' || p_brand || ' | ' || p_type AS idea_texts,
+  'Refreshed suggestion|Refreshed suggestion|Refreshed suggestion' AS reasons FROM part""")
+def q_actions_to_ideas(spark, sf_dir):
+    p = _part(spark, sf_dir).select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("actions"))
+    ideas = p.select("p_partkey", tx.actions_to_ideas(F.col("actions")).alias("ideas"))
+    return ideas.select("p_partkey", tx.join_idea_texts("ideas", " | ").alias("idea_texts"),
+                        F.array_join(F.transform("ideas", lambda i: i["reason"]), "|").alias("reasons"))
+
+
+@query("section_replace", """WITH t AS (SELECT *, ['instagram', 'tiktok', 'actions', 'facebook'][p_partkey % 4 + 1] AS platform FROM part)
+SELECT p_partkey, platform,
+  CASE WHEN platform = 'instagram' THEN 'New ' || p_name ELSE p_name END AS ig_caption,
+  CASE WHEN platform = 'instagram' THEN '#new' ELSE '#' || lower(p_type) END AS ig_hashtags,
+  CASE WHEN platform = 'tiktok' THEN 'New ' || p_name ELSE p_name || ' size ' || CAST(p_size AS VARCHAR) END AS tt_caption,
+  CASE WHEN platform = 'actions' THEN 'a1 | a2 | ' || p_brand ELSE 'Feature ' || p_name || ' | Bundle ' || p_type END AS idea_texts,
+  CASE WHEN platform = 'actions' THEN 'Refreshed suggestion' ELSE 'top seller' END AS first_reason
+FROM t""")
+def q_section_replace(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    doc = F.struct(F.struct(F.col("p_name").alias("caption"),
+                            F.array(F.concat(F.lit("#"), F.lower("p_type"))).alias("hashtags")).alias("instagram"),
+                   F.struct(F.concat("p_name", F.lit(" size "), F.col("p_size").cast("string")).alias("caption"),
+                            F.array(F.concat(F.lit("#"), F.lower("p_type"))).alias("hashtags")).alias("tiktok"),
+                   _ideas_col().alias("promotion_ideas"))
+    platform = F.element_at(F.array(*[F.lit(x) for x in PLATFORM_CHOICES]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    post = F.struct(F.concat(F.lit("New "), "p_name").alias("caption"), F.array(F.lit("#new")).alias("hashtags"))
+    actions = F.array(F.lit("a1"), F.lit("a2"), F.col("p_brand"))
+    d = p.select("p_partkey", platform.alias("platform"),
+                 ct.replace_section(doc, platform, post, actions).alias("doc"))
+    return d.select("p_partkey", "platform", F.col("doc.instagram.caption").alias("ig_caption"),
+                    F.array_join("doc.instagram.hashtags", " ").alias("ig_hashtags"),
+                    F.col("doc.tiktok.caption").alias("tt_caption"),
+                    tx.join_idea_texts("doc.promotion_ideas", " | ").alias("idea_texts"),
+                    F.get(F.col("doc.promotion_ideas"), 0)["reason"].alias("first_reason"))
