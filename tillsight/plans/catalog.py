@@ -1345,3 +1345,46 @@ def q_section_replace(spark, sf_dir):
                     F.col("doc.tiktok.caption").alias("tt_caption"),
                     tx.join_idea_texts("doc.promotion_ideas", " | ").alias("idea_texts"),
                     F.get(F.col("doc.promotion_ideas"), 0)["reason"].alias("first_reason"))
+
+
+# ---------------------------------------------------------------- T1, T2, S11 (Structured Streaming)
+from ..session import scratch_path  # noqa: E402
+from ..streaming import dropfolder as dfs  # noqa: E402
+
+
+@query("stream_compare", _panel_old_sql(LAG_PAIRS_SQL))
+def q_stream_compare(spark, sf_dir):
+    """Uploads arrive in two drops; each drop is one micro-batch; the second
+    compares against the snapshot the first one wrote."""
+    base = scratch_path(spark, "stream-compare")
+    s = _sales(spark, sf_dir).select("store_id", "period", "item_name", "quantity")
+    # the distinct upload periods are a handful of values (metadata, not data)
+    periods = sorted(r[0] for r in s.select("period").distinct().collect())
+    first = periods[: max(1, len(periods) // 2)]
+    schema = s.schema
+    ckpt, snap, panels = f"{base}/checkpoint", f"{base}/snapshot", f"{base}/panels"
+    s.filter(F.col("period").isin(first)).write.parquet(f"{base}/drop/a")
+    dfs.compare_stream(spark, f"{base}/drop", schema, snap, panels, ckpt, STORE, "period")
+    s.filter(~F.col("period").isin(first)).write.parquet(f"{base}/drop/b")
+    dfs.compare_stream(spark, f"{base}/drop", schema, snap, panels, ckpt, STORE, "period")
+    return spark.read.parquet(f"{panels}/old").drop("batch_id")
+
+
+@query("stream_ingest", with_sales("""u AS (SELECT store_id, period, count(*) AS n_rows, sum(quantity) AS q, sum(net_sales) AS n
+                                    FROM sales GROUP BY store_id, period)
+SELECT store_id, period, n_rows, CAST(q AS DOUBLE) AS quantity, CAST(round(n, 2) AS DOUBLE) AS net_sales FROM u"""))
+def q_stream_ingest(spark, sf_dir):
+    """Every (store, year) becomes one CSV export in a drop folder; the stream
+    ingests them in micro-batches of files."""
+    base = scratch_path(spark, "stream-ingest")
+    s = _sales(spark, sf_dir).select("store_id", "period", "category", "item_name", "quantity", "net_sales")
+    s.repartition("store_id", "period").write.partitionBy("store_id", "period") \
+        .option("header", True).csv(f"{base}/drop")
+    dfs.ingest_stream(spark, f"{base}/drop", f"{base}/out", f"{base}/checkpoint")
+    got = spark.read.parquet(f"{base}/out/sales")
+    keyed = got.select(F.regexp_extract("upload_id", r"store_id=(\d+)", 1).cast("bigint").alias("store_id"),
+                       F.regexp_extract("upload_id", r"period=(\d+)", 1).cast("int").alias("period"),
+                       "quantity", "net_sales")
+    return keyed.groupBy("store_id", "period").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").cast("double").alias("quantity"),
+        _money_out(F.sum("net_sales")).alias("net_sales"))
