@@ -1388,3 +1388,34 @@ def q_stream_ingest(spark, sf_dir):
     return keyed.groupBy("store_id", "period").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").cast("double").alias("quantity"),
         _money_out(F.sum("net_sales")).alias("net_sales"))
+
+
+# ---------------------------------------------------------------- A23, S10 (nested document)
+from . import summary as sm  # noqa: E402
+
+
+@query("summary_document", with_sales(ITEMS_SQL.format(g="store_id,") + ",\n" + INSIGHTS_CTES + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY q DESC, item_name) AS rk FROM items),
+tc AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY n DESC, category) AS rk FROM cats),
+dr AS (SELECT store_id, min(date) AS a, max(date) AS b FROM sales GROUP BY store_id)
+SELECT d.store_id, strftime(a, '%b %d, %Y') AS start, strftime(b, '%b %d, %Y') AS "end",
+  (SELECT string_agg(item_name, '|' ORDER BY rk) FROM ranked r WHERE r.store_id = d.store_id AND rk <= 5) AS top_item_names,
+  (SELECT string_agg(category, '|' ORDER BY rk) FROM tc c WHERE c.store_id = d.store_id AND rk <= 5) AS top_category_names,
+  (SELECT string_agg(type, '|' ORDER BY seq) FROM ins i WHERE i.store_id = d.store_id) AS insight_types,
+  (SELECT max(rk) FROM ranked r WHERE r.store_id = d.store_id AND rk <= 5) AS n_top_items
+FROM dr d"""))
+def q_summary_document(spark, sf_dir):
+    doc = sm.summary_document(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+    return doc.select(
+        "store_id", F.col("date_range.start").alias("start"), F.col("date_range.end").alias("end"),
+        F.array_join(F.transform("top_items", lambda x: x["item_name"]), "|").alias("top_item_names"),
+        F.array_join(F.transform("top_categories", lambda x: x["category"]), "|").alias("top_category_names"),
+        F.array_join(F.transform("insights", lambda x: x["type"]), "|").alias("insight_types"),
+        F.size("top_items").cast("bigint").alias("n_top_items"))
+
+
+@query("summary_json", None)
+def q_summary_json(spark, sf_dir):
+    """One JSON reply per store (nested; checked for rows only)."""
+    doc = sm.summary_document(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+    return sm.summary_json(doc, STORE)
