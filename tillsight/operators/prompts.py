@@ -1,10 +1,9 @@
 """Prompt text per group from summary tables.
 
 A prompt is a short list of lines per group: a header, an optional focus block,
-one line per top item / category / insight, closing lines.  Lines are produced
-as rows ``(group…, ord, line)`` and joined per group with an ordered
-``collect_list`` — a group contributes at most ~25 lines (top lists are capped
-at N by construction), so the per-group array is bounded.
+one line per top item / category / insight, closing lines.  Each section is an
+ordered ``collect_list`` per group — at most N lines, since the inputs are
+top-N lists — and the sections are joined on the group key.
 """
 
 from __future__ import annotations
@@ -54,7 +53,8 @@ def _truthy(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0)) != 0
 
 
-def item_lines(top_items: DataFrame, group_cols: Sequence[str], units_word: str = "units sold") -> DataFrame:
+def item_lines(top_items: DataFrame, group_cols: Sequence[str], units_word: str = "units sold",
+               keep: Sequence[str] = ()) -> DataFrame:
     has_rev = "net_sales" in top_items.columns
     base = F.concat(F.lit("- "), F.col("item_name"), F.lit(": "), F.col("quantity").cast("string"),
                     F.lit(f" {units_word}"))
@@ -64,7 +64,7 @@ def item_lines(top_items: DataFrame, group_cols: Sequence[str], units_word: str
         line = F.when(_truthy(F.col("net_sales")), rich).otherwise(base)
     else:
         line = base
-    return top_items.select(*group_cols, F.col("rank").alias("k"), line.alias("line"))
+    return top_items.select(*group_cols, F.col("rank").alias("k"), line.alias("line"), *keep)
 
 
 def category_lines(top_cats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -77,13 +77,11 @@ def category_lines(top_cats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return top_cats.select(*group_cols, F.col("rank").alias("k"), line.alias("line"))
 
 
-def _section(lines: DataFrame, group_cols, section: int, title: str) -> DataFrame:
-    """Title line, the lines, then a blank line; ``ord = (section, k)``."""
-    groups = lines.select(*group_cols).distinct()
-    t = groups.select(*group_cols, F.lit(section).alias("s"), F.lit(0).alias("k"), F.lit(title).alias("line"))
-    body = lines.select(*group_cols, F.lit(section).alias("s"), F.col("k").cast("int").alias("k"), "line")
-    blank = groups.select(*group_cols, F.lit(section).alias("s"), F.lit(1 << 20).alias("k"), F.lit("").alias("line"))
-    return t.unionByName(body).unionByName(blank)
+def _section(lines: DataFrame, group_cols, title: str, name: str, extra=()) -> DataFrame:
+    """One ordered array per group: title, the lines by ``k``, a blank line."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])
+    return lines.groupBy(*group_cols).agg(
+        F.concat(F.array(F.lit(title)), body, F.array(F.lit(""))).alias(name), *extra)
 
 
 def user_prompt(top_items: DataFrame, top_cats: DataFrame, insights: DataFrame, group_cols: Sequence[str],
@@ -92,44 +90,37 @@ def user_prompt(top_items: DataFrame, top_cats: DataFrame, insights: DataFrame,
     "units", three numbered closing lines).  Returns ``(group…, prompt)``.
 
     ``selections`` = ``(group…, selected_item)``; the focus block appears only
-    when the selected name equals a top item's name (P12).
+    when the selected name equals a top item's name (P12).  Each input is
+    aggregated once into an ordered array per group; a section whose list is
+    empty is left out.
     """
     group_cols = list(group_cols)
     api = variant == "api"
-    parts = [
-        _section(item_lines(top_items, group_cols, "units" if api else "units sold"), group_cols, 2, ITEMS_TITLE),
-        _section(category_lines(top_cats, group_cols), group_cols, 3, CATS_TITLE),
-        _section(insights.select(*group_cols, F.col("seq").alias("k"),
-                                 F.concat(F.lit("- "), F.col("text")).alias("line")), group_cols, 4, INSIGHTS_TITLE),
-    ]
-    groups = parts[0].select(*group_cols).unionByName(parts[1].select(*group_cols)) \
-        .unionByName(parts[2].select(*group_cols)).distinct()
-    head = groups.select(*group_cols, F.lit(0).alias("s"), F.lit(0).alias("k"), F.lit(HEADER_LINE).alias("line")) \
-        .unionByName(groups.select(*group_cols, F.lit(0).alias("s"), F.lit(1).alias("k"), F.lit("").alias("line")))
-    closing = CLOSING_LINES_API if api else CLOSING_LINES
-    tail = None
-    for i, text in enumerate(closing):
-        t = groups.select(*group_cols, F.lit(5).alias("s"), F.lit(i).alias("k"), F.lit(text).alias("line"))
-        tail = t if tail is None else tail.unionByName(t)
-    lines = head.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2]).unionByName(tail)
+    items = top_items
+    focus_agg = []
     if selections is not None and not api:
-        focus = top_items.join(selections, [*group_cols], "inner") \
-            .filter(F.col("item_name") == F.col("selected_item")) \
-            .groupBy(*group_cols).agg(F.min("rank").alias("_r"), F.first("item_name").alias("_item"))
-        fl = None
-        for i, text in enumerate(FOCUS_LINES + ("",)):
-            if "{item}" in text:
-                pre, post = text.split("{item}")
-                line = F.concat(F.lit(pre), F.col("_item"), F.lit(post))
-            else:
-                line = F.lit(text)
-            t = focus.select(*group_cols, F.lit(1).alias("s"), F.lit(i).alias("k"), line.alias("line"))
-            fl = t if fl is None else fl.unionByName(t)
-        lines = lines.unionByName(fl)
-    out = lines.groupBy(*group_cols).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "k", "line"))),
-                                 lambda x: x["line"]), "\n").alias("prompt"))
-    return out
+        items = top_items.join(selections, group_cols, "left")
+        focus_agg = [F.min(F.when(F.col("item_name") == F.col("selected_item"), F.col("item_name"))).alias("_focus")]
+    il = item_lines(items, group_cols, "units" if api else "units sold",
+                    keep=["item_name", "selected_item"] if focus_agg else [])
+    sec_items = _section(il, group_cols, ITEMS_TITLE, "_items", focus_agg)
+    sec_cats = _section(category_lines(top_cats, group_cols), group_cols, CATS_TITLE, "_cats")
+    sec_ins = _section(insights.select(*group_cols, F.col("seq").alias("k"),
+                                       F.concat(F.lit("- "), F.col("text")).alias("line")),
+                       group_cols, INSIGHTS_TITLE, "_ins")
+    j = sec_items.join(sec_cats, group_cols, "full_outer").join(sec_ins, group_cols, "full_outer")
+    empty = F.array().cast("array<string>")
+    if focus_agg:
+        focus = F.when(F.col("_focus").isNotNull(), F.array(*[
+            F.concat(F.lit(t.split("{item}")[0]), F.col("_focus"), F.lit(t.split("{item}")[1])) if "{item}" in t
+            else F.lit(t) for t in FOCUS_LINES + ("",)])).otherwise(empty)
+    else:
+        focus = empty
+    closing = CLOSING_LINES_API if api else CLOSING_LINES
+    lines = F.concat(F.array(F.lit(HEADER_LINE), F.lit("")), focus,
+                     F.coalesce(F.col("_items"), empty), F.coalesce(F.col("_cats"), empty),
+                     F.coalesce(F.col("_ins"), empty), F.array(*[F.lit(t) for t in closing]))
+    return j.select(*group_cols, F.array_join(lines, "\n").alias("prompt"))
 
 
 def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequence[str]) -> DataFrame:

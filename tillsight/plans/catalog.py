@@ -88,6 +88,13 @@ def _sales(spark, sf_dir):
     return sales_view(spark, sf_dir)
 
 
+def _sales_table(spark, sf_dir):
+    """The sales view written once as a table, for queries that read it in
+    several branches (in production this is the ingest's output table)."""
+    from ..sources.exports import reliable_checkpoint
+    return reliable_checkpoint(sales_view(spark, sf_dir), "sales-view")
+
+
 # ---------------------------------------------------------------- A1-A5, O1-O3
 ITEMS_SQL = """items AS (
   SELECT {g} item_name, sum(quantity) AS q, sum(net_sales) AS n,
@@ -361,7 +368,7 @@ INSIGHTS_SQL = with_sales(INSIGHTS_CTES + "\nSELECT * FROM ins")
 
 @query("insights", INSIGHTS_SQL)
 def q_insights(spark, sf_dir):
-    return ins.insights(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+    return ins.insights(_sales_table(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
 
 
 # ---------------------------------------------------------------- J1-J4, W4-W8, U2
@@ -401,7 +408,7 @@ FROM prev_top t LEFT JOIN curr_all c
 
 
 def _period_sales(spark, sf_dir):
-    return _sales(spark, sf_dir)
+    return _sales_table(spark, sf_dir)
 
 
 @query("compare_panels_old", _panel_old_sql(FIXED_PAIRS_SQL))
@@ -910,7 +917,7 @@ def export_lines(spark, sf_dir) -> DataFrame:
                 F.when(ln == 4, F.array(line, F.lit("   ,,"))).otherwise(F.array(line)).alias("_ls"))
     # a quoted newline splits the text into two physical lines
     phys = rows.select("upload_id", "block", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
-                       F.posexplode(F.flatten(F.transform("_ls", lambda x: F.split(x, "\n")))).alias("sub", "line"))
+                       F.posexplode(F.split(F.array_join("_ls", "\n"), "\n")).alias("sub", "line"))
     data = phys.select("upload_id", F.struct(
         "block", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "sub").alias("off")).alias("pos"),
         "line")
@@ -1203,7 +1210,7 @@ from ..operators import prompts as pr  # noqa: E402
 
 
 def _store_summary(spark, sf_dir):
-    s = _sales(spark, sf_dir)
+    s = _sales_table(spark, sf_dir)
     top = agg.top_items(s, STORE, 5, with_revenue=True)
     cats = agg.top_categories(s, STORE, 5, with_revenue=True)
     insight_rows = ins.insights(s, STORE, premium_price=PREMIUM_PRICE)
@@ -1284,7 +1291,7 @@ def q_prompt_platform(spark, sf_dir):
     prompts = pr.user_prompt(top, cats, insight_rows, STORE)
     first = top.filter(F.col("rank") == 1).select(*STORE, F.col("item_name").alias("_first"))
     platform = F.element_at(F.array(*[F.lit(x) for x in PLATFORM_CHOICES]), (F.col("store_id") % 4 + 1).cast("int"))
-    req = prompts.select(*STORE).join(first, STORE, "left").select(
+    req = first.select(
         *STORE, platform.alias("platform"), (F.col("store_id") + 1000).alias("nonce"),
         F.when(platform == "instagram", F.col("_first")).alias("previous_text"))
     return pr.platform_prompt(prompts, req, STORE)
@@ -1405,7 +1412,7 @@ SELECT d.store_id, strftime(a, '%b %d, %Y') AS start, strftime(b, '%b %d, %Y') A
   (SELECT max(rk) FROM ranked r WHERE r.store_id = d.store_id AND rk <= 5) AS n_top_items
 FROM dr d"""))
 def q_summary_document(spark, sf_dir):
-    doc = sm.summary_document(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+    doc = sm.summary_document(_sales_table(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
     return doc.select(
         "store_id", F.col("date_range.start").alias("start"), F.col("date_range.end").alias("end"),
         F.array_join(F.transform("top_items", lambda x: x["item_name"]), "|").alias("top_item_names"),
@@ -1417,5 +1424,5 @@ def q_summary_document(spark, sf_dir):
 @query("summary_json", None)
 def q_summary_json(spark, sf_dir):
     """One JSON reply per store (nested; checked for rows only)."""
-    doc = sm.summary_document(_sales(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
+    doc = sm.summary_document(_sales_table(spark, sf_dir), STORE, premium_price=PREMIUM_PRICE)
     return sm.summary_json(doc, STORE)

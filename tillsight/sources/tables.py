@@ -33,7 +33,22 @@ ROW_KEY_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    Decided from file metadata only (split count).  A big table already has
+    many splits and is returned unchanged; a single-row-group file would
+    otherwise run all per-row work before the first shuffle in one task.
+    Round-robin repartitioning sorts rows first, so a retried task gets the
+    same rows (deterministic under executor loss).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def unit_price(gross_col: str = "gross_sales", qty_col: str = "quantity"):
@@ -41,13 +56,15 @@ def unit_price(gross_col: str = "gross_sales", qty_col: str = "quantity"):
 
     Both inputs are decimals with at most 4 places, so ``g4 = gross*1e4`` and
     ``q4 = qty*1e4`` are integers and ``(2*g4*1e6 + q4) div (2*q4)`` is the
-    half-up rounded quotient in millionths.  Null when quantity is not positive.
+    half-up rounded quotient in millionths.  Long arithmetic keeps it on the
+    fast path (a row's gross must stay below 4.6e8; ANSI mode raises past it).
+    Null when quantity is not positive.
     """
-    g4 = f"cast({gross_col} * 10000 as decimal(38,0))"
-    q4 = f"cast({qty_col} * 10000 as decimal(38,0))"
+    g4 = f"cast({gross_col} * 10000 as bigint)"
+    q4 = f"cast({qty_col} * 10000 as bigint)"
     return F.expr(
-        f"CASE WHEN {qty_col} > 0 THEN cast(({g4} * 2000000 + {q4}) div ({q4} * 2) "
-        f"* 0.000001 AS decimal(18,6)) END")
+        f"CASE WHEN {qty_col} > 0 THEN cast(cast(({g4} * 2000000 + {q4}) div ({q4} * 2) AS decimal(18,0)) "
+        f"* cast(0.000001 AS decimal(6,6)) AS decimal(18,6)) END")
 
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
