@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from ..contracts import col_
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_text(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing whitespace incl. tabs/newlines."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: drop leading/trailing whitespace (no regex)."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def money_text(c) -> Column:
