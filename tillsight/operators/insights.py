@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import money_out, ratio_pct, whole_units
 from ..functions.text import fixed_text, money_text, plain_money_text
-from .ranking import join_on_group
+from .ranking import join_on_group, top_k
 
 # Insight kinds, in the order they are listed.
 KIND_BESTSELLER = "bestseller"
@@ -109,8 +109,7 @@ def monthly_trend(sales: DataFrame, group_cols: Sequence[str], max_months: int =
         .agg(F.sum("quantity").alias("qty_sum"))
     top = mc.groupBy(*group_cols, "month").agg(
         F.min_by("category", F.struct((-F.col("qty_sum")).alias("m"), F.col("category"))).alias("category"))
-    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("month")
-    ranked = top.withColumn("month_rank", F.row_number().over(w)).filter(F.col("month_rank") <= max_months)
+    ranked = top_k(top, group_cols, [F.col("month")], max_months, rank_col="month_rank")
     return ranked.select(*group_cols, "month_rank", "month", "category",
                          F.concat(F.lit("Higher "), F.lower("category"), F.lit(" sales in "),
                                   F.col("month")).alias("text"))
