@@ -418,6 +418,27 @@ def q_compare_panels_old(spark, sf_dir):
     return cmp.top_panels(s, pairs, STORE, "period", 5)[0]
 
 
+@query("status_class", "SELECT store_id, prev_upload, curr_upload, prev_rank, item_name, status,\n"
+       "  CASE WHEN status IS NULL THEN 'status-neutral' WHEN lower(status) LIKE '%still%' THEN 'status-good'\n"
+       "       WHEN lower(status) LIKE '%dropped%' THEN 'status-bad'\n"
+       "       WHEN lower(status) LIKE '%entered%' OR lower(status) LIKE '%new%' THEN 'status-info'\n"
+       "       ELSE 'status-neutral' END AS status_class,\n"
+       "  CASE WHEN pct_change IS NULL OR isnan(pct_change) THEN '—'\n"
+       "       ELSE (CASE WHEN pct_change > 0 THEN '+' ELSE '' END) || printf('%.1f', pct_change) || '%' END AS pct_text,\n"
+       "  CASE WHEN pct_change > 0 THEN 'percent-good' WHEN pct_change < 0 THEN 'percent-bad'\n"
+       "       ELSE 'percent-neutral' END AS pct_class\n"
+       "FROM (" + _panel_old_sql(FIXED_PAIRS_SQL) + ") panel")
+def q_status_class(spark, sf_dir):
+    """W6 consumer + F11/F13: the UI classes of the previous-period panel."""
+    from ..functions import text as tx
+    panel = q_compare_panels_old(spark, sf_dir)
+    return panel.select(
+        "store_id", "prev_upload", "curr_upload", "prev_rank", "item_name", "status",
+        tx.status_class("status").alias("status_class"),
+        tx.signed_pct_text("pct_change").alias("pct_text"),
+        tx.sign_class("pct_change", "percent-good", "percent-bad", "percent-neutral").alias("pct_class"))
+
+
 @query("compare_panels_new", with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + f"""
 SELECT p.store_id, p.prev_upload, p.curr_upload, CAST(r.rk AS INTEGER) AS curr_rank, r.item_name,
        {int_sql('r.q')} AS curr_qty
