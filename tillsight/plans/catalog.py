@@ -659,6 +659,33 @@ def q_currency_text(spark, sf_dir):
                     tx.sign_class("c_acctbal").alias("balance_class"))
 
 
+@query("quantity_fallback", """WITH q AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'F' THEN 0
+              ELSE CAST(l_quantity AS BIGINT) END AS quantity,
+         CASE WHEN l_returnflag = 'A' THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS total_sold
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, quantity, total_sold,
+       coalesce(quantity, total_sold, 0) AS qty_py,
+       coalesce(nullif(quantity, 0), nullif(total_sold, 0), 0) AS qty_js
+FROM q""")
+def q_quantity_fallback(spark, sf_dir):
+    """F16 over every lineitem row: missing (return flag R) and zero (line
+    status F) quantities fall back to a total that is missing for flag A."""
+    from ..functions.coerce import fallback_quantity
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    q = li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", F.lit(None).cast("bigint"))
+        .when(F.col("l_linestatus") == "F", F.lit(0).cast("bigint"))
+        .otherwise(F.col("l_quantity").cast("bigint")).alias("quantity"),
+        F.when(F.col("l_returnflag") == "A", F.lit(None).cast("bigint"))
+        .otherwise(F.col("l_quantity").cast("bigint")).alias("total_sold"))
+    return q.select("*", fallback_quantity("quantity", "total_sold").alias("qty_py"),
+                    fallback_quantity("quantity", "total_sold", falsy=True).alias("qty_js"))
+
+
 @query("percent_text", """WITH o AS (
   SELECT o_orderkey, o_custkey, o_totalprice,
          lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
