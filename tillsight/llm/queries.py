@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import bpe, pii, secrets, toxicity
+from tillsight.llm import bpe, pii, secrets, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(read(spark, sf_dir, "documents")))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(read(spark, sf_dir, "documents")))
