@@ -188,6 +188,9 @@ def labelled_pages() -> list[str]:
         after = "</article>" * (k % 4 == 3) + after
         page = f"<body><!--label 0-->{_UNMARKED[k % 3]}{before}<!--label 1-->{wrap.format(main)}<!--label 0-->{after}"
         pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], page))
+        # an article of one block between menus
+        one = f"<body><!--label 0-->{_NOT_MAIN[0]}<!--label 1-->{wrap.format(_MAIN[k % len(_MAIN)])}<!--label 0-->{after}"
+        pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], one))
         # the same without a tag that marks the article: long text and its neighbours must do
         bare = f"<body><!--label 0-->{before}<p>{{0}} {{2}}</p>{_BARE_LINKED}<div><!--label 1-->{''.join(_BARE_MAIN)}</div><!--label 0-->{_BARE_LINKED}<p>{{1}}</p>{after}"
         pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], bare))
