@@ -192,9 +192,9 @@ def labelled_pages() -> list[str]:
         one = f"<body><!--label 0-->{_NOT_MAIN[0]}<!--label 1-->{wrap.format(_MAIN[k % len(_MAIN)])}<!--label 0-->{after}"
         pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], one))
         # the same without a tag that marks the article: long text and its neighbours must do
-        bare = f"<body><!--label 0-->{before}<p>{{0}} {{2}}</p>{_BARE_LINKED}<div><!--label 1-->{''.join(_BARE_MAIN)}</div><!--label 0-->{_BARE_LINKED}<p>{{1}}</p>{after}"
+        bare = f"<body><!--label 0-->{before}{('<p>{0} {2}</p>' + _BARE_LINKED) * (k % 3 == 1)}<div><!--label 1-->{''.join(_BARE_MAIN)}</div><!--label 0-->{(_BARE_LINKED + '<p>{1}</p>') * (k % 3 == 0)}{after}"
         pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], bare))
-    return pages
+    return [*pages, "<!--label 1-->" + _LONG, "<!--label 1--><p>" + _LONG + "</p>"]
 
 
 def labelled_table() -> tuple[list[list[float]], list[int]]:
