@@ -3,7 +3,7 @@
 A page is read once into flat blocks, the runs of text between block-level tags.  Each
 block has its word count, its link density, those of its neighbours, and a few marks of
 its place (inside an article, inside a container that a tag or class names as navigation,
-notice, form, comments ...; a heading; a copyright sign; closing punctuation).  A decision tree
+notice, form, comments ...; a heading; closing punctuation).  A decision tree
 (CART, Gini) trained on the small labelled pages below keeps or drops it.  The tree is
 trained on the driver from fixed rows and sent to the executors; pages never leave them.
 
@@ -147,7 +147,7 @@ def features(blocks: list[Block]) -> list[list[float]]:
     own = [b.own(marked) for b in blocks]
     return [
         [*own[i], *(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(own) else edge), float(b.heading),
-         float(b.text[-1] in ".!?:;\"'…"), float("©" in b.text)]
+         float(b.text[-1] in ".!?:;\"'…")]
         for i, b in enumerate(blocks)
     ]
 
@@ -162,7 +162,7 @@ _NOT_MAIN = (
     "<div id=cookie-notice><p>" + _LONG + " <a href=/x>{0}</a></p></div>", "<div class='sidebar'>" + _LINKS + "</div>",
     "<section class=comments><h3>{1}</h3><p>" + _LONG + "</p><p>{0}</p></section>", "<footer>&copy; {0} {1} &middot; " + _LONG + "</footer>",
 )
-_BARE_NOT_MAIN = ("<div>" + _LINKS + "</div>", "<div><a href=/p>{0} {1}</a> | <a href=/q>{2}</a></div>", "<div>&copy; {0} {1}</div>")
+_BARE_NOT_MAIN = ("<div>" + _LINKS + "</div>", "<div><a href=/p>{0} {1}</a> | <a href=/q>{2}</a></div>")
 _MAIN = ("<h1>{0} {1}</h1>", "<p>{0} <a href=/r>{1}</a> " + _LONG + "</p>", "<h1>{2}</h1>", "<p>&copy; {1} {0}</p>", "<p>" + _LONG + "</p>", "<p>{0}</p>", "<p><b>{1}<br><p>" + _LONG, "<h2>{2}</h2><p>{0} {1} {2}</p>",
          "<ul><li>{0}</li><li>" + _LONG + "</li></ul>", "<p>{0} <a href=/r>{1}</a> " + _LONG + "</p>", "<blockquote>{1}</blockquote>")
 #: Parts of an article element that are no main text.
@@ -179,7 +179,7 @@ def labelled_pages() -> list[str]:
     pages = []
     for k in range(5 * len(_NOT_MAIN)):
         words = [_SHORT[(k + j) % 3] if j else _WORDS[k % len(_WORDS)] for j in range(3)]
-        before = _NOT_MAIN[k % len(_NOT_MAIN)] + _BARE_NOT_MAIN[k % 3]
+        before = _NOT_MAIN[k % len(_NOT_MAIN)] + _BARE_NOT_MAIN[k % 2]
         after = _NOT_MAIN[(k * 4 + 8) % len(_NOT_MAIN)]
         main = "".join(_MAIN[(k + j) % len(_MAIN)] for j in range(3))
         main += f"<!--label 0-->{_INNER_NOT_MAIN[k % len(_INNER_NOT_MAIN)]}<!--label 1-->" + "".join(_MAIN[(k + j) % len(_MAIN)] for j in range(3, 5))
