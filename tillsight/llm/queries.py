@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, decontaminate, html_text, neighbours, pii, secrets, simhash, toxicity
+from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, secrets, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(debruijn.repeated_spans(read(spark, sf_dir, "documents")))
+
+
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
