@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, secrets, simhash, toxicity
+from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, secrets, simhash, suffixes, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -44,6 +44,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+@query
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read(spark, sf_dir, "documents")))
