@@ -195,11 +195,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     return coded.select(id_col, F.col("__coded.ids").alias("ids"), F.col("__coded.decoded").alias("decoded"))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest_columns() -> list[Column]:
     """Token count and SHA-256 digests of the ids and of the decoded text."""
-    return encoded.select(
-        id_col,
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return encoded.select(id_col, *digest_columns())

@@ -134,19 +134,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
               max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each group: the one of the least id (then fingerprint, then
-    text hash); null ids come last.  All columns stay as they are."""
+    hash of the text); null ids come last, and of rows alike in id and text one stays.
+    The columns stay as they are."""
     checkpoint_dir(docs.sparkSession)
-    mark, text_mark = "__simhash_fp", "__simhash_text"
-    marked = docs.withColumns({mark: fingerprint_column(F.col(text_col), shingle),
-                               text_mark: F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))}).checkpoint()
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(mark), F.col(text_mark))
-    best = marked.groupBy(F.col(mark).alias("fp")).agg(F.min(rank).alias("best")).checkpoint()
+    key = ["__no_id", "__id", "__fp", "__text"]  # none is null, so the join keeps the rows where dropDuplicates needs them
+    marked = docs.withColumns({
+        "__no_id": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__order": F.col(id_col),
+        "__fp": fingerprint_column(F.col(text_col), shingle), "__text": F.xxhash64(text_col)})
+    best = marked.groupBy("__fp").agg(F.min(F.struct("__no_id", "__order", "__id", "__fp", "__text")).alias("best"))
+    best = best.select(F.col("__fp").alias("fp"), "best").checkpoint()
     rooted = groups(best.select("fp"), max_distance)
-    kept = rooted.join(best, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.col2").alias("k_id"), F.col(f"best.{mark}").alias("k_fp"), F.col(f"best.{text_mark}").alias("k_text"))
-    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["k_id"]) & (marked[mark] == kept["k_fp"]) & (marked[text_mark] == kept["k_text"]), "left_semi")
-    # rows alike in every column pass together; one of them stays
-    return rows.dropDuplicates([id_col, mark, text_mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*").select(*[F.col(k).alias(f"kept{k}") for k in key])
+    one = [marked[k] == kept[f"kept{k}"] for k in key]
+    rows = marked.join(kept, one[0] & one[1] & one[2] & one[3], "left_semi").dropDuplicates(key)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
