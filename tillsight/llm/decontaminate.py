@@ -3,9 +3,10 @@
 Words become template tokens: numbers, units and names (capitalised inside a sentence)
 turn into typed placeholders, other words into lower case without outer punctuation.
 Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the
-benchmark items.  A joined window carries the values in its placeholders (slots); for each
-document and item the most frequent value of each item value is taken, and windows
-that disagree with it don't count.  So an item whose numbers and names were changed all
+benchmark items.  A joined window carries the values in its placeholders (slots).  For each
+document and item, each item value gets one document value: the one it has where the
+item lies against the document with the most windows, the more frequent one there.
+Windows that disagree with it don't count.  So an item whose numbers and names were changed all
 through is caught, and scattered windows that only share placeholders are not.  A document
 holds an item if at least ``SIMILARITY`` of the item's windows are found.
 
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.session import checkpoint_dir
+
 WINDOW = 5
 SIMILARITY = 0.8
 SENT_WINDOWS = 1_000_000
 #: Words that one Python worker keeps; past it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 # What counts as a unit or a number word.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters "
@@ -49,6 +52,7 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*%?")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 LITERAL, NUM, UNIT, NAME = range(4)
 MARKS = np.array([0, 0x4E554D, 0x554E4954, 0x4E414D45], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -59,9 +63,11 @@ HITS = "array<struct<hash:long,pos:int,template:string,slots:array<string>>>"
 
 def core(word: str) -> tuple[str, int]:
     """A word's lower-case core and its kind; a capitalised word is a name where no sentence begins."""
-    if (m := NUMBER.search(word)) and not any(c.isalpha() for c in word):
-        return m.group(), NUM
-    bare = EDGES.sub("", word) or word
+    bare = word.strip(PUNCTUATION)
+    if not bare.isalpha():  # most words are
+        if (m := NUMBER.search(word)) and not any(c.isalpha() for c in word):
+            return m.group(), NUM
+        bare = EDGES.sub("", word) or word
     low = bare.lower()
     if low in NUMBER_WORDS:
         return low, NUM
@@ -70,39 +76,46 @@ def core(word: str) -> tuple[str, int]:
     return low, NAME if bare[0].isupper() else LITERAL
 
 
-class Templates:
-    """Text -> template windows.  Keeps the words it has seen."""
+class Words(dict):
+    """Word -> its number; by number: core, hash, kind, and whether it ends a sentence."""
 
-    def __init__(self, lengths: tuple[int, ...]):
-        self.lengths = lengths
-        self.reset(CACHE_WORDS)
+    def __init__(self, room: int):
+        from xxhash import xxh64_intdigest
 
-    def reset(self, room: int) -> None:
-        self.known: dict[str, int] = {}
+        super().__init__()
+        self.digest = xxh64_intdigest
         self.cores: list[str] = []
         self.hash, self.kind, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool)
 
-    def number_of(self, word: str) -> int:
-        import xxhash
-
-        i = self.known.get(word)
-        if i is None:
-            i = self.known[word] = len(self.cores)
-            low, kind = core(word)
-            self.cores.append(low)
-            self.hash[i], self.kind[i], self.ends[i] = xxhash.xxh64_intdigest(low), kind, word[-1] in ".!?:"
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self.cores)
+        low, kind = core(word)
+        self.cores.append(low)
+        self.hash[i] = self.digest(low)
+        if kind:
+            self.kind[i] = kind
+        if word[-1] in ".!?:":
+            self.ends[i] = True
         return i
 
+
+class Templates:
+    """Text -> template windows.  Keeps the words it has seen."""
+
+    def __init__(self, lengths: tuple[int, ...]):
+        self.lengths, self.known = lengths, Words(CACHE_WORDS)
+
     def windows(self, text: str | None, keep=None) -> list[tuple[int, int, str, list[str]]]:
         """(hash, position, template, slot values), for the hashes that ``keep`` accepts."""
         words = (text or "").split()
         if not words:
             return []
-        if len(self.cores) + len(words) > len(self.hash):
-            self.reset(max(CACHE_WORDS, 2 * len(words)))
-        ids = np.fromiter(map(self.number_of, words), np.int64, len(words))
-        kind, plain = self.kind[ids], self.hash[ids]
-        first = np.concatenate(([True], self.ends[ids[:-1]]))
+        if len(self.known) + len(words) > len(self.known.hash):
+            self.known = Words(max(CACHE_WORDS, 2 * len(words)))
+        known = self.known
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        kind, plain = known.kind[ids], known.hash[ids]
+        first = np.concatenate(([True], known.ends[ids[:-1]]))
         kind = np.where(first & (kind == NAME), LITERAL, kind)
         token = np.where(kind == LITERAL, plain, MARKS[kind])
         found = []
@@ -120,7 +133,7 @@ class Templates:
                 hit = keep(hashes) if keep else np.arange(len(hashes))
                 for p, x in zip(at[hit].tolist(), hashes[hit].view(np.int64).tolist()):
                     kinds = [LITERAL if literal and j == 0 else int(kind[p + j]) for j in range(n)]
-                    cores = [self.cores[i] for i in ids[p : p + n]]
+                    cores = [known.cores[i] for i in ids[p : p + n]]
                     found.append((x, p, " ".join(SHOWN[k] or c for k, c in zip(kinds, cores)), [c for k, c in zip(kinds, cores) if k]))
         return found
 
@@ -160,6 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item id, n_windows, similarity) for each document and item it holds."""
     spark = docs.sparkSession
+    checkpoint_dir(spark)
     words = F.size(F.filter(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"\s+"), lambda w: w != ""))
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("item_text"), F.col(item_text_col).alias("t"),
                              F.least(words, F.lit(window)).alias("n")).where("n > 0").dropDuplicates(["item", "item_text"])
@@ -177,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("doc_text"), F.col(text_col).alias("t"))
     hits = template_windows(rows, "t", lengths, sent)
-    both = hits.join(asked, ["hash", "template"])
+    both = hits.join(asked, ["hash", "template"]).checkpoint()  # read twice below: the documents are scanned once
     key = ["doc", "doc_text", "item", "item_text"]
     pairs = both.select(*key, "item_pos", F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("got"))).alias("s"))
     votes = pairs.groupBy(*key, "s").agg(F.count_distinct("item_pos").alias("n"))
