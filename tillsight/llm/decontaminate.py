@@ -193,9 +193,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = template_windows(rows, "t", lengths, sent)
     both = hits.join(asked, ["hash", "template"]).checkpoint()  # read twice below: the documents are scanned once
     key = ["doc", "doc_text", "item", "item_text"]
-    pairs = both.select(*key, "item_pos", F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("got"))).alias("s"))
-    votes = pairs.groupBy(*key, "s").agg(F.count_distinct("item_pos").alias("n"))
-    best = votes.groupBy(*key, F.col("s.asked").alias("asked")).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("s.got").alias("got"))).alias("b"))
+    pairs = both.select(*key, (F.col("pos") - F.col("item_pos")).alias("shift"), F.explode(
+        F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("got"))).alias("s"))
+    shifts = both.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("windows"))
+    votes = pairs.groupBy(*key, "shift", "s").agg(F.count("*").alias("n"))
+    same_shift = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*key, "shift")]
+    weighed = votes.alias("v").join(shifts.alias("w"), same_shift[0] & same_shift[1] & same_shift[2] & same_shift[3] & same_shift[4])
+    # the item laid against the document at its best place decides first, then the count, then the value
+    place = F.struct((-F.col("w.windows")).alias("w"), F.col("w.shift").alias("shift"), (-F.col("v.n")).alias("n"), F.col("v.s.got").alias("got"))
+    best = weighed.groupBy(*[F.col(f"v.{k}").alias(k) for k in key], F.col("v.s.asked").alias("asked")).agg(F.min(place).alias("b"))
     chosen = best.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("asked", "b.got"))).alias("chosen"))
     left, right = both.alias("m"), chosen.alias("c")
     same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
