@@ -33,7 +33,7 @@ def test_all_parts_are_exact(spark, vectors):
 
 
 def test_recall(spark, vectors, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROWS_A_PART", 200)
+    monkeypatch.setattr(neighbours, "ROWS_A_SQUARE", 20)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 50)
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")

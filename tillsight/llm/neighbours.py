@@ -43,7 +43,8 @@ SAMPLE = 8_192
 HELD_OUT = 512
 NEIGHBOURS = 10
 TARGET = 0.96
-ROWS_A_PART = 1_000
+#: The number of parts grows with the square root of the rows: (parts * parts) * this <= rows.
+ROWS_A_SQUARE = 100
 MOST_PARTS = 256
 #: Rows and queries compared in one task at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 2_048
@@ -69,8 +70,8 @@ def neighbour_graph(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Directed edges to the ``k`` vectors of largest inner product."""
     k = min(k, len(x) - 1)
     ends = []
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
+    for i in range(0, len(x), 256):  # a few MB at a time on the driver
+        s = x[i : i + 256] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         ends.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
     return np.repeat(np.arange(len(x)), k), np.concatenate(ends).ravel()
@@ -136,7 +137,7 @@ def trained(x: np.ndarray, label: np.ndarray, parts: int) -> np.ndarray:
 def fit(x: np.ndarray, rows: int, k: int = K) -> Router:
     """``x``: the sample; ``rows``: how many vectors the whole table has."""
     parts = 1
-    while parts * 2 * ROWS_A_PART <= rows and parts * 64 <= len(x) and parts < MOST_PARTS:
+    while (2 * parts) ** 2 * ROWS_A_SQUARE <= rows and parts * 64 <= len(x) and parts < MOST_PARTS:
         parts *= 2
     if parts == 1:
         return Router(np.zeros((x.shape[1] + 1, 1)), 1)
