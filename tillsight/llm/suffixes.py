@@ -39,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.windows import BASES, BLOCK, RangeHash, anchors, mixed
+from tillsight.llm.windows import PLACE, mixed
 
 LENGTH = 50
 GRAM = 20
+#: Strings looked at in one go.
+BLOCK = 1 << 15
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 ANSWER = "chunk long, kind int, bucket long, bits binary"
@@ -51,54 +53,89 @@ OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept bin
 U = np.uint64
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` bytes (8 at least), by start."""
-    m = len(data) - k + 1
-    if m <= 0:
-        return np.zeros(0, U)
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    out = np.empty(m, U)
-    for at in range(0, m, BLOCK):
-        end = min(m, at + BLOCK)
-        h = mixed(words[at:end] + U(k))
-        for step in [*range(8, k - 7, 8), *([k - 8] if k % 8 else [])]:
-            h = mixed(h ^ words[at + step : end + step])
-        out[at:end] = h
-    return out
+FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def anchor_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring strings of ``length`` bytes with the same anchor: their starts, and
+    the anchors' hashes.  A block at a time, so that the work stays in the cache."""
+    n, span, words = len(data) - length + 1, length - gram + 1, words_of(data)
+    at_byte = [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]
+    starts, places, hashes = [], [], []
+    for at in range(0, max(n, 0), BLOCK):
+        m = min(BLOCK, n - at) + span - 1
+        h = words[at : at + m] * FACTORS[0]
+        for j, step in enumerate(at_byte[1:], 1):
+            h += words[at + step : at + step + m] * FACTORS[j % len(FACTORS)]
+        h ^= h >> U(32)
+        h *= FACTORS[-1]
+        low = (h & ~PLACE) | np.arange(m, dtype=U)
+        step = 1
+        while step * 2 <= span:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if step < span:
+            low = np.minimum(low[: step - span], low[span - step :])
+        new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        place = (low[new] & PLACE).astype(np.int64)
+        starts.append(new + at)
+        places.append(place + at)
+        hashes.append(h[place])
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    start, place, h = np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
+    new = np.concatenate(([True], place[1:] != place[:-1]))  # a block may go on with the last one's run
+    return start[new], h[new]
+
+
+def short_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each range of at most some dozen bytes."""
+    h1, h2 = lengths.astype(U) * FACTORS[0], lengths.astype(U) * FACTORS[1]
+    for step in range(0, int(lengths.max(initial=0)), 8):
+        left = lengths - step
+        w = words[np.minimum(starts + step, len(words) - 1)]
+        w = np.where(left >= 8, w, w & ((U(1) << (U(8) * np.clip(left, 0, 7).astype(U))) - U(1)))
+        on = left > 0
+        h1 = np.where(on, mixed(h1 ^ w), h1)
+        h2 = np.where(on, mixed(h2 + w * FACTORS[2]), h2)
+    return h1, h2
 
 
 class Chunk:
-    """The rows of a chunk as one byte array, and the stretches of strings that share an anchor."""
+    """The rows of a chunk as one byte array, and the stretches of strings that share an anchor.
+
+    Nothing that is sent or answered depends on the order of the rows."""
 
     def __init__(self, rows: pa.Table, length: int, gram: int, buckets: int):
-        ids, texts = rows.column("id").combine_chunks(), rows.column("text").combine_chunks()
-        # the same order in every pass, whatever order the shuffle brings the rows in
-        raw = [(t or "").encode("utf-8") for t in texts.to_pylist()]
-        key = [(i is None, i or 0, t) for i, t in zip(ids.to_pylist(), raw)]
-        order = sorted(range(len(raw)), key=key.__getitem__)
-        self.ids = [None if key[i][0] else key[i][1] for i in order]
-        self.texts = [raw[i] for i in order]
-        lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.ends = np.cumsum(lengths)
-        self.starts = self.ends - lengths
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        texts = rows.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        self.starts, self.ends = edges[:-1] - edges[0], edges[1:] - edges[0]
+        self.ids = rows.column("id").combine_chunks()
         self.length, self.buckets = length, buckets
         self.find(gram)
 
     def find(self, gram: int) -> None:
-        n, length = len(self.data), self.length
-        at = anchors(grams := gram_hashes(self.data, gram), length - gram + 1) if n >= length else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)[: len(at)]
-        known = np.array([i is not None for i in self.ids], bool)
-        inside = (np.arange(len(at)) + length <= self.ends[row]) & known[row] if len(at) else np.zeros(0, bool)
-        first = inside.copy()
-        first[1:] &= ~(inside[:-1] & (at[1:] == at[:-1]) & (row[1:] == row[:-1]))
-        self.s0 = np.flatnonzero(first)  # first and last string of each stretch
-        last = inside.copy()
-        last[:-1] &= ~(inside[1:] & (at[1:] == at[:-1]) & (row[1:] == row[:-1]))
-        self.s1 = np.flatnonzero(last)
-        self.doc = np.array([i or 0 for i in self.ids], np.int64)[row[self.s0]] if len(self.s0) else np.zeros(0, np.int64)
-        code = mixed(grams[at[self.s0]] ^ U(0xA24BAED4963EE407)) if len(self.s0) else np.zeros(0, U)
+        run, h = anchor_runs(self.data, self.length, gram)
+        known = np.asarray(self.ids.is_valid()) & (self.ends - self.starts >= self.length)
+        first, last = self.starts[known], self.ends[known] - self.length  # strings of the documents
+        # runs don't stop at documents: cut them to each one's strings
+        a, b = np.searchsorted(run, first, side="right") - 1, np.searchsorted(run, last, side="right") - 1
+        count = b - a + 1
+        doc = np.repeat(np.arange(len(first)), count)
+        which = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+        stop = np.append(run[1:], len(self.data))[which] - 1 if len(run) else which
+        self.s0 = np.maximum(run[which], first[doc])  # first and last string of each stretch
+        self.s1 = np.minimum(stop, last[doc])
+        self.row = np.flatnonzero(known)[doc]
+        self.doc = np.asarray(self.ids.fill_null(0)).astype(np.int64)[self.row]
+        code = mixed(h[which] ^ U(0xA24BAED4963EE407))
         bucket = ((code >> U(32)) * U(self.buckets)) >> U(32)
         self.code = (bucket << U(32)) | (code & U(0xFFFFFFFF))
         self.codes, self.code_of = np.unique(self.code, return_inverse=True)
@@ -121,7 +158,7 @@ class Chunk:
         """Distinct stretches under shared codes, by code; their smallest document, and whose they are."""
         self.of = np.flatnonzero(shared[self.code_of])
         a, b = self.s0[self.of], self.s1[self.of] + self.length
-        h1, h2 = (RangeHash(self.data.astype(U) + U(1), base)(a, b) for base in BASES)
+        h1, h2 = short_hashes(words_of(self.data), a, b - a)
         code = self.code[self.of]
         order = np.lexsort((a, self.doc[self.of], h2, h1, code))
         new = np.ones(len(order), bool)
@@ -204,7 +241,7 @@ def answer_stretches(bucket: pa.Table, length: int) -> pa.Table:
     data = np.concatenate([np.frombuffer(b, np.uint8, offset=n) for b, n in zip(blobs, sizes.tolist())])
     ends = np.cumsum(lens)
     starts = ends - lens
-    h1, h2 = (RangeHash(data.astype(U) + U(1), base)(starts, ends) for base in BASES)
+    h1, h2 = short_hashes(words_of(data), starts, lens)
     order = np.lexsort((docs, h2, h1, codes))
     c, x, y = codes[order], h1[order], h2[order]
     new_code = np.concatenate(([True], c[1:] != c[:-1]))
@@ -268,20 +305,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mask = np.where(chunk.doc[chunk.of] > chunk.s_doc[chunk.stretch_of], np.uint32(0xFFFFFFFF), mask)
         hit = np.flatnonzero(mask)
         first, strings = chunk.s0[chunk.of][hit], (chunk.s1 - chunk.s0)[chunk.of][hit] + 1
-        at = np.repeat(first, strings)
+        at, row = np.repeat(first, strings), np.repeat(chunk.row[chunk.of][hit], strings)
         place = np.arange(len(at)) - np.repeat(np.cumsum(strings) - strings, strings)
-        found = (at + place)[np.repeat(mask[hit], strings) >> place.astype(np.uint32) & np.uint32(1) > 0]
-        depth = np.zeros(len(chunk.data) + 1, np.int32)
-        np.add.at(depth, found, 1)
-        np.add.at(depth, found + length, -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        out = []
-        for i, t, a, e in zip(chunk.ids, chunk.texts, chunk.starts.tolist(), chunk.ends.tolist()):
-            part = gone[a:e]
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], part, [0])).astype(np.int8)))
-            spans = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            kept = t if not spans else chunk.data[a:e][~part].tobytes()
-            out.append({"id": i, "n_bytes": len(t), "spans": spans, "kept": kept})
+        gone = np.repeat(mask[hit], strings) >> place.astype(np.uint32) & np.uint32(1) > 0
+        found, row = (at + place)[gone], row[gone]  # strings to remove, in order
+        new = np.concatenate(([True], (np.diff(found) > length) | (row[1:] != row[:-1]))) if len(found) else np.zeros(0, bool)
+        span_row, span_from = row[new], found[new]
+        span_to = found[np.append(np.flatnonzero(new)[1:] - 1, len(found) - 1)] + length if len(found) else found
+        begin, end = np.searchsorted(span_row, np.arange(len(chunk.starts))), np.searchsorted(span_row, np.arange(len(chunk.starts)), side="right")
+        out, whole = [], chunk.data
+        for i, x, y, a, e in zip(chunk.ids.to_pylist(), begin.tolist(), end.tolist(), chunk.starts.tolist(), chunk.ends.tolist()):
+            spans = list(zip(span_from[x:y].tolist(), span_to[x:y].tolist()))
+            kept, done = [], a
+            for f, t in spans:
+                kept.append(whole[done:f].tobytes())
+                done = t
+            kept.append(whole[done:e].tobytes())
+            out.append({"id": i, "n_bytes": e - a, "spans": [{"start": f - a, "end": t - a} for f, t in spans], "kept": b"".join(kept)})
         return _table(out, OUT_TYPE)
 
     def stretch_answers(table: pa.Table) -> pa.Table:
