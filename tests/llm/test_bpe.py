@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -39,6 +40,15 @@ def test_last_tokens_equal_plain_merging(coder):
         assert coder.encode_word(word) == [coder.id_of[p] for p in plain]
 
 
+def test_compatible_equals_merging(coder):
+    rng = random.Random(3)
+    symbols = {i: s for s, i in coder.id_of.items()}
+    sound = [i for i, s in symbols.items() if coder.merged(s) == [s]]
+    for _ in range(5000):
+        a, b = rng.choice(sound), rng.choice(sound)
+        assert coder.compatible(a, b) == (coder.merged(symbols[a] + symbols[b]) == [symbols[a], symbols[b]])
+
+
 def test_rows(spark, odd, odd_rows, empty, library):
     got = bpe.digests(bpe.encode_documents(odd, tokenizer_file())).collect()
     want = []
