@@ -87,6 +87,20 @@ def test_keyless_rank_matches_sort(sales):
     assert got == [(i + 1, r["item_name"]) for i, r in enumerate(rows)]
 
 
+def test_keyless_rank_at_many_partitions(spark):
+    """No row is lost and no rank is wrong when the session has 200 shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(300_000).select(F.col("id"), (F.xxhash64("id") % 1000).alias("v"))
+        ranked = rank_all(df, [], [F.col("v").desc(), F.col("id")])
+        wrong = ranked.select("rank", "v", "id").toPandas().sort_values("rank")
+        assert len(wrong) == 300_000 and list(wrong["rank"]) == list(range(1, 300_001))
+        assert wrong.sort_values(["v", "id"], ascending=[False, True])["rank"].is_monotonic_increasing
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_keyless_monthly_trend(sales):
     got = _rows(ins.monthly_trend(sales, [], max_months=2), ["month_rank"])
     mc = agg.month_category(sales, []).collect()

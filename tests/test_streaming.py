@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillsight.operators import compare as cmp
 from tillsight.sources.tables import sales_view
-from tillsight.streaming.dropfolder import compare_batch
+from tillsight.streaming.dropfolder import compare_batch, latest_panels
 
 SF = "/root/testdata/sf0.001"
 STORE = ["store_id"]
@@ -41,7 +41,19 @@ def test_replayed_batch_changes_nothing(spark):
     # streamed panels of both batches = batch compare over all uploads
     pairs = cmp.successive_pairs(s, STORE, "period")
     want_old, want_new = cmp.top_panels(s, pairs, STORE, "period", 5)
-    got_old = spark.read.parquet(f"{panels}/old").drop("batch_id")
-    got_new = spark.read.parquet(f"{panels}/new").drop("batch_id")
+    got_old = latest_panels(spark, panels, STORE, "old")
+    got_new = latest_panels(spark, panels, STORE, "new")
     assert _rows(got_old.select(*want_old.columns)) == _rows(want_old)
     assert _rows(got_new.select(*want_new.columns)) == _rows(want_new)
+
+
+def test_upload_split_over_batches_gives_one_panel(spark):
+    s = spark.createDataFrame([(1, 1, "A", 10.0), (1, 1, "B", 5.0), (1, 2, "A", 2.0), (1, 2, "A", 18.0), (1, 2, "C", 1.0), (1, 3, "A", 5.0), (2, 1, "X", 1.0)],
+                              "store_id long, period int, item_name string, quantity double").withColumn("quantity", F.col("quantity").cast("decimal(18,4)"))
+    base = tempfile.mkdtemp(prefix="tillsight-stream-")
+    snap, panels = f"{base}/snapshot", f"{base}/panels"
+    parts = [s.filter("period = 3"), s.filter("period = 1 or (period = 2 and quantity = 2)"), s.filter("period = 2 and quantity <> 2")]
+    for i, part in enumerate(parts):  # the last upload comes first, the middle one in two pieces
+        compare_batch(spark, part, i, snap, panels, STORE, "period")
+    want, _ = cmp.top_panels(s, cmp.successive_pairs(s, STORE, "period"), STORE, "period", 5)
+    assert _rows(latest_panels(spark, panels, STORE).select(*want.columns)) == _rows(want)

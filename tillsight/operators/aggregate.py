@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import money_out, mean_out, ratio_pct, whole_units, by_measure_then_name
@@ -61,25 +61,33 @@ def all_items(sales: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
                        *by_measure_then_name("qty_sum", "item_name")).drop("qty_sum")
 
 
-def category_list(sales: DataFrame, group_cols: Sequence[str], with_revenue: bool = True) -> DataFrame:
-    """Category sums; null categories drop out (pandas ``groupby`` default, C5)."""
+def category_list(sales: DataFrame, group_cols: Sequence[str], with_revenue: bool = True,
+                  has_revenue: Column | None = None) -> DataFrame:
+    """Category sums; null categories drop out (pandas ``groupby`` default, C5).
+
+    ``has_revenue``: a flag on the rows that is the same all over a group, for tables where
+    some groups have a revenue column and others don't."""
     aggs = [F.sum("quantity").alias("qty_sum")]
     if with_revenue:
         aggs.append(F.sum("net_sales").alias("net_sum"))
+        aggs.append(F.max(F.lit(True) if has_revenue is None else has_revenue).alias("has_rev"))
     s = sales.filter(F.col("category").isNotNull()).groupBy(*group_cols, "category").agg(*aggs)
     cols = [*group_cols, "category", whole_units("qty_sum").alias("quantity"), "qty_sum"]
     if with_revenue:
-        cols += [money_out("net_sum").alias("net_sales"), "net_sum"]
+        cols += [F.when(F.col("has_rev"), money_out("net_sum")).alias("net_sales"), "net_sum", "has_rev"]
     return s.select(*cols)
 
 
 def top_categories(sales: DataFrame, group_cols: Sequence[str] = (), n: int = 5,
-                   with_revenue: bool = True) -> DataFrame:
-    """A4 (by revenue) / A5 (by quantity): top ``n`` categories, ties by name."""
-    cats = category_list(sales, group_cols, with_revenue)
-    measure = "net_sum" if with_revenue else "qty_sum"
+                   with_revenue: bool = True, has_revenue: Column | None = None) -> DataFrame:
+    """A4 (by revenue) / A5 (by quantity): top ``n`` categories, ties by name.  With a
+    ``has_revenue`` flag each group takes the measure that it has."""
+    cats = category_list(sales, group_cols, with_revenue, has_revenue)
+    if with_revenue:
+        cats = cats.withColumn("measure", F.when(F.col("has_rev"), F.col("net_sum")).otherwise(F.col("qty_sum")))
+    measure = "measure" if with_revenue else "qty_sum"
     ranked = top_k(cats, group_cols, by_measure_then_name(measure, "category"), n)
-    return ranked.drop("qty_sum", "net_sum")
+    return ranked.drop("qty_sum", "net_sum", "has_rev", "measure")
 
 
 def group_totals(sales: DataFrame, group_cols: Sequence[str]) -> DataFrame:

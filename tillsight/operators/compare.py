@@ -47,6 +47,12 @@ def fixed_pairs(sales: DataFrame, group_cols: Sequence[str], upload_col: str, pr
     return have.select(*group_cols, F.lit(prev).alias("prev_upload"), F.lit(curr).alias("curr_upload"))
 
 
+def compared(sales: DataFrame, pairs: DataFrame, group_cols: Sequence[str], upload_col: str) -> DataFrame:
+    """Rows of the uploads that some pair names, taken before anything is aggregated."""
+    sides = [pairs.select(*group_cols, F.col(c).alias(upload_col)) for c in ("prev_upload", "curr_upload")]
+    return sales.join(sides[0].unionByName(sides[1]).distinct(), [*group_cols, upload_col], "left_semi")
+
+
 def _side(items: DataFrame, pairs: DataFrame, group_cols, upload_col, side: str) -> DataFrame:
     """Items of the ``prev`` or ``curr`` upload of every pair (equi-join on the upload)."""
     p = pairs.select(*group_cols, "prev_upload", "curr_upload") \
@@ -62,7 +68,7 @@ def top_panels(sales: DataFrame, pairs: DataFrame, group_cols: Sequence[str], up
     ``pct_change`` (W5) and ``status`` (J2/W6).  new: current top N with ``curr_rank``.
     """
     keys = [*group_cols, "prev_upload", "curr_upload"]
-    items = upload_items(sales, group_cols, upload_col)
+    items = upload_items(compared(sales, pairs, group_cols, upload_col), group_cols, upload_col)
     ranked = top_k(items, [*group_cols, upload_col], by_measure_then_name("qty_sum", "item_name"), top_n)
     prev_top = _side(ranked, pairs, group_cols, upload_col, "prev") \
         .select(*keys, F.col("rank").alias("prev_rank"), "item_name", F.col("quantity").alias("prev_qty"))
@@ -85,7 +91,7 @@ def top_sets(sales: DataFrame, pairs: DataFrame, group_cols: Sequence[str], uplo
              top_n: int = 5) -> dict[str, DataFrame]:
     """Kept (semi join), dropped and newly entered (anti joins) items."""
     keys = [*group_cols, "prev_upload", "curr_upload"]
-    items = upload_items(sales, group_cols, upload_col)
+    items = upload_items(compared(sales, pairs, group_cols, upload_col), group_cols, upload_col)
     ranked = top_k(items, [*group_cols, upload_col], by_measure_then_name("qty_sum", "item_name"), top_n)
     prev_top = _side(ranked, pairs, group_cols, upload_col, "prev").select(*keys, "item_name", "rank")
     curr_top = _side(ranked, pairs, group_cols, upload_col, "curr").select(*keys, "item_name", "rank")
@@ -102,7 +108,7 @@ def full_comparison(sales: DataFrame, pairs: DataFrame, group_cols: Sequence[str
     """Every item of either upload: quantities (missing -> 0), ranks over the
     full lists, ``rank_change = prev_rank - curr_rank`` (positive = moved up)."""
     keys = [*group_cols, "prev_upload", "curr_upload"]
-    items = upload_items(sales, group_cols, upload_col)
+    items = upload_items(compared(sales, pairs, group_cols, upload_col), group_cols, upload_col)
     ranked = rank_all(items, [*group_cols, upload_col], by_measure_then_name("qty_sum", "item_name"))
     prev = _side(ranked, pairs, group_cols, upload_col, "prev") \
         .select(*keys, "item_name", F.col("quantity").alias("previous"), F.col("rank").alias("prev_rank"))

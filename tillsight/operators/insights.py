@@ -1,9 +1,8 @@
 """Row-level picks, top category, monthly trend and the insight list.
 
-Everything row-level (best seller row, top revenue row, top premium row) is
-taken in ONE aggregate pass over the sales rows with ``min_by`` and a
-tie-break struct ``(-measure, row order)`` — the first row in export order wins
-ties, like pandas ``idxmax``.  Category and month trends are small second
+Row-level picks (best seller row, top revenue row, top premium row) take two steps: one
+hash aggregate gives totals and maxima, and the first row in export order among the
+few that reach a maximum wins, like pandas ``idxmax``.  Category and month trends are small second
 aggregates joined back on the group key.
 """
 
@@ -29,43 +28,60 @@ KIND_INFO = "info"
 NO_DATA_TEXT = "No data available for insights"
 
 
-def _first_by(value: Column, measure: str, order_col: str) -> Column:
-    """Value of the row with the largest ``measure``; ties -> smallest row order.
-    Rows whose measure is null are skipped (pandas ``idxmax`` skips NaN)."""
-    key = F.when(F.col(measure).isNotNull(), F.struct((-F.col(measure)).alias("m"), F.col(order_col)))
-    return F.min_by(value, key)
+def _peak_rows(sales: DataFrame, peaks: DataFrame, group_cols: Sequence[str], hits: dict[str, Column]) -> DataFrame:
+    """The few rows that reach a peak of their group, flagged by ``hits``.  ``peaks`` has the maxima,
+    a hash aggregate over plain numbers; so the rows themselves are never sorted."""
+    j = join_on_group(sales, peaks, group_cols).withColumns(hits)
+    any_hit = F.lit(False)
+    for h in hits:
+        any_hit = any_hit | F.col(h)
+    return j.filter(any_hit)
+
+
+def _first(value: Column, hit: str, order_col: str) -> Column:
+    """Value of the first of the flagged rows in row order (pandas ``idxmax`` takes the first)."""
+    return F.min_by(value, F.when(F.col(hit), F.col(order_col)))
+
+
+def _equals(measure: Column, peak: str) -> Column:
+    return F.coalesce(measure == F.col(peak), F.lit(False))
 
 
 def row_picks(sales: DataFrame, group_cols: Sequence[str], premium_price: float = 15.0,
               order_col: str = "row_key", extra_aggs: Sequence[Column] = ()) -> DataFrame:
-    """A6, A11, A13, A14 in one pass: totals and the three arg-max rows per group."""
-    prem = F.col("avg_price") > F.lit(premium_price)
-    prem_val = F.when(prem, F.struct("item_name", "avg_price", "quantity"))
-    prem_key = F.when(prem & F.col("quantity").isNotNull(),
-                      F.struct((-F.col("quantity")).alias("m"), F.col(order_col)))
-    return sales.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("net_sales").alias("net_sum"),
-        F.sum("discount_amount").alias("disc_sum"),
-        _first_by(F.struct("item_name", "quantity"), "quantity", order_col).alias("best"),
-        _first_by(F.struct("item_name", "net_sales"), "net_sales", order_col).alias("top_rev"),
-        F.min_by(prem_val, prem_key).alias("premium"),
-        *extra_aggs,
-    )
+    """Totals and maxima in one hash aggregate, then the three
+    arg-max rows among the few that reach a maximum."""
+    premium = F.when(F.col("avg_price") > F.lit(premium_price), F.col("quantity"))
+    totals = sales.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("net_sales").alias("net_sum"), F.sum("discount_amount").alias("disc_sum"),
+        F.max("quantity").alias("_max_qty"), F.max("net_sales").alias("_max_net"), F.max(premium).alias("_max_prem"), *extra_aggs)
+    peaks = totals.select(*group_cols, "_max_qty", "_max_net", "_max_prem")
+    rows = _peak_rows(sales, peaks, group_cols, {
+        "_is_best": _equals(F.col("quantity"), "_max_qty"), "_is_rev": _equals(F.col("net_sales"), "_max_net"),
+        "_is_prem": _equals(premium, "_max_prem")})
+    picks = rows.groupBy(*group_cols).agg(
+        _first(F.struct("item_name", "quantity"), "_is_best", order_col).alias("best"),
+        _first(F.struct("item_name", "net_sales"), "_is_rev", order_col).alias("top_rev"),
+        _first(F.struct("item_name", "avg_price", "quantity"), "_is_prem", order_col).alias("premium"))
+    return join_on_group(totals.drop("_max_qty", "_max_net", "_max_prem"), picks, group_cols, "left")
+
+
+def _peak_row(sales: DataFrame, group_cols: Sequence[str], measure: str, value: Column, order_col: str) -> DataFrame:
+    peaks = sales.groupBy(*group_cols).agg(F.max(measure).alias("_max"))
+    rows = _peak_rows(sales, peaks, group_cols, {"_is": _equals(F.col(measure), "_max")})
+    return rows.groupBy(*group_cols).agg(_first(value, "_is", order_col).alias("b"))
 
 
 def best_seller(sales: DataFrame, group_cols: Sequence[str], order_col: str = "row_key") -> DataFrame:
     """The single sales row with the most units (not the item total)."""
-    s = sales.groupBy(*group_cols).agg(
-        _first_by(F.struct("item_name", "quantity"), "quantity", order_col).alias("b"))
+    s = _peak_row(sales, group_cols, "quantity", F.struct("item_name", "quantity"), order_col)
     return s.select(*group_cols, F.col("b.item_name").alias("item_name"),
                     whole_units("b.quantity").alias("quantity"))
 
 
 def top_revenue_row(sales: DataFrame, group_cols: Sequence[str], order_col: str = "row_key") -> DataFrame:
     """The single sales row with the highest net sales."""
-    s = sales.groupBy(*group_cols).agg(
-        _first_by(F.struct("item_name", "net_sales"), "net_sales", order_col).alias("b"))
+    s = _peak_row(sales, group_cols, "net_sales", F.struct("item_name", "net_sales"), order_col)
     return s.select(*group_cols, F.col("b.item_name").alias("item_name"),
                     money_out("b.net_sales").alias("net_sales"))
 
@@ -74,8 +90,7 @@ def top_premium_row(sales: DataFrame, group_cols: Sequence[str], premium_price:
                     order_col: str = "row_key") -> DataFrame:
     """Among rows with ``avg_price > premium_price`` the one with most units."""
     hv = sales.filter(F.col("avg_price") > F.lit(premium_price))
-    s = hv.groupBy(*group_cols).agg(
-        _first_by(F.struct("item_name", "avg_price", "quantity"), "quantity", order_col).alias("b"))
+    s = _peak_row(hv, group_cols, "quantity", F.struct("item_name", "avg_price", "quantity"), order_col)
     return s.select(*group_cols, F.col("b.item_name").alias("item_name"),
                     money_out("b.avg_price").alias("avg_price"),
                     whole_units("b.quantity").alias("quantity"))

@@ -43,6 +43,9 @@ NEW_VARIATION_LINE = "Generate a NEW variation that avoids repeating phrases fro
 # Platform -> system prompt key.
 PLATFORM_PROMPTS = {"instagram": "INSTAGRAM_PROMPT", "tiktok": "TIKTOK_PROMPT", "actions": "ACTIONS_PROMPT"}
 
+# A request for a group without a summary.
+NO_SUMMARY = "No summary for this group"
+
 
 def _money2(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x.cast("double"), 2))
@@ -60,7 +63,8 @@ def item_lines(top_items: DataFrame, group_cols: Sequence[str], units_word: str
                     F.lit(f" {units_word}"))
     if has_rev:
         rich = F.concat(base, F.lit(", "), _money2(F.col("net_sales")), F.lit(" revenue, $"),
-                        fixed_text(F.col("avg_price"), 2), F.lit(" avg price"))
+                        fixed_text(F.coalesce(F.col("avg_price"), F.lit(0.0)), 2), F.lit(" avg price"))
+        # revenue without a price column: the price reads 0.00, the line stays
         line = F.when(_truthy(F.col("net_sales")), rich).otherwise(base)
     else:
         line = base
@@ -126,8 +130,8 @@ def user_prompt(top_items: DataFrame, top_cats: DataFrame, insights: DataFrame,
 def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """``requests = (group…, platform, nonce, previous_text)`` -> the system
     prompt key and the user prompt with the nonce and previous-text lines.
-    Unknown platforms get ``error`` and no prompt."""
-    j = join_on_group(requests, prompts, group_cols)
+    Unknown platforms, and groups that have no prompt, get ``error`` and no prompt."""
+    j = join_on_group(requests, prompts, group_cols, "left")
     key = F.create_map(*[F.lit(x) for kv in PLATFORM_PROMPTS.items() for x in kv])[F.col("platform")]
     nonce = F.coalesce(F.nullif(F.col("nonce"), F.lit(0)), F.unix_timestamp())
     prev = F.nullif(F.col("previous_text"), F.lit(""))
@@ -136,4 +140,5 @@ def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequenc
                                                       F.lit(NEW_VARIATION_LINE + "\n"))).otherwise(F.lit("")))
     return j.select(*group_cols, "platform", key.alias("system_prompt"),
                     F.when(key.isNotNull(), text).alias("user_prompt"),
-                    F.when(key.isNull(), F.lit("platform must be one of: instagram, tiktok, actions")).alias("error"))
+                    F.when(key.isNull(), F.lit("platform must be one of: instagram, tiktok, actions"))
+                    .when(F.col("prompt").isNull(), F.lit(NO_SUMMARY)).alias("error"))

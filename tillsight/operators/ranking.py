@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 ALL_KEY = "_all_rows"
 
 
@@ -46,20 +48,17 @@ def rank_all(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
 def _global_rank(df: DataFrame, order: Sequence[Column], rank_col: str) -> DataFrame:
     """Row numbers over the whole table without pulling it into one partition.
 
-    The table is range-sorted; each partition's row count is aggregated (one row
-    per partition) and a running offset added.
-    """
-    pid = "_pid"
-    sorted_df = df.orderBy(*order).withColumn(pid, F.spark_partition_id())
-    local = sorted_df.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(pid).orderBy(*order)))
-    counts = local.groupBy(pid).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(
-            Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offsets.select(pid, "_off")), pid)
-            .withColumn(rank_col, (F.col("_off") + F.col("_local")).cast("int"))
-            .drop(pid, "_local", "_off"))
+    The table is range-partitioned, numbered within each range and written once
+    with its range number, so both branches below see the same ranges.  A count per range, one
+    row each, gives the offsets."""
+    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    local = stored(local, "global-rank")
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offsets, "_pid").withColumn(rank_col, F.col("_off") + F.col("_local"))
+            .drop("_pid", "_local", "_off"))
 
 
 def with_group_max(df: DataFrame, group_cols: Sequence[str], measures: dict[str, str]) -> DataFrame:

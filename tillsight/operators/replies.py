@@ -116,7 +116,11 @@ def _post(v: Column, platform: str) -> Column:
 
 
 def _ideas(v: Column) -> Column:
-    return F.try_variant_get(v, "$.promotion_ideas", "array<struct<text:string,reason:string>>")
+    """Ideas as (text, reason); an idea that is a plain text, as in legacy replies, has no reason."""
+    def idea(x: Column) -> Column:
+        plain = F.struct(_str(x).alias("text"), F.lit(None).cast("string").alias("reason"))
+        return F.when(_is_str(x), plain).otherwise(F.try_variant_get(x, "$", "struct<text:string,reason:string>"))
+    return F.transform(F.try_variant_get(v, "$.promotion_ideas", "array<variant>"), idea)
 
 
 def _c(name: str) -> Column:

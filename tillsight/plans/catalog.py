@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as agg
 from ..operators import insights as ins
 from ..operators import labels as lab
+from ..operators.ranking import rank_all
 from ..contracts import money_out as _money_out
+from ..session import stored
 from ..sources.tables import sales_view
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -91,8 +93,7 @@ def _sales(spark, sf_dir):
 def _sales_table(spark, sf_dir):
     """The sales view written once as a table, for queries that read it in
     several branches (in production this is the ingest's output table)."""
-    from ..sources.exports import reliable_checkpoint
-    return reliable_checkpoint(sales_view(spark, sf_dir), "sales-view")
+    return stored(sales_view(spark, sf_dir), "sales-view")
 
 
 # ---------------------------------------------------------------- A1-A5, O1-O3
@@ -118,6 +119,15 @@ def q_top_items_quantity(spark, sf_dir):
     return agg.top_items(_sales(spark, sf_dir), [], 5, with_revenue=False)
 
 
+@query("global_item_rank", with_sales(ITEMS_SQL.format(g="store_id,") + f"""
+SELECT store_id, item_name, {int_sql('q')} AS quantity, row_number() OVER (ORDER BY q DESC, item_name, store_id) AS rank FROM items"""))
+def q_global_item_rank(spark, sf_dir):
+    """W4 without a group: every (store, item) ranked over the whole table."""
+    items = agg.item_list(_sales(spark, sf_dir), STORE, with_revenue=False)
+    return rank_all(items, [], [F.col("qty_sum").desc(), F.col("item_name"), F.col("store_id")]).select(
+        "store_id", "item_name", "quantity", "rank")
+
+
 @query("all_items", with_sales(ITEMS_SQL.format(g="store_id,") + f"""
 SELECT store_id, coalesce(trim(item_name), 'nan') AS item_name, {int_sql('q')} AS quantity FROM items"""))
 def q_all_items(spark, sf_dir):
@@ -374,16 +384,10 @@ def q_insights(spark, sf_dir):
 # ---------------------------------------------------------------- J1-J4, W4-W8, U2
 from ..operators import compare as cmp  # noqa: E402
 
-PREV_PERIOD, CURR_PERIOD = 1996, 1997
-
 UP_ITEMS_SQL = """items AS (SELECT store_id, period, item_name, sum(quantity) AS q
                   FROM sales GROUP BY store_id, period, item_name),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY store_id, period ORDER BY q DESC, item_name) AS rk FROM items)"""
 
-FIXED_PAIRS_SQL = f"""pairs AS (SELECT store_id, {PREV_PERIOD} AS prev_upload, {CURR_PERIOD} AS curr_upload FROM sales
-                  WHERE period IN ({PREV_PERIOD}, {CURR_PERIOD}) GROUP BY store_id
-                  HAVING count(DISTINCT period) = 2)"""
-
 LAG_PAIRS_SQL = """ups AS (SELECT DISTINCT store_id, period FROM sales),
 pairs AS (SELECT store_id, prev_upload, curr_upload FROM (
             SELECT store_id, period AS curr_upload,
@@ -407,14 +411,10 @@ FROM prev_top t LEFT JOIN curr_all c
  AND c.item_name = t.item_name""")
 
 
-def _period_sales(spark, sf_dir):
-    return _sales_table(spark, sf_dir)
-
-
-@query("compare_panels_old", _panel_old_sql(FIXED_PAIRS_SQL))
+@query("compare_panels_old", _panel_old_sql(LAG_PAIRS_SQL))
 def q_compare_panels_old(spark, sf_dir):
-    s = _period_sales(spark, sf_dir)
-    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    s = _sales_table(spark, sf_dir)
+    pairs = cmp.successive_pairs(s, STORE, "period")
     return cmp.top_panels(s, pairs, STORE, "period", 5)[0]
 
 
@@ -427,7 +427,7 @@ def q_compare_panels_old(spark, sf_dir):
        "       ELSE (CASE WHEN pct_change > 0 THEN '+' ELSE '' END) || printf('%.1f', pct_change) || '%' END AS pct_text,\n"
        "  CASE WHEN pct_change > 0 THEN 'percent-good' WHEN pct_change < 0 THEN 'percent-bad'\n"
        "       ELSE 'percent-neutral' END AS pct_class\n"
-       "FROM (" + _panel_old_sql(FIXED_PAIRS_SQL) + ") panel")
+       "FROM (" + _panel_old_sql(LAG_PAIRS_SQL) + ") panel")
 def q_status_class(spark, sf_dir):
     """W6 consumer + F11/F13: the UI classes of the previous-period panel."""
     from ..functions import text as tx
@@ -439,24 +439,24 @@ def q_status_class(spark, sf_dir):
         tx.sign_class("pct_change", "percent-good", "percent-bad", "percent-neutral").alias("pct_class"))
 
 
-@query("compare_panels_new", with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + f"""
+@query("compare_panels_new", with_sales(UP_ITEMS_SQL + ",\n" + LAG_PAIRS_SQL + f"""
 SELECT p.store_id, p.prev_upload, p.curr_upload, CAST(r.rk AS INTEGER) AS curr_rank, r.item_name,
        {int_sql('r.q')} AS curr_qty
 FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.curr_upload WHERE r.rk <= 5"""))
 def q_compare_panels_new(spark, sf_dir):
-    s = _period_sales(spark, sf_dir)
-    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    s = _sales_table(spark, sf_dir)
+    pairs = cmp.successive_pairs(s, STORE, "period")
     return cmp.top_panels(s, pairs, STORE, "period", 5)[1]
 
 
 @query("compare_successive_periods", _panel_old_sql(LAG_PAIRS_SQL))
 def q_compare_successive_periods(spark, sf_dir):
-    s = _period_sales(spark, sf_dir)
+    s = _sales_table(spark, sf_dir)
     pairs = cmp.successive_pairs(s, STORE, "period")
     return cmp.top_panels(s, pairs, STORE, "period", 5)[0]
 
 
-@query("full_comparison", with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + f""",
+@query("full_comparison", with_sales(UP_ITEMS_SQL + ",\n" + LAG_PAIRS_SQL + f""",
 pv AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk, {int_sql('r.q')} AS qty
        FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.prev_upload),
 cu AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, r.rk, {int_sql('r.q')} AS qty
@@ -472,13 +472,13 @@ SELECT *, CASE WHEN previous = 0 THEN NULL
        prev_rank - curr_rank AS rank_change
 FROM j"""))
 def q_full_comparison(spark, sf_dir):
-    s = _period_sales(spark, sf_dir)
-    pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+    s = _sales_table(spark, sf_dir)
+    pairs = cmp.successive_pairs(s, STORE, "period")
     return cmp.full_comparison(s, pairs, STORE, "period")
 
 
 def _set_sql(kind: str) -> str:
-    base = with_sales(UP_ITEMS_SQL + ",\n" + FIXED_PAIRS_SQL + """,
+    base = with_sales(UP_ITEMS_SQL + ",\n" + LAG_PAIRS_SQL + """,
 pt AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, CAST(r.rk AS INTEGER) AS rank
        FROM pairs p JOIN ranked r ON r.store_id = p.store_id AND r.period = p.prev_upload WHERE r.rk <= 5),
 ct AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, CAST(r.rk AS INTEGER) AS rank
@@ -487,13 +487,13 @@ ct AS (SELECT p.store_id, p.prev_upload, p.curr_upload, r.item_name, CAST(r.rk A
     a, b, neg = {"kept": ("pt", "ct", ""), "dropped": ("pt", "ct", "NOT"),
                  "entered": ("ct", "pt", "NOT")}[kind]
     return base + f"""SELECT * FROM {a} x WHERE {neg} EXISTS (
-  SELECT 1 FROM {b} y WHERE y.store_id = x.store_id AND y.item_name = x.item_name)"""
+  SELECT 1 FROM {b} y WHERE y.store_id = x.store_id AND y.prev_upload = x.prev_upload AND y.item_name = x.item_name)"""
 
 
 def _set_query(kind: str):
     def fn(spark, sf_dir):
-        s = _period_sales(spark, sf_dir)
-        pairs = cmp.fixed_pairs(s, STORE, "period", PREV_PERIOD, CURR_PERIOD)
+        s = _sales_table(spark, sf_dir)
+        pairs = cmp.successive_pairs(s, STORE, "period")
         return cmp.top_sets(s, pairs, STORE, "period", 5)[kind]
     return fn
 
@@ -916,26 +916,29 @@ from ..functions import coerce as co  # noqa: E402
 from ..operators import quality as qa  # noqa: E402
 from ..sources import exports as ex  # noqa: E402
 
-EXPORT_HEADER = ("Sales Category,Item Name,Modifier,,Avg. Price,Item Qty,Gross Sales,Discount Amount,"
-                 "Net Sales,Type,")
-KEY_STRUCT = "struct<l_orderkey:bigint,l_linenumber:int,l_partkey:bigint,l_shipdate:timestamp_ntz,sub:int>"
+EXPORT_HEADER = ("Sales Category,Item Name,Modifier,,{avg},{qty},Gross Sales,Discount Amount,Net Sales,Type,")
+WIDE_LAYOUT = 30   # extra columns in front of the exports of every tenth store
+NO_QTY_PERIOD = 1995
 
 
-def export_lines(spark, sf_dir) -> DataFrame:
+def export_lines(spark, sf_dir, avg="Avg. Price", qty_header="Item Qty") -> DataFrame:
     """Every lineitem row written as a line of its (supplier, year) export.
 
     Cells carry the quirks of real exports: trailing commas, a blank header
-    column, quoted commas and quoted newlines in names, NA words, blank names,
-    numbers with thousands separators or junk, Type values, stray blank lines.
-    Positions: header first, then rows by key; block = order key / 1024.
+    column, quoted commas and quoted newlines, an inch mark inside a plain cell,
+    NA words, blank names, numbers with thousands separators or junk, Type values, short
+    rows, stray blank lines.  By store: rows wider than the
+    header, an export of 40 columns, and a year without a quantity column.
+    The lines are written once, as exports lie in files: the ingest scans them more than
+    once.  Positions: header first, then rows; block = order key / 1024.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_returnflag", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     j = li.join(part, li.l_partkey == part.p_partkey)
-    upload = F.concat(F.lit("store="), F.col("l_suppkey").cast("string"), F.lit("/period="),
-                      F.year("l_shipdate").cast("string"))
+    period, store = F.year("l_shipdate"), F.col("l_suppkey")
+    upload = F.concat(F.lit("store="), store.cast("string"), F.lit("/period="), period.cast("string"))
     gross = F.col("l_extendedprice").cast("decimal(18,2)")
     disc = (gross * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)")
     net = (gross - disc).cast("decimal(18,4)")
@@ -946,6 +949,7 @@ def export_lines(spark, sf_dir) -> DataFrame:
             .when(size % 13 == 0, F.lit("  "))
             .when(size > 45, F.concat(F.lit('"'), "p_name", F.lit(', large"')))
             .when(size == 7, F.concat(F.lit('"'), "p_name", F.lit('\nspecial"')))
+            .when(size == 9, F.concat("p_name", F.lit(' 12"')))
             .when(size % 11 == 0, F.concat(F.lit("  "), "p_name", F.lit(" ")))
             .otherwise(F.col("p_name")))
     qty_text = (F.when(ln == 3, F.concat(F.lit('"1,'), F.lpad(qty, 3, "0"), F.lit('"')))
@@ -953,71 +957,108 @@ def export_lines(spark, sf_dir) -> DataFrame:
                 .when(ln == 6, F.concat(qty, F.lit("d")))
                 .otherwise(qty))
     type_text = F.when(F.col("l_returnflag") == "R", F.lit("modifier")) \
-        .when(size == 3, F.lit("menuitem")).otherwise(F.lit("menuItem"))
-    line = F.concat_ws(",", "p_type", item, F.lit(""), F.lit(""),
+        .when(size == 3, F.lit("menuitem")).when(size != 17, F.lit("menuItem"))   # size 17: a short row
+    many = store % 10 == 5
+    line = F.concat_ws(",", F.when(many, F.lit(",".join("x" * WIDE_LAYOUT))), "p_type", item, F.lit(""), F.lit(""),
                        unit_price("_gross", "_qty").cast("string"), qty_text,
                        gross.cast("string"), disc.cast("string"), net.cast("string"), type_text)
-    line = F.concat(line, F.when(size == 50, F.lit(",x")).otherwise(F.lit("")),
-                    F.when(ln == 2, F.lit(",\r")).otherwise(F.lit(",")))
+    line = F.concat(line, F.when((size == 50) & (store % 10 == 3), F.lit(",x")).otherwise(F.lit("")),
+                    F.when(ln == 2, F.lit(",,")).otherwise(F.lit(",")))
     rows = j.withColumn("_gross", gross).withColumn("_qty", F.col("l_quantity").cast("decimal(18,4)")) \
         .select(upload.alias("upload_id"), F.floor(F.col("l_orderkey") / 1024).cast("bigint").alias("block"),
-                "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+                "l_orderkey", "l_linenumber", "l_partkey",
                 F.when(ln == 4, F.array(line, F.lit("   ,,"))).otherwise(F.array(line)).alias("_ls"))
-    # a quoted newline splits the text into two physical lines
-    phys = rows.select("upload_id", "block", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+    # a quoted newline splits the text into two physical lines, which keep their order
+    data = rows.select("upload_id", "block", "l_orderkey", "l_linenumber", "l_partkey",
                        F.posexplode(F.split(F.array_join("_ls", "\n"), "\n")).alias("sub", "line"))
-    data = phys.select("upload_id", F.struct(
-        "block", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "sub").alias("off")).alias("pos"),
-        "line")
-    header = j.select(upload.alias("upload_id")).distinct().select(
-        "upload_id", F.struct(F.lit(-1).cast("bigint").alias("block"),
-                              F.lit(None).cast(KEY_STRUCT).alias("off")).alias("pos"),
-        F.lit(EXPORT_HEADER).alias("line"))
-    return header.unionByName(data)
-
-
-def _export_ingest(spark, sf_dir) -> ex.Ingested:
-    return ex.ingest_lines(export_lines(spark, sf_dir))
+    head = lambda q: EXPORT_HEADER.format(avg=avg, qty=q)
+    no_qty = (store % 10 == 7) & (F.col("_p") == NO_QTY_PERIOD)
+    titles = F.concat(F.when(many, F.lit("".join(f"Extra {i}," for i in range(WIDE_LAYOUT)))).otherwise(F.lit("")),
+                      F.when(no_qty, F.lit(head("Pieces"))).otherwise(F.lit(head(qty_header))))
+    header = j.select(upload.alias("upload_id"), store, period.alias("_p")).distinct().select(
+        "upload_id", F.lit(-1).cast("bigint").alias("block"), *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_partkey", "bigint"), ("sub", "int"))], titles.alias("line"))
+    every = header.unionByName(data).withColumn("off", F.monotonically_increasing_id())
+    written = stored(every, "export-lines")
+    return written.select("upload_id", F.struct("block", "off").alias("pos"), "line", "l_orderkey", "l_linenumber", "l_partkey", "sub")
+
+
+def _keyed_sales(lines, sales) -> DataFrame:
+    """Ingested rows with the keys of the rows they were written from."""
+    keys = lines.filter(F.col("sub") == 0).select("upload_id", F.col("pos").alias("row_pos"), "l_orderkey", "l_linenumber", "l_partkey")
+    s = sales.join(keys, ["upload_id", "row_pos"])
+    return s.select(
+        F.regexp_extract("upload_id", r"store=(\d+)", 1).cast("bigint").alias("store_id"),
+        F.regexp_extract("upload_id", r"period=(\d+)", 1).cast("int").alias("period"),
+        "l_orderkey", "l_linenumber", "l_partkey", "category", "item_name",
+        F.col("quantity").cast("double").alias("quantity"), _money_out("net_sales").alias("net_sales"))
 
 
-EXPORT_EXPECT_SQL = """x AS (
+EXPORT_EXPECT_SQL = f"""x AS (
   SELECT l_suppkey AS store_id, CAST(year(l_shipdate) AS INTEGER) AS period, l_orderkey, l_linenumber, l_partkey,
          p_type AS category,
          CASE WHEN p_size > 45 THEN p_name || ', large' WHEN p_size = 7 THEN p_name || chr(10) || 'special'
-              ELSE p_name END AS item_name,
+              WHEN p_size = 9 THEN p_name || ' 12"' ELSE p_name END AS item_name,
          CASE WHEN l_linenumber IN (3, 6) THEN 0.0 ELSE l_quantity END AS quantity,
          CAST(round(CAST(CAST(l_extendedprice AS DECIMAL(18,2))
               - CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)), 2) AS DOUBLE) AS net_sales,
          (l_linenumber = 1 AND p_size % 5 = 0) OR p_size % 13 = 0 AS blank_name,
-         l_returnflag = 'R' OR p_size = 3 AS wrong_type,
-         l_linenumber IN (3, 6) AS zeroed, p_size = 50 AS wide
+         l_returnflag = 'R' OR p_size IN (3, 17) AS wrong_type,
+         l_linenumber IN (3, 6) AS zeroed, p_size = 50 AND l_suppkey % 10 = 3 AS wide,
+         l_suppkey % 10 = 7 AND year(l_shipdate) = {NO_QTY_PERIOD} AS no_qty
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-@query("ingest_csv_lines", f"""WITH {EXPORT_EXPECT_SQL}
+def _accepted_sql(kept: str) -> str:
+    """Uploads that are not rejected."""
+    return (f"ok AS (SELECT store_id, period FROM x GROUP BY store_id, period HAVING NOT bool_or(wide) AND NOT bool_or(no_qty)"
+            f" AND count(*) FILTER (WHERE {kept}) > 0)")
+
+
+@query("ingest_csv_lines", f"""WITH {EXPORT_EXPECT_SQL},
+{_accepted_sql("NOT blank_name AND NOT wrong_type")}
 SELECT store_id, period, l_orderkey, l_linenumber, l_partkey, category, item_name, quantity, net_sales
-FROM x WHERE NOT blank_name AND NOT wrong_type""")
+FROM x JOIN ok USING (store_id, period) WHERE NOT blank_name AND NOT wrong_type""")
 def q_ingest_csv_lines(spark, sf_dir):
-    s = _export_ingest(spark, sf_dir).sales
-    return s.select(
-        F.regexp_extract("upload_id", r"store=(\d+)", 1).cast("bigint").alias("store_id"),
-        F.regexp_extract("upload_id", r"period=(\d+)", 1).cast("int").alias("period"),
-        F.col("row_pos.off.l_orderkey").alias("l_orderkey"), F.col("row_pos.off.l_linenumber").alias("l_linenumber"),
-        F.col("row_pos.off.l_partkey").alias("l_partkey"), "category", "item_name",
-        F.col("quantity").cast("double").alias("quantity"), _money_out("net_sales").alias("net_sales"))
+    lines = export_lines(spark, sf_dir)
+    return _keyed_sales(lines, ex.ingest_lines(lines).sales)
+
+
+@query("ingest_api_lines", f"""WITH {EXPORT_EXPECT_SQL},
+{_accepted_sql("NOT blank_name")}
+SELECT store_id, period, l_orderkey, l_linenumber, l_partkey, category, item_name, quantity, net_sales
+FROM x JOIN ok USING (store_id, period) WHERE NOT blank_name""")
+def q_ingest_api_lines(spark, sf_dir):
+    """The serverless variant: fewer aliases, no ``Type`` filter."""
+    lines = export_lines(spark, sf_dir, avg="Avg Price", qty_header="Quantity")
+    return _keyed_sales(lines, ex.ingest_lines(lines, ex.SERVERLESS).sales)
+
+
+@query("ingest_rejects", f"""WITH {EXPORT_EXPECT_SQL}
+SELECT 'store=' || CAST(store_id AS VARCHAR) || '/period=' || CAST(period AS VARCHAR) AS upload_id,
+       CASE WHEN bool_or(wide) THEN {sq(ex.ERR_WIDE)}
+            WHEN count(*) FILTER (WHERE NOT blank_name AND NOT wrong_type) = 0 THEN {sq(ex.ERR_NO_ITEMS)}
+            ELSE {sq(ex.ERR_NO_QTY + "['category', 'item_name', 'Modifier', 'avg_price', 'Pieces', 'gross_sales', 'discount_amount', 'net_sales', 'Type']" + ex.ERR_NO_QTY_TAIL)}
+       END AS error
+FROM x GROUP BY store_id, period
+HAVING bool_or(wide) OR bool_or(no_qty) OR count(*) FILTER (WHERE NOT blank_name AND NOT wrong_type) = 0""")
+def q_ingest_rejects(spark, sf_dir):
+    return ex.ingest_lines(export_lines(spark, sf_dir)).rejects
 
 
 @query("quality_report", f"""WITH {EXPORT_EXPECT_SQL}
 SELECT 'store=' || CAST(store_id AS VARCHAR) || '/period=' || CAST(period AS VARCHAR) AS upload_id, 'menu' AS layout,
+       CAST(0 AS BIGINT) AS repeated_headers,
        count(*) AS data_rows, count(*) FILTER (WHERE wrong_type) AS dropped_type,
        count(*) FILTER (WHERE NOT wrong_type AND blank_name) AS dropped_blank_name,
        CAST(0 AS BIGINT) AS dropped_marker,
        count(*) FILTER (WHERE NOT wrong_type AND NOT blank_name) AS kept_rows,
-       count(*) FILTER (WHERE NOT wrong_type AND NOT blank_name AND zeroed) AS zeroed_numeric_rows,
+       count(*) FILTER (WHERE NOT wrong_type AND NOT blank_name AND zeroed AND NOT no_qty) AS zeroed_numeric_rows,
+       CAST(0 AS BIGINT) AS unparsed_dates,
        count(*) FILTER (WHERE wide) AS wide_rows
 FROM x GROUP BY store_id, period""")
 def q_quality_report(spark, sf_dir):
-    return _export_ingest(spark, sf_dir).quality
+    return ex.ingest_lines(export_lines(spark, sf_dir)).quality
 
 
 HEADER_CANDIDATES = ["Sales Category", "Item Name", "Item, Open Item", "Item Qty", "Qty Sold", "Quantity",
@@ -1140,14 +1181,9 @@ def q_layout_detect(spark, sf_dir):
     cols = F.filter(F.array(*[F.lit(c) for c in LAYOUT_COLUMNS]),
                     lambda x, i: (F.col("s_suppkey") / F.pow(F.lit(2), i)).cast("bigint") % 2 == 1)
     d = s.select("s_suppkey", cols.alias("cols"))
-    layout = (F.when(F.array_contains("cols", "item_name") & F.array_contains("cols", "category"), F.lit("menu"))
-              .when(F.array_contains("cols", "date"), F.lit("dated")).otherwise(F.lit("unrecognised")))
-    missing = F.array_except(F.array(*[F.lit(c) for c in ex.REQUIRED_DATED]), F.col("cols"))
-    d = d.withColumn("layout", layout).withColumn("missing", missing)
+    d = d.withColumn("layout", ex.layout_of(F.col("cols"))).withColumn("missing", ex.missing_columns(F.col("cols")))
     return d.select("s_suppkey", F.array_join("cols", ",").alias("columns"), "layout",
-                    F.when(F.col("layout") == "dated", F.concat(F.lit(ex.ERR_MISSING), ex.py_list_text(F.col("missing"))))
-                    .when(F.col("layout") == "unrecognised",
-                          F.concat(F.lit(ex.ERR_FORMAT), ex.py_list_text(F.col("cols")))).alias("error"))
+                    ex.layout_error(F.col("layout"), F.col("cols"), F.col("missing")).alias("error"))
 
 
 @query("required_columns", f"""WITH h AS (
@@ -1159,8 +1195,7 @@ def q_required_columns(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     cols = F.filter(F.array(*[F.lit(c) for c in LAYOUT_COLUMNS]),
                     lambda x, i: (F.col("s_suppkey") / F.pow(F.lit(2), i)).cast("bigint") % 2 == 1)
-    return s.select("s_suppkey", F.array_join(F.array_except(F.array(*[F.lit(c) for c in ex.REQUIRED_DATED]), cols),
-                                              ",").alias("missing"))
+    return s.select("s_suppkey", F.array_join(ex.missing_columns(cols), ",").alias("missing"))
 
 
 ITEM_VARIANTS = 7
@@ -1181,7 +1216,7 @@ def q_drop_blank_items(spark, sf_dir):
            .when(k == 2, F.lit("")).when(k == 3, F.lit("None")).when(k == 4, F.lit("null"))
            .when(k == 5, F.lit("N/A")).otherwise(F.lit("NA ")))
     d = p.select("p_partkey", raw.alias("raw"))
-    name = tx.strip_text(F.coalesce(co.na_to_null(F.col("raw")), F.lit("")))
+    name = ex.drop_blank_name(F.col("raw"))
     return d.select("p_partkey", "raw", name.alias("item_name"), (name != "").alias("kept"))
 
 
@@ -1192,7 +1227,7 @@ def q_menu_item_filter(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag")
     t = F.when(F.col("l_returnflag") == "N", F.lit("menuItem")).when(F.col("l_returnflag") == "R", F.lit("menuitem")) \
         .otherwise(F.lit("modifier"))
-    ok = F.coalesce(t == ex.MENU_ITEM_TYPE, F.lit(False))
+    ok = ex.type_accepted(F.lit(True), t)
     return li.groupBy(F.col("l_suppkey").alias("store_id")).agg(F.count_if(ok).alias("kept"),
                                                                 F.count_if(~ok).alias("dropped"))
 
@@ -1205,7 +1240,7 @@ def q_utf8_check(spark, sf_dir):
     b = F.when(F.col("doc_id") % 7 == 0, F.concat(b, F.unhex(F.lit("FF")))).otherwise(b)
     x = d.select("doc_id", b.alias("b"))
     return x.select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"),
-                    F.try_validate_utf8(F.col("b").cast("string")).isNotNull().alias("is_valid"))
+                    ex.valid_text(F.col("b").cast("string")).alias("is_valid"))
 
 
 NAME_SUFFIXES = [".csv", ".CSV", ".txt", ""]
@@ -1221,7 +1256,7 @@ def q_csv_name_filter(spark, sf_dir):
     last = F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("")), F.lit("index"))
     suffix = F.element_at(F.array(*[F.lit(s) for s in NAME_SUFFIXES]), (F.col("page_id") % 4 + 1).cast("int"))
     d = p.select("page_id", F.concat(last, suffix).alias("name"))
-    return d.select("page_id", "name", F.col("name").endswith(".csv").alias("accepted"))
+    return d.select("page_id", "name", ex.accepted_name(F.col("name")).alias("accepted"))
 
 
 @query("subtotal_reconcile", with_sales(f"""c AS (SELECT store_id, period, category, sum(quantity) AS q, sum(net_sales) AS n
@@ -1422,7 +1457,37 @@ def q_stream_compare(spark, sf_dir):
     dfs.compare_stream(spark, f"{base}/drop", schema, snap, panels, ckpt, STORE, "period")
     s.filter(F.col("period") > split).write.parquet(f"{base}/drop/b")
     dfs.compare_stream(spark, f"{base}/drop", schema, snap, panels, ckpt, STORE, "period")
-    return spark.read.parquet(f"{panels}/old").drop("batch_id")
+    return dfs.latest_panels(spark, panels, STORE)
+
+
+@query("stream_status", f"""WITH {PROGRESS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, seq DESC) AS rk,
+             count(*) OVER (PARTITION BY request_id) AS n_events FROM pe)
+SELECT request_id, n_events, seq, status, partial, error FROM r WHERE rk = 1""")
+def q_stream_status(spark, sf_dir):
+    """T3 over a stream of progress events that arrive in two drops."""
+    base = scratch_path(spark, "stream-status")
+    pe = progress_events(spark, sf_dir).select("request_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status", "partial", "error")
+    lo, hi = pe.agg(F.min("seq"), F.max("seq")).first()
+    for name, part in (("a", F.col("seq") <= (lo + hi) // 2), ("b", F.col("seq") > (lo + hi) // 2)):
+        pe.filter(part).write.parquet(f"{base}/drop/{name}")
+        events = spark.readStream.schema(pe.schema).option("recursiveFileLookup", "true").parquet(f"{base}/drop")
+        dfs.status_stream(events, f"{base}/out", f"{base}/checkpoint", "request_id", ["ts", "seq"], "ts",
+                          ["seq", "status", "partial", "error"], late="3650 days")  # the drops are not in time order
+    last = dfs._latest(spark.read.parquet(f"{base}/out"), ["request_id"])
+    return last.select("request_id", "n_events", "seq", "status", "partial", "error")
+
+
+@query("stream_progress", REGISTRY["reply_progress"][1])
+def q_stream_progress(spark, sf_dir):
+    """T4 over a stream of chunks: the first turns of every conversation, then the others."""
+    base = scratch_path(spark, "stream-progress")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for name, part in (("a", F.col("turn") <= 1), ("b", F.col("turn") > 1)):
+        c.filter(part).write.parquet(f"{base}/drop/{name}")
+        chunks = spark.readStream.schema(c.schema).option("recursiveFileLookup", "true").parquet(f"{base}/drop")
+        dfs.progress_stream(chunks, f"{base}/out", f"{base}/checkpoint", "conv_id", "turn")
+    return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "role", "partial")
 
 
 @query("stream_ingest", with_sales("""u AS (SELECT store_id, period, count(*) AS n_rows, sum(quantity) AS q, sum(net_sales) AS n

@@ -1,7 +1,7 @@
 """Spark session settings and the shared checkpoint folder.
 
-Every operator in the package is a lazy ``DataFrame -> DataFrame`` function; the
-only knobs that matter at scale are set here: AQE (runtime coalescing, skew-join
+Operators are ``DataFrame -> DataFrame`` functions (a few write a stage to the shared folder
+while they are called and say so); the only knobs that matter at scale are set here: AQE (runtime coalescing, skew-join
 splitting), shuffle partition count, scan split size and the UTC session zone.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a JSON object that repeats a key parses, the last one wins, as Python's parser does
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -64,6 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back: cuts lineage, is computed once,
+    and branches read it with column pruning."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """The path of a sub-folder of the shared folder that does not exist yet; Spark's writers make it."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

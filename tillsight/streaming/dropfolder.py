@@ -1,53 +1,50 @@
-"""Structured Streaming over a drop folder.
-
-T1: every new export file is ingested as it lands (``binaryFile`` stream,
-``availableNow`` trigger) and its typed rows appended to a parquet table.
-T2: every micro-batch of sales rows is compared with each store's previous
-upload.  State is a snapshot table of item totals keyed by
-``(store…, upload, batch_id)``; a batch writes its outputs under its own
-``batch_id`` with overwrite, so a replayed batch (after a failure) rewrites the
-same files instead of duplicating them.
-
-Pairs are formed over ``snapshot ∪ batch`` by upload order (not arrival), so a
-batch may carry many uploads and many stores.
+"""Structured Streaming over a drop folder (T1, T2, S11) and over reply streams.
+
+T1: every new export file is ingested as it lands and its typed rows are written.  The
+stream only carries names; the files of a micro-batch are read by the splittable line reader.
+
+T2: every micro-batch of sales rows is compared with each store's previous upload.  State
+is a table of item totals, kept whole per bucket of stores: a batch reads the latest state of the
+buckets it touches, adds its rows, and writes those buckets anew under its own
+``batch_id``.  So an upload that arrives in two batches is one upload, the work of
+a batch follows the stores it touches, and a replayed batch writes the same files again.
+``latest_panels`` gives each upload's panel from the last batch that changed it.
+
+T3, T4: the latest status of each request, and the running length of each reply, kept by key.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import compare as cmp
+from ..operators import events as ev
 from ..sources import exports as ex
 
-
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+#: Buckets of stores in the compare state.
+STATE_BUCKETS = 64
 
 
 def ingest_stream(spark: SparkSession, src: str, out: str, checkpoint: str,
-                  glob: str = "*.csv", files_per_batch: int = 200):
+                  glob: str = "*.csv", files_per_batch: int = 200, variant: ex.Variant = ex.BACKEND):
     """Drop-folder ingest; returns the finished ``StreamingQuery``."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(src))
+             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(src).select("path"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        decoded = df.select(F.col("path").alias("upload_id"),
-                            F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-        res = ex.ingest_lines(ex.lines_from_text(decoded.filter(F.col("text").isNotNull()), "upload_id", "text"))
+        paths = [r["path"] for r in df.collect()]  # at most files_per_batch names
+        if not paths:
+            return
+        res = ex.ingest_exports(spark, paths, glob, variant)
         res.sales.write.mode("overwrite").parquet(f"{out}/sales/batch_id={batch_id}")
-        rejects = res.rejects.unionByName(decoded.filter(F.col("text").isNull())
-                                          .select("upload_id", F.lit(ex.ERR_UTF8).alias("error")))
-        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+        res.rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
 
     q = (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -61,29 +58,53 @@ def item_totals(sales: DataFrame, group_cols: Sequence[str], upload_col: str) ->
         F.sum("quantity").cast("decimal(28,4)").alias("quantity"))
 
 
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # no batch has written yet
+        return None
+
+
+def _latest(table: DataFrame, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Rows of the last batch that wrote each key (of the batches ``before`` one)."""
+    if before is not None:
+        # a replayed batch must not see what its own failed attempt wrote
+        table = table.filter(F.col("batch_id") < before)
+    last = table.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return table.join(last, [*keys, "batch_id"], "left_semi")
+
+
 def compare_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snapshot: str, panels: str,
                   group_cols: Sequence[str], upload_col: str, top_n: int = 5) -> None:
-    """T2 for one micro-batch: pair each new upload with the group's previous
-    upload (from the snapshot or the same batch) and write the panels."""
-    cur = item_totals(batch, group_cols, upload_col).cache()
-    if _exists(spark, snapshot):
-        # a replayed batch must not see what its own failed attempt wrote
-        snap = spark.read.parquet(snapshot).filter(F.col("batch_id") < batch_id).drop("batch_id")
-        # only groups present in this batch, only uploads before the batch's last
-        snap = snap.join(cur.select(*group_cols).distinct(), list(group_cols), "left_semi")
-        both = snap.unionByName(cur.select(*snap.columns))
-    else:
-        both = cur
-    pairs = cmp.successive_pairs(both, group_cols, upload_col) \
-        .join(cur.select(*group_cols, F.col(upload_col).alias("curr_upload")).distinct(),
-              [*group_cols, "curr_upload"], "left_semi")
-    old, new = cmp.top_panels(both, pairs, group_cols, upload_col, top_n)
+    """T2 for one micro-batch: every pair that one of its uploads belongs to is compared anew."""
+    group_cols = list(group_cols)
+    bucket = F.pmod(F.xxhash64(*group_cols), F.lit(STATE_BUCKETS)).cast("int")
+    cur = item_totals(batch, group_cols, upload_col).withColumn("bucket", bucket).cache()
+    state, old_state = cur, _read_if_there(spark, snapshot)
+    if old_state is not None:
+        touched = cur.select("bucket").distinct()
+        kept = _latest(old_state.join(touched, "bucket", "left_semi"), ["bucket"], batch_id).drop("batch_id")
+        both = kept.select(*cur.columns).unionByName(cur)
+        state = both.groupBy(*group_cols, upload_col, "item_name", "bucket").agg(
+            F.sum("quantity").cast("decimal(28,4)").alias("quantity"))
+    state.write.mode("overwrite").partitionBy("bucket").parquet(f"{snapshot}/batch_id={batch_id}")
+    state = spark.read.parquet(f"{snapshot}/batch_id={batch_id}").drop("bucket")
+
+    here = cur.select(*group_cols, upload_col).distinct()
+    pairs = cmp.successive_pairs(state.join(here.select(*group_cols).distinct(), group_cols, "left_semi"), group_cols, upload_col)
+    changed = [pairs.join(here.withColumnRenamed(upload_col, c), [*group_cols, c], "left_semi") for c in ("prev_upload", "curr_upload")]
+    pairs = changed[0].unionByName(changed[1]).distinct()
+    old, new = cmp.top_panels(state, pairs, group_cols, upload_col, top_n)
     old.write.mode("overwrite").parquet(f"{panels}/old/batch_id={batch_id}")
     new.write.mode("overwrite").parquet(f"{panels}/new/batch_id={batch_id}")
-    cur.write.mode("overwrite").parquet(f"{snapshot}/batch_id={batch_id}")
     cur.unpersist()
 
 
+def latest_panels(spark: SparkSession, panels: str, group_cols: Sequence[str], side: str = "old") -> DataFrame:
+    """One panel per upload: from the last batch that changed the upload or the one before it."""
+    return _latest(spark.read.parquet(f"{panels}/{side}"), [*group_cols, "curr_upload"]).drop("batch_id")
+
+
 def compare_stream(spark: SparkSession, src: str, schema, snapshot: str, panels: str, checkpoint: str,
                    group_cols: Sequence[str], upload_col: str, top_n: int = 5):
     """Stream typed sales files (parquet) and compare every upload with
@@ -97,11 +118,36 @@ def compare_stream(spark: SparkSession, src: str, schema, snapshot: str, panels:
     return q
 
 
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme for local folders (tests)."""
-    return path[5:] if path.startswith("file:") else path
+def _write_updates(stream: DataFrame, out: str, checkpoint: str):
+    """Each batch's updates under its own number; a replayed batch writes the same files again."""
+    q = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/batch_id={bid}")).start())
+    q.awaitTermination()
+    return q
+
+
+def status_stream(events: DataFrame, out: str, checkpoint: str, key: str, order_cols: Sequence[str], event_time: str,
+                  value_cols: Sequence[str], late: str = "1 hour"):
+    """The latest event of every request, in update mode: the batch operator over a stream.  Events
+    that are ``late`` behind the watermark are dropped; the state is one row per request."""
+    latest = ev.latest_status(events.withWatermark(event_time, late), [key], order_cols, value_cols)
+    return _write_updates(latest, out, checkpoint)
+
+
+def progress_stream(chunks: DataFrame, out: str, checkpoint: str, key: str, order: str, text_col: str = "text"):
+    """T4: running reply length after every chunk.  A reply's chunks arrive in order from one batch to
+    the next; within a batch they are put in order.  The state of a key is one number."""
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    kept_cols = [c for c in chunks.columns if c != text_col]
 
+    def grow(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        total = kept.get[0] if kept.exists else 0
+        pdf = pd.concat(list(frames)).sort_values(order)
+        pdf["partial"] = total + pdf["_n"].cumsum()
+        kept.update((int(pdf["partial"].iloc[-1]),))
+        yield pdf[[*kept_cols, "partial"]]
 
-def ensure_dir(path: str) -> None:
-    if "://" not in path:
-        os.makedirs(local_dir(path), exist_ok=True)
+    sized = chunks.select(*kept_cols, F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("_n"))
+    stateful = sized.groupBy(key).applyInPandasWithState(
+        grow, ", ".join(f"{c} {types[c]}" for c in kept_cols) + ", partial long", "total long", "update", GroupStateTimeout.NoTimeout)
+    return _write_updates(stateful, out, checkpoint)
