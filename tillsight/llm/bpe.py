@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import types as T
 
-ENCODED = "struct<ids:array<int>,decoded:string>"
-#: Words kept by one Python worker between rows; past it the cache starts anew.
-CACHE_WORDS = 200_000
+#: Rows whose results one worker holds at a time.
+SLICE = 256
+#: Words and token pairs kept by one Python worker between rows; past it a cache starts anew.
+CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
 #: Unicode White_Space, which the tokenizer's pattern leaves out.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -45,6 +48,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pairs(dict):
+    """Two token ids -> compatible: merging the symbols of both gives back exactly the two."""
+
+    def __init__(self, coder: PrefixEncoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= CACHE_PAIRS:
+            self.clear()
+        known = self[pair] = self.coder.compatible(pair >> 32, pair & 0xFFFFFFFF)
+        return known
+
+
+class Words(dict):
+    """Word -> its ids, and their strings joined."""
+
+    def __init__(self, coder: PrefixEncoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: str) -> tuple[list[int], str]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self.coder.encode_word(word)
+        got = self[word] = (ids, " ".join(map(self.coder.strings.__getitem__, ids)))
+        return got
+
+
 class PrefixEncoder:
     """Word -> ids.  Built once per Python worker from the tokenizer file's text."""
 
@@ -79,10 +111,18 @@ class PrefixEncoder:
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id_of.items():
             if self.merged(s) == [s]:  # a token that its own symbols don't merge to is never emitted
-                self.automaton.add_word(s, (len(s), i, s))
+                self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[list[int], str]] = {}
+        # how each token came about: the rank of its merge, -1 for a symbol, and the merge's two sides
+        self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for s, i in self.id_of.items() if len(s) == 1}
+        self.pair_rank: dict[int, int] = {}
+        for (a, b), r in self.rank.items():
+            if a in self.id_of and b in self.id_of and a + b in self.id_of:
+                i, j = self.id_of[a], self.id_of[b]
+                self.pair_rank[i << 32 | j] = r
+                self.made.setdefault(self.id_of[a + b], (r, i, j))
+        self.pairs = Pairs(self)
+        self.words = Words(self)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, lowest rank first, leftmost first; for pairs and single tokens only."""
@@ -103,44 +143,44 @@ class PrefixEncoder:
             parts = out
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 4 * CACHE_WORDS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+    def compatible(self, a: int, b: int) -> bool:
+        """Merges are undone from the last one back, on the two sides of the border.  If at
+        some time the sides could have merged across it, and before the merge that was just undone
+        (of equal ranks the left one comes first), the two tokens would not have come about."""
+        limit = 1 << 60
+        while self.pair_rank.get(a << 32 | b, limit) >= limit:
+            (ra, _, a_right), (rb, b_left, _) = self.made[a], self.made[b]
+            if ra > rb:
+                limit, a = ra, a_right
+            elif rb >= 0:
+                limit, b = rb + 1, b_left
+            else:
+                return True
+        return False
 
     def encode_word(self, word: str) -> list[int]:
         codes = list(word.encode("utf-8"))
         if self.word_end:
             codes[-1] += 256
-        last: list[tuple[int, int, str] | None] = [None] * len(codes)
-        for at, token in self.automaton.iter("".join(map(chr, codes))):
+        last: list[tuple[int, int] | None] = [None] * len(codes)
+        pairs = self.pairs
+        for at, token in self.automaton.iter("".join(map(chr, codes))):  # of one end, the longest first
             if last[at] is None:
                 before = at - token[0]
-                if before < 0 or ((prev := last[before]) is not None and self.compatible(prev[2], token[2])):
+                if before < 0 or ((prev := last[before]) is not None and pairs[prev[1] << 32 | token[1]]):
                     last[at] = token
         ids, at = [], len(codes) - 1
         while at >= 0:
-            n, i, _ = last[at]
+            n, i = last[at]
             ids.append(i)
             at -= n
         return ids[::-1]
 
-    def looked_up(self, word: str) -> tuple[list[int], str]:
-        if (got := self.words.get(word)) is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = self.encode_word(word)
-            got = self.words[word] = (ids, " ".join(map(self.strings.__getitem__, ids)))
-        return got
-
     def pieces(self, text: str) -> list[tuple[list[int], str]]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # lower-casing is by character: a capital sigma has no word-final form
-        return list(map(self.looked_up, self.find_words(text.replace("Σ", "σ").lower())))
+        return list(map(self.words.__getitem__, self.find_words(text.replace("Σ", "σ").lower())))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         if self.find_special is None or not any(s in text for s in self.special):
@@ -158,41 +198,30 @@ class PrefixEncoder:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-def bpe_column(spark: SparkSession, text: Column, tokenizer_path: str) -> Column:
-    """``text`` -> struct(ids, decoded).  The driver reads the tokenizer file (its size does
-    not depend on the data) and sends it to the executors as a broadcast variable."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id, ``ids`` and ``decoded``.  The driver reads the
+    tokenizer file (its size does not depend on the data) and sends it to the executors as a
+    broadcast variable.  Output leaves the worker every ``SLICE`` rows, so a worker holds few results."""
+    spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
-    @arrow_udf(ENCODED)
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PrefixEncoder(spec.value)
-        for texts in batches:
-            ids, decoded = [], []
-            for t in texts.to_pylist():
-                i, s = coder.encode(t or "")
-                ids.append(pa.array(i, pa.int32()))
-                decoded.append(s)
-            offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
-            flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-            yield pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.string())], ["ids", "decoded"])
-
-    return encode(text)
-
-
-def _running(lengths) -> list[int]:
-    total, out = 0, []
-    for n in lengths:
-        total += n
-        out.append(total)
-    return out
-
-
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``ids`` and ``decoded``."""
-    coded = docs.select(F.col(id_col), bpe_column(docs.sparkSession, F.col(text_col), tokenizer_path).alias("__coded"))
-    return coded.select(id_col, F.col("__coded.ids").alias("ids"), F.col("__coded.decoded").alias("decoded"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                ids, edges, decoded = array("i"), [0], []
+                for t in rows.column(1):
+                    i, s = coder.encode(t.as_py() or "")
+                    ids.extend(i)
+                    edges.append(len(ids))
+                    decoded.append(s)
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.frombuffer(ids, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+
+    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select(id_col, text_col).mapInArrow(encode, schema)
 
 
 def digest_columns() -> list[Column]:
