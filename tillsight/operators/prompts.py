@@ -127,10 +127,13 @@ def user_prompt(top_items: DataFrame, top_cats: DataFrame, insights: DataFrame,
     return j.select(*group_cols, F.array_join(lines, "\n").alias("prompt"))
 
 
-def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequence[str],
+                    templates: DataFrame | None = None) -> DataFrame:
     """``requests = (group…, platform, nonce, previous_text)`` -> the system
     prompt key and the user prompt with the nonce and previous-text lines.
-    Unknown platforms, and groups that have no prompt, get ``error`` and no prompt."""
+    Unknown platforms, and groups that have no prompt, get ``error`` and no prompt.
+    ``templates = (platform, system_prompt)`` gives each platform's system prompt itself,
+    so that the wording is a table and not part of the program."""
     j = join_on_group(requests, prompts, group_cols, "left")
     key = F.create_map(*[F.lit(x) for kv in PLATFORM_PROMPTS.items() for x in kv])[F.col("platform")]
     nonce = F.coalesce(F.nullif(F.col("nonce"), F.lit(0)), F.unix_timestamp())
@@ -138,7 +141,11 @@ def platform_prompt(prompts: DataFrame, requests: DataFrame, group_cols: Sequenc
     text = F.concat(F.col("prompt"), F.lit("\n\n"), F.lit("nonce="), nonce.cast("string"), F.lit("\n"),
                     F.when(prev.isNotNull(), F.concat(F.lit("previous_text="), prev, F.lit("\n"),
                                                       F.lit(NEW_VARIATION_LINE + "\n"))).otherwise(F.lit("")))
-    return j.select(*group_cols, "platform", key.alias("system_prompt"),
+    system = key
+    if templates is not None:
+        j = j.join(templates.select("platform", F.col("system_prompt").alias("_system")), "platform", "left")
+        system = F.when(key.isNotNull(), F.col("_system"))
+    return j.select(*group_cols, "platform", system.alias("system_prompt"),
                     F.when(key.isNotNull(), text).alias("user_prompt"),
                     F.when(key.isNull(), F.lit("platform must be one of: instagram, tiktok, actions"))
                     .when(F.col("prompt").isNull(), F.lit(NO_SUMMARY)).alias("error"))

@@ -1363,14 +1363,16 @@ PLATFORM_CHOICES = ["instagram", "tiktok", "actions", "facebook"]
     "SELECT store_id, string_agg(line, chr(10) ORDER BY s, k) AS prompt FROM lines GROUP BY store_id",
     f""", pp AS (SELECT store_id, string_agg(line, chr(10) ORDER BY s, k) AS prompt FROM lines GROUP BY store_id),
 rq AS (SELECT p.store_id, [{', '.join(sq(x) for x in PLATFORM_CHOICES)}][p.store_id % 4 + 1] AS platform,
-              p.store_id + 1000 AS nonce, t.item_name AS prev FROM pp p LEFT JOIN ti t ON t.store_id = p.store_id AND t.rk = 1)
-SELECT store_id, platform,
-  CASE platform WHEN 'instagram' THEN 'INSTAGRAM_PROMPT' WHEN 'tiktok' THEN 'TIKTOK_PROMPT' WHEN 'actions' THEN 'ACTIONS_PROMPT' END AS system_prompt,
+              p.store_id + 1000 AS nonce, t.item_name AS prev FROM pp p LEFT JOIN ti t ON t.store_id = p.store_id AND t.rk = 1
+       UNION ALL SELECT DISTINCT -store_id - 1, 'instagram', 1000, NULL FROM pp WHERE store_id % 10 = 0),
+tp AS (SELECT [{', '.join(sq(x) for x in PLATFORM_CHOICES)}][r_regionkey + 1] AS platform, 'Write for ' || r_name AS system_prompt
+       FROM region WHERE r_regionkey < 3)
+SELECT store_id, platform, CASE WHEN platform <> 'facebook' THEN system_prompt END AS system_prompt,
   CASE WHEN platform <> 'facebook' THEN prompt || chr(10) || chr(10) || 'nonce=' || CAST(nonce AS VARCHAR) || chr(10) ||
        CASE WHEN platform = 'instagram' THEN 'previous_text=' || prev || chr(10) || {sq(pr.NEW_VARIATION_LINE)} || chr(10) ELSE '' END
   END AS user_prompt,
-  CASE WHEN platform = 'facebook' THEN 'platform must be one of: instagram, tiktok, actions' END AS error
-FROM rq JOIN pp USING (store_id)"""))
+  CASE WHEN platform = 'facebook' THEN 'platform must be one of: instagram, tiktok, actions' WHEN prompt IS NULL THEN {sq(pr.NO_SUMMARY)} END AS error
+FROM rq LEFT JOIN pp USING (store_id) LEFT JOIN tp USING (platform)"""))
 def q_prompt_platform(spark, sf_dir):
     _, top, cats, insight_rows = _store_summary(spark, sf_dir)
     prompts = pr.user_prompt(top, cats, insight_rows, STORE)
@@ -1379,7 +1381,14 @@ def q_prompt_platform(spark, sf_dir):
     req = first.select(
         *STORE, platform.alias("platform"), (F.col("store_id") + 1000).alias("nonce"),
         F.when(platform == "instagram", F.col("_first")).alias("previous_text"))
-    return pr.platform_prompt(prompts, req, STORE)
+    # some requests name a store that has no summary; the templates are a table
+    none = req.filter(F.col("store_id") % 10 == 0).select(
+        (-F.col("store_id") - 1).alias("store_id"), F.lit("instagram").alias("platform"), F.lit(1000).cast("bigint").alias("nonce"),
+        F.lit(None).cast("string").alias("previous_text"))
+    templates = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(
+        F.element_at(F.array(*[F.lit(x) for x in PLATFORM_CHOICES]), F.col("r_regionkey") + 1).alias("platform"),
+        F.concat(F.lit("Write for "), "r_name").alias("system_prompt"))
+    return pr.platform_prompt(prompts, req.unionByName(none), STORE, templates)
 
 
 @query("post_text", """SELECT p_partkey, p_name || chr(10) || chr(10) || '#' || replace(p_brand, '#', '') || ' #' || lower(p_type)
