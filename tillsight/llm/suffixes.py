@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.buckets import ANSWER, LOW, SENT, SENT_TYPE, answered, answers_for, bucketed, joined, slices, table
 from tillsight.llm.windows import PLACE, mixed
 
 LENGTH = 50
@@ -47,8 +48,6 @@ GRAM = 20
 BLOCK = 1 << 15
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-ANSWER = "chunk long, kind int, bucket long, bits binary"
-SENT = "bucket long, chunk long, part binary, extra binary, ids binary"
 OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 U = np.uint64
 
@@ -135,18 +134,9 @@ class Chunk:
         self.s1 = np.minimum(stop, last[doc])
         self.row = np.flatnonzero(known)[doc]
         self.doc = np.asarray(self.ids.fill_null(0)).astype(np.int64)[self.row]
-        code = mixed(h[which] ^ U(0xA24BAED4963EE407))
-        bucket = ((code >> U(32)) * U(self.buckets)) >> U(32)
-        self.code = (bucket << U(32)) | (code & U(0xFFFFFFFF))
+        self.code = bucketed(mixed(h[which] ^ U(0xA24BAED4963EE407)), self.buckets)
         self.codes, self.code_of = np.unique(self.code, return_inverse=True)
 
-    def slices(self, codes: np.ndarray):
-        """(bucket, start, end) of ascending codes."""
-        which = (codes >> U(32)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(which)) + 1
-        edges = [0, *cut.tolist(), len(codes)]
-        return [(int(which[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
-
     def shared_here(self) -> np.ndarray:
         """Of each code: whether two documents of this chunk have it."""
         low, high = np.full(len(self.codes), np.iinfo(np.int64).max), np.full(len(self.codes), np.iinfo(np.int64).min)
@@ -170,45 +160,20 @@ class Chunk:
         self.s_code, self.s_from, self.s_len, self.s_doc = code[heads], a[heads], b[heads] - a[heads], self.doc[self.of][heads]
 
 
-def bits_of(answers: pa.Table, kind: int, codes: np.ndarray, chunk: Chunk, dtype) -> np.ndarray:
-    """The buckets' answers of a kind, in the order of ``codes``."""
-    got = {b: p for k, b, p in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "bits"))) if k == kind}
-    out = np.zeros(len(codes), dtype)
-    for bucket, a, b in chunk.slices(codes):
-        raw = np.frombuffer(got[bucket], np.uint8)
-        out[a:b] = np.unpackbits(raw, count=b - a).astype(bool) if dtype is bool else raw.view(dtype)
-    return out
-
-
-def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema)
-
-
-SENT_TYPE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("part", pa.binary()), ("extra", pa.binary()), ("ids", pa.binary())])
-ANSWER_TYPE = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("bits", pa.binary())])
 OUT_TYPE = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def joined(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Binary values as one array, and the count of each."""
-    parts = [np.frombuffer(b, dtype) for b in column.to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
-
-
 def answer_codes(bucket: pa.Table) -> pa.Table:
     """Which codes does more than one chunk, or more than one document of a chunk, have?"""
     codes, sizes = joined(bucket.column("part"), np.uint32)
-    here = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bucket.column("extra").to_pylist(), sizes.tolist())])
+    here, _ = joined(bucket.column("extra"), np.uint8)
     order = np.argsort(codes, kind="stable")
     c = codes[order]
     head = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    many = (np.diff(np.append(head, len(c))) > 1) | (np.maximum.reduceat(here[order], head) > 0)
-    shared = np.empty(len(c), bool)
-    shared[order] = np.repeat(many, np.diff(np.append(head, len(c))))
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    name = bucket.column("bucket")[0].as_py()
-    return _table([{"chunk": k, "kind": 1, "bucket": name, "bits": np.packbits(shared[a:b]).tobytes()}
-                   for k, a, b in zip(bucket.column("chunk").to_pylist(), edges[:-1].tolist(), edges[1:].tolist())], ANSWER_TYPE)
+    count = np.diff(np.append(head, len(c)))
+    shared = np.empty(len(c), np.uint8)
+    shared[order] = np.repeat((count > 1) | (np.maximum.reduceat(here[order], head) > 0), count)
+    return answered(bucket, sizes, shared, 1)
 
 
 def previous_factors(data: np.ndarray, suffixes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -262,10 +227,7 @@ def answer_stretches(bucket: pa.Table, length: int) -> pa.Table:
     out = np.empty(len(order), np.uint32)
     whole = docs[order] > docs[heads][group]
     out[order] = np.where(whole, np.uint32(0xFFFFFFFF), mask[group])
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    name = bucket.column("bucket")[0].as_py()
-    return _table([{"chunk": k, "kind": 2, "bucket": name, "bits": out[a:b].tobytes()}
-                   for k, a, b in zip(bucket.column("chunk").to_pylist(), edges[:-1].tolist(), edges[1:].tolist())], ANSWER_TYPE)
+    return answered(bucket, sizes, out, 2)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -277,31 +239,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
-    def opened(table: pa.Table) -> Chunk:
-        return Chunk(table, length, gram, buckets)
-
-    def send_codes(table: pa.Table) -> pa.Table:
-        chunk, name = opened(table), table.column("chunk")[0].as_py()
-        here, low = chunk.shared_here(), (chunk.codes & U(0xFFFFFFFF)).astype(np.uint32)
-        return _table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "extra": np.packbits(here[a:e]).tobytes(), "ids": b""}
-                       for b, a, e in chunk.slices(chunk.codes)], SENT_TYPE)
-
-    def send_stretches(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table([], SENT_TYPE)
-        chunk, name = opened(table), table.column("chunk")[0].as_py()
-        chunk.stretches(bits_of(answers, 1, chunk.codes, chunk, bool))
-        low, lens, data = (chunk.s_code & U(0xFFFFFFFF)).astype(np.uint32), chunk.s_len.astype(np.uint8), chunk.data
-        return _table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "ids": chunk.s_doc[a:e].tobytes(),
-                        "extra": lens[a:e].tobytes() + b"".join(data[f : f + n].tobytes() for f, n in zip(chunk.s_from[a:e].tolist(), chunk.s_len[a:e].tolist()))}
-                       for b, a, e in chunk.slices(chunk.s_code)], SENT_TYPE)
-
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table([], OUT_TYPE)
-        chunk = opened(table)
-        chunk.stretches(bits_of(answers, 1, chunk.codes, chunk, bool))
-        mask = bits_of(answers, 2, chunk.s_code, chunk, np.uint32)[chunk.stretch_of]
+    def opened(part: pa.Table) -> Chunk:
+        return Chunk(part, length, gram, buckets)
+
+    def send_codes(part: pa.Table) -> pa.Table:
+        chunk, name = opened(part), part.column("chunk")[0].as_py()
+        here, low = chunk.shared_here().astype(np.uint8), (chunk.codes & LOW).astype(np.uint32)
+        return table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "extra": here[a:e].tobytes(), "ids": b""}
+                      for b, a, e in slices(chunk.codes)], SENT_TYPE)
+
+    def send_stretches(part: pa.Table, answers: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return table([], SENT_TYPE)
+        chunk, name = opened(part), part.column("chunk")[0].as_py()
+        chunk.stretches(answers_for(answers, 1, chunk.codes, np.uint8) > 0)
+        low, lens, data = (chunk.s_code & LOW).astype(np.uint32), chunk.s_len.astype(np.uint8), chunk.data
+        return table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "ids": chunk.s_doc[a:e].tobytes(),
+                       "extra": lens[a:e].tobytes() + b"".join(data[f : f + n].tobytes() for f, n in zip(chunk.s_from[a:e].tolist(), chunk.s_len[a:e].tolist()))}
+                      for b, a, e in slices(chunk.s_code)], SENT_TYPE)
+
+    def cut(part: pa.Table, answers: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return table([], OUT_TYPE)
+        chunk = opened(part)
+        chunk.stretches(answers_for(answers, 1, chunk.codes, np.uint8) > 0)
+        mask = answers_for(answers, 2, chunk.s_code, np.uint32)[chunk.stretch_of]
         mask = np.where(chunk.doc[chunk.of] > chunk.s_doc[chunk.stretch_of], np.uint32(0xFFFFFFFF), mask)
         hit = np.flatnonzero(mask)
         first, strings = chunk.s0[chunk.of][hit], (chunk.s1 - chunk.s0)[chunk.of][hit] + 1
@@ -322,10 +284,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 done = t
             kept.append(whole[done:e].tobytes())
             out.append({"id": i, "n_bytes": e - a, "spans": [{"start": f - a, "end": t - a} for f, t in spans], "kept": b"".join(kept)})
-        return _table(out, OUT_TYPE)
+        return table(out, OUT_TYPE)
 
-    def stretch_answers(table: pa.Table) -> pa.Table:
-        return answer_stretches(table, length)
+    def stretch_answers(bucket: pa.Table) -> pa.Table:
+        return answer_stretches(bucket, length)
 
     by_chunk = rows.groupBy("chunk")
     known = by_chunk.applyInArrow(send_codes, SENT).groupBy("bucket").applyInArrow(answer_codes, ANSWER)
