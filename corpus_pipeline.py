@@ -48,7 +48,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_documents(docs, tokenizer_file())
+    # workers go on to the next run's stages, so the encoder keeps fewer words here and goes with its task
+    coded = bpe.encode_documents(docs, tokenizer_file(), cache_words=120_000, reuse=False)
     return coded.select("doc_id", "ids", *bpe.digest_columns())
 
 

@@ -24,6 +24,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillsight.llm.batches import bounded_batches
+
 #: Rows whose results one worker holds at a time.
 SLICE = 256
-#: Words and token pairs kept by one Python worker between rows; past it a cache starts anew.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
+#: Words and token pairs kept by one Python worker between rows.
+#: Twice as many pairs.  A few hundred bytes each; more words mean fewer to encode again.
+CACHE_WORDS = 400_000
 #: Unicode White_Space, which the tokenizer's pattern leaves out.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -48,39 +52,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Pairs(dict):
-    """Two token ids -> compatible: merging the symbols of both gives back exactly the two."""
-
-    def __init__(self, coder: PrefixEncoder):
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= CACHE_PAIRS:
-            self.clear()
-        known = self[pair] = self.coder.compatible(pair >> 32, pair & 0xFFFFFFFF)
-        return known
-
-
-class Words(dict):
-    """Word -> its ids, and their strings joined."""
+class Recent(dict):
+    """A bounded cache.  When it is full it starts anew, and what is asked for again is taken
+    over from the one before, so frequent keys stay."""
 
-    def __init__(self, coder: PrefixEncoder):
+    def __init__(self, make, room: int):
         super().__init__()
-        self.coder = coder
+        self.make, self.room, self.before = make, room, {}
 
-    def __missing__(self, word: str) -> tuple[list[int], str]:
-        if len(self) >= CACHE_WORDS:
+    def __missing__(self, key):
+        if len(self) >= self.room:
+            self.before = dict(self)
             self.clear()
-        ids = self.coder.encode_word(word)
-        got = self[word] = (ids, " ".join(map(self.coder.strings.__getitem__, ids)))
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
         return got
 
 
 class PrefixEncoder:
     """Word -> ids.  Built once per Python worker from the tokenizer file's text."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
         import ahocorasick
         import regex
 
@@ -111,7 +105,7 @@ class PrefixEncoder:
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id_of.items():
             if self.merged(s) == [s]:  # a token that its own symbols don't merge to is never emitted
-                self.automaton.add_word(s, (len(s), i))
+                self.automaton.add_word(s, (len(s), i, i << 32))
         self.automaton.make_automaton()
         # how each token came about: the rank of its merge, -1 for a symbol, and the merge's two sides
         self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for s, i in self.id_of.items() if len(s) == 1}
@@ -121,8 +115,9 @@ class PrefixEncoder:
                 i, j = self.id_of[a], self.id_of[b]
                 self.pair_rank[i << 32 | j] = r
                 self.made.setdefault(self.id_of[a + b], (r, i, j))
-        self.pairs = Pairs(self)
-        self.words = Words(self)
+        #: (token id << 32 | token id) -> compatible; word -> (its ids, their strings joined)
+        self.pairs = Recent(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), 2 * cache_words)
+        self.words = Recent(self.spelt, cache_words)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, lowest rank first, leftmost first; for pairs and single tokens only."""
@@ -159,23 +154,27 @@ class PrefixEncoder:
         return False
 
     def encode_word(self, word: str) -> list[int]:
-        codes = list(word.encode("utf-8"))
+        symbols = word.encode("utf-8").decode("latin-1")  # one character for each byte
         if self.word_end:
-            codes[-1] += 256
-        last: list[tuple[int, int] | None] = [None] * len(codes)
+            symbols = symbols[:-1] + chr(ord(symbols[-1]) + 256)
+        last: list[tuple[int, int, int] | None] = [None] * len(symbols)
         pairs = self.pairs
-        for at, token in self.automaton.iter("".join(map(chr, codes))):  # of one end, the longest first
+        for at, token in self.automaton.iter(symbols):  # of one end, the longest first
             if last[at] is None:
                 before = at - token[0]
-                if before < 0 or ((prev := last[before]) is not None and pairs[prev[1] << 32 | token[1]]):
+                if before < 0 or ((prev := last[before]) is not None and pairs[prev[2] | token[1]]):
                     last[at] = token
-        ids, at = [], len(codes) - 1
+        ids, at = [], len(symbols) - 1
         while at >= 0:
-            n, i = last[at]
+            n, i, _ = last[at]
             ids.append(i)
             at -= n
         return ids[::-1]
 
+    def spelt(self, word: str) -> tuple[list[int], str]:
+        ids = self.encode_word(word)
+        return ids, " ".join(map(self.strings.__getitem__, ids))
+
     def pieces(self, text: str) -> list[tuple[list[int], str]]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -198,16 +197,25 @@ class PrefixEncoder:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@lru_cache(maxsize=1)
+def coder_of(tokenizer_json: str, cache_words: int = CACHE_WORDS) -> PrefixEncoder:
+    """The worker's encoder, for all the tasks it runs."""
+    return PrefixEncoder(tokenizer_json, cache_words)
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                     cache_words: int = CACHE_WORDS, reuse: bool = True) -> DataFrame:
     """One row per row of ``docs``: its id, ``ids`` and ``decoded``.  The driver reads the
     tokenizer file (its size does not depend on the data) and sends it to the executors as a
-    broadcast variable.  Output leaves the worker every ``SLICE`` rows, so a worker holds few results."""
+    broadcast variable.  Output leaves the worker every ``SLICE`` rows, so a worker holds few results.
+    With ``reuse`` a worker keeps its encoder, and the words it knows, from task to task."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PrefixEncoder(spec.value)
+        coder = (coder_of if reuse else PrefixEncoder)(spec.value, cache_words)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)

@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.llm.batches import bounded_batches
 from tillsight.session import checkpoint_dir
 
 WINDOW = 5
 SIMILARITY = 0.8
 SENT_WINDOWS = 1_000_000
 #: Words that one Python worker keeps; past it the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 # What counts as a unit or a number word.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters "
@@ -163,7 +164,7 @@ def template_windows(rows: DataFrame, text_col: str, lengths: tuple[int, ...], s
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of, keep = Templates(lengths), Sent(sent.value) if sent else None
         for texts in batches:
-            yield pa.array([[dict(zip(("hash", "pos", "template", "slots"), w)) for w in of.windows(t, keep)] for t in texts.to_pylist()], pa.list_(window))
+            yield pa.array([[dict(zip(("hash", "pos", "template", "slots"), w)) for w in of.windows(t, keep)] for t in (t.as_py() for t in texts)], pa.list_(window))
 
     others = [c for c in rows.columns if c != text_col]
     return rows.select(*others, F.explode(cut(F.col(text_col))).alias("__w")).select(*others, "__w.*")
@@ -174,6 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item id, n_windows, similarity) for each document and item it holds."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
+    bounded_batches(spark)
     words = F.size(F.filter(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"\s+"), lambda w: w != ""))
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("item_text"), F.col(item_text_col).alias("t"),
                              F.least(words, F.lit(window)).alias("n")).where("n > 0").dropDuplicates(["item", "item_text"])

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.llm.batches import bounded_batches
+
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
                    "span strike strong sub sup time tt u var wbr img picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,13 +251,14 @@ def main_text(page: str | None, tree) -> str:
 
 
 def text_column(spark: SparkSession, page: Column) -> Column:
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(trained_tree())
 
     @arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tree = sent.value
         for pages in batches:
-            yield pa.array([main_text(p, tree) for p in pages.to_pylist()], pa.string())
+            yield pa.array([main_text(p.as_py(), tree) for p in pages], pa.string())
 
     return extract(page)
 

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.llm.batches import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "mail", "account")
 KINDS = BASE + ADDED
@@ -36,7 +38,6 @@ MAILTO = "mailto:"
 CUES = ("iban", "account", "acct", "ssn", "passport", "konto", "compte", "cuenta")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
@@ -142,9 +143,10 @@ def spans_column(text: Column) -> Column:
         of, order = Anchors(), {k: i for i, k in enumerate(KINDS)}
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for texts in batches:
-            found = [sorted(of(t), key=lambda s: (order[s[0]], s[1])) for t in texts.to_pylist()]
+            found = [sorted(of(t), key=lambda s: (order[s[0]], s[1])) for t in (t.as_py() for t in texts)]
             yield pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found], pa.list_(kind))
 
+    bounded_batches()
     return find(text)
 
 
@@ -155,8 +157,9 @@ def redacted_column(text: Column) -> Column:
     def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Anchors()
         for texts in batches:
-            yield pa.array([redact_text(t, of(t)) for t in texts.to_pylist()], pa.string())
+            yield pa.array([redact_text(t, of(t)) for t in (t.as_py() for t in texts)], pa.string())
 
+    bounded_batches()
     return redact(text)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.llm.batches import bounded_batches
 from tillsight.llm.graph import components
 from tillsight.session import checkpoint_dir
 
@@ -62,8 +63,9 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())
+            yield pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
 
+    bounded_batches()
     return of(text)
 
 

@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillsight.llm.batches import bounded_batches
+
 BITS = 22
 SAMPLE_PER_CLASS = 4_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 7.0, 0.1
 #: Words whose hash one Python worker keeps; past it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Odd multipliers that tell the three kinds of feature apart.
 PAIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SKIP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -101,6 +103,7 @@ def held_out(id_column: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(label, features) of the sample.  Only the sampled ids, at most twice
     ``SAMPLE_PER_CLASS``, are broadcast to where the documents are read."""
+    bounded_batches(docs.sparkSession)
     known = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").alias("__label"))
         .where(F.col("__id").isNotNull() & F.col("__label").isNotNull())
@@ -118,7 +121,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Features()
         for texts in batches:
-            yield pa.array([of(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([of(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     # the order of training comes from another hash than the choice of the sample: that one has the
@@ -153,6 +156,7 @@ def score_column(spark: SparkSession, text: Column, model) -> Column:
     """Probability of the label 1, 0 to 1."""
     if model is None:
         return F.lit(0.0)
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @arrow_udf("double")
@@ -161,7 +165,7 @@ def score_column(spark: SparkSession, text: Column, model) -> Column:
         dense, of = np.zeros(1 << BITS, np.float32), Features()
         dense[at] = weight
         for texts in batches:
-            sums = np.array([dense[of(t)].sum(dtype=np.float64) for t in texts.to_pylist()], np.float64)
+            sums = np.array([dense[of(t.as_py())].sum(dtype=np.float64) for t in texts], np.float64)
             yield pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))), pa.float64())
 
     return score(text)
