@@ -58,3 +58,28 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert kept.columns == docs.columns
     assert {str(r.doc_id) for r in kept.collect()} == {str(i) for i, _ in odd_rows} - {i for i, _ in got}
     assert hits(empty, bench) == [] and hits(docs, bench.limit(0)) == []
+
+
+LONGER = "Anna has 5 pens in Paris and 30 books. Anna buys 3 more pens for the school. Anna then gives 2 pens away. How many pens does she still own there?"
+
+
+def test_names_that_begin_sentences(spark):
+    docs = [(1, LONGER.replace("Anna", "Ben")), (2, "so far we know that " + LONGER.replace("Anna", "Ben").replace("30", "40")),
+            (3, LONGER.replace("Anna", "she")), (4, LONGER.replace("Anna", "Ben", 1).replace("Anna", "Carl", 1).replace("Anna", "Dora"))]
+    assert hits(frame(spark, docs, "doc_id"), frame(spark, [(1, LONGER)], "item_id")) == [("1", "1"), ("2", "1")]
+
+
+def test_values_of_other_word_counts(spark):
+    docs = [(1, LONGER.replace("Paris", "New York").replace("30", "twenty five")), (2, LONGER.replace("Anna", "Mary Ann").replace("5 pens", "twenty one pens")),
+            (3, "QUESTION " + LONGER.replace("Paris", "Rio de Janeiro") + " Answer")]
+    got = hits(frame(spark, docs[:2], "doc_id"), frame(spark, [(1, LONGER)], "item_id"))
+    assert got == [("1", "1"), ("2", "1")]
+    back = frame(spark, [(1, docs[1][1])], "item_id")
+    assert hits(frame(spark, [(1, LONGER), (2, docs[0][1])], "doc_id"), back) == [("1", "1"), ("2", "1")]
+
+
+def test_short_items_are_matched_by_their_words(spark):
+    items = [(1, "42"), (2, "Paris"), (3, "Anna Smith, 25 km."), (4, "Anna 5 km Ben 6 kg Carl 7"), (5, "twenty five Anna Smith five")]
+    docs = [(1, "they sold 41 of them to London"), (2, "they sold 42 of them"), (3, "once in Paris Texas"), (4, "for Ben Smith, 26 km."),
+            (5, "then Anna Smith, 25 km. more"), (6, "so Dora 8 km Emil 9 kg Fay 1"), (7, "so Anna 5 km Ben 6 kg Carl 7 8"), (8, "a twenty five Anna Smith five")]
+    assert hits(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")) == [("2", "1"), ("3", "2"), ("5", "3"), ("7", "4"), ("8", "5")]

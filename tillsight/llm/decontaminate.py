@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units and names (capitalised inside a sentence)
-turn into typed placeholders, other words into lower case without outer punctuation.
+Words become template tokens: numbers, units and names (capitalised words) turn into typed
+placeholders, other words into lower case without outer punctuation.  Placeholders of one kind
+that follow each other inside a sentence are one, whose value is their words ("New York").
 Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the
 benchmark items.  A joined window carries the values in its placeholders (slots).  For each
 document and item, each item value gets one document value: the one it has where the
@@ -10,16 +11,17 @@ Windows that disagree with it don't count.  So an item whose numbers and names w
 through is caught, and scattered windows that only share placeholders are not.  A document
 holds an item if at least ``SIMILARITY`` of the item's windows are found.
 
-The first token of an item starts a sentence there, while the same passage may follow a
-word in a document; so document windows that begin with a name are also looked up with
-that name as a plain word.
+A capitalised word that begins a sentence may be a name or any other word: windows over it are
+cut in both forms, on both sides, wherever it stands.
+
+Windows without a plain word, and items of fewer than ``WINDOW`` tokens, would fit any value, so they are
+matched by their words as they are, in windows of ``WINDOW`` words or of the item's length.
 
 The benchmark's window hashes are sent to the tasks that read the documents while they
 are at most ``SENT_WINDOWS``; windows that hit nothing then stay where they are.  A larger
 benchmark is joined by a shuffle of all windows instead.
 
-Defined cases: null and empty texts match nothing, on either side; an item of fewer words
-than the window is one window of its own length.  Null item or document ids are keys like
+Defined cases: null and empty texts match nothing, on either side.  Null item or document ids are keys like
 any other.  Rows that repeat an item id are items of their own by text; rows that repeat a
 document id are matched by row and reported once, with the highest similarity.
 Very long texts are read whole.  Only ids and texts are read.
@@ -59,7 +61,7 @@ LITERAL, NUM, UNIT, NAME = range(4)
 MARKS = np.array([0, 0x4E554D, 0x554E4954, 0x4E414D45], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 SHOWN = ("", "<num>", "<unit>", "<name>")
 FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
-HITS = "array<struct<hash:long,pos:int,template:string,slots:array<string>>>"
+HITS = "array<struct<hash:long,pos:int,template:string,slots:array<string>,exact:int,edge:int>>"
 
 
 def core(word: str) -> tuple[str, int]:
@@ -101,41 +103,112 @@ class Words(dict):
 
 
 class Templates:
-    """Text -> template windows.  Keeps the words it has seen."""
+    """Text -> windows.  Keeps the words it has seen.
 
-    def __init__(self, lengths: tuple[int, ...]):
-        self.lengths, self.known = lengths, Words(CACHE_WORDS)
+    A run of placeholders of one kind inside a sentence is one token.  A capitalised word that begins a
+    sentence may be a name or a plain word, so the tokens are a graph: such a word has an edge as (the first of) a
+    name and one as a plain word, every other token has one.  Windows are the paths of ``window`` tokens."""
 
-    def windows(self, text: str | None, keep=None) -> list[tuple[int, int, str, list[str]]]:
-        """(hash, position, template, slot values), for the hashes that ``keep`` accepts."""
-        words = (text or "").split()
-        if not words:
-            return []
+    def __init__(self, window: int, exact: tuple[int, ...] = ()):
+        self.window, self.exact, self.known = window, exact, Words(CACHE_WORDS)
+
+    def tokens(self, words: list[str]):
+        """Of each word: its number, kind, whether it begins a sentence with a capital, whether it goes on with a run, and where its run ends."""
         if len(self.known) + len(words) > len(self.known.hash):
             self.known = Words(max(CACHE_WORDS, 2 * len(words)))
         known = self.known
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        kind, plain = known.kind[ids], known.hash[ids]
+        kind = known.kind[ids]
         first = np.concatenate(([True], known.ends[ids[:-1]]))
-        kind = np.where(first & (kind == NAME), LITERAL, kind)
+        goes_on = ~first & (kind != LITERAL)
+        goes_on[1:] &= kind[1:] == kind[:-1]
+        heads = np.flatnonzero(~goes_on)
+        ends = np.append(heads[1:], len(words))
+        return ids, kind, first & (kind == NAME), goes_on, np.repeat(ends, ends - heads)
+
+    def paths(self, kind, plain, either, end, start):
+        """Of each path of ``window`` tokens from ``start``: its start, its end, its hash, which tokens are plain
+        words for names (bits), and whether it has a literal."""
+        n = len(kind)
+        past = np.arange(n, n + self.window + 1)  # where paths go that are too long
+        kind, end = np.append(kind, np.full(len(past), LITERAL, kind.dtype)), np.append(end, past + 1)
+        either, plain = np.append(either, np.zeros(len(past), bool)), np.append(plain, np.zeros(len(past), np.uint64))
         token = np.where(kind == LITERAL, plain, MARKS[kind])
-        found = []
-        for n in self.lengths:
-            m = len(words) - n + 1
-            if m <= 0:
-                continue
-            h = np.full(m, n, np.uint64)
-            for k in range(n):
-                h += token[k : k + m] * FACTORS[k]
-            named = np.flatnonzero(kind[:m] == NAME)
-            as_plain = h[named] + (plain[named] - token[named]) * FACTORS[0]
-            for at, hashes, literal in ((np.arange(m), h, False), (named, as_plain, True)):
-                hashes = hashes ^ (hashes >> np.uint64(31))
-                hit = keep(hashes) if keep else np.arange(len(hashes))
-                for p, x in zip(at[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                    kinds = [LITERAL if literal and j == 0 else int(kind[p + j]) for j in range(n)]
-                    cores = [known.cores[i] for i in ids[p : p + n]]
-                    found.append((x, p, " ".join(SHOWN[k] or c for k, c in zip(kinds, cores)), [c for k, c in zip(kinds, cores) if k]))
+        pos, h = start, np.full(len(start), self.window, np.uint64)
+        bits, literal = np.zeros(len(start), np.uint64), np.zeros(len(start), bool)
+        for k in range(self.window):
+            two = np.flatnonzero(either[pos])
+            at = pos[two]
+            more = (start[two], at + 1, h[two] + plain[at] * FACTORS[k], bits[two] | np.uint64(1 << k), np.ones(len(two), bool))
+            one = (start, end[pos], h + token[pos] * FACTORS[k], bits, literal | (kind[pos] == LITERAL))
+            start, pos, h, bits, literal = (np.concatenate(x) for x in zip(one, more)) if len(two) else one
+        whole = pos <= n
+        return start[whole], pos[whole], h[whole] ^ (h[whole] >> np.uint64(31)), bits[whole], literal[whole]
+
+    def by_words(self, ids, plain, n, at, keep=None):
+        """Windows of ``n`` words from ``at``, as they are."""
+        h = np.full(len(at), ~np.uint64(n), np.uint64)
+        for k in range(n):
+            h += plain[at + k] * FACTORS[k]
+        h ^= h >> np.uint64(31)
+        hit = keep(h) if keep else np.arange(len(h))
+        return [(x, -1 - p, "= " + " ".join(self.known.cores[i] for i in ids[p : p + n]), [], n, 0)
+                for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist())]
+
+    def by_template(self, ids, kind, end, number, paths, keep=None):
+        start, stop, h, bits, _ = paths
+        hit = keep(h) if keep else np.arange(len(h))
+        found, cores = [], self.known.cores
+        for p, e, x, plain in zip(start[hit].tolist(), stop[hit].tolist(), h[hit].view(np.int64).tolist(), bits[hit].tolist()):
+            shown, slots, at = [], [], p
+            for k in range(self.window):
+                as_plain = plain >> k & 1 or kind[at] == LITERAL
+                to = at + 1 if as_plain else int(end[at])
+                shown.append(cores[ids[at]] if as_plain else SHOWN[kind[at]])
+                if not as_plain:
+                    slots.append(" ".join(cores[i] for i in ids[at:to]))
+                at = to
+            edge = (p == 0 and shown[0] in SHOWN) + 2 * (e == len(ids) and shown[-1] in SHOWN)
+            found.append((x, int(number[p]), " ".join(shown), slots, 0, edge))
+        return found
+
+    def of_item(self, text: str | None) -> list[tuple]:
+        """(hash, position, template, slot values, words of an exact window or 0, open edges: 1 left, 2 right)."""
+        words = (text or "").split()
+        if not words:
+            return []
+        ids, kind, either, goes_on, end = self.tokens(words)
+        plain, heads, w = self.known.hash[ids], np.flatnonzero(~goes_on), self.window
+        if len(heads) < w:
+            n = min(len(words), w)
+            return self.by_words(ids, plain, n, np.arange(len(words) - n + 1))
+        start = heads[: len(heads) - w + 1]  # where the form with all the names has a window
+        paths = self.paths(kind, plain, either, end, start)
+        bare = np.zeros(len(words), bool)  # here five-word windows stand for one without a literal
+        literal_at = {p for p, with_one, b in zip(paths[0].tolist(), paths[4].tolist(), paths[3].tolist()) if with_one and not b}
+        ends = np.append(heads, len(words))[w:]
+        for p, e in zip(start.tolist(), ends.tolist()):
+            if p not in literal_at:
+                bare[p : e - w + 1] = True
+        named = np.isin(paths[0], np.array(sorted(literal_at), np.int64))
+        number = np.cumsum(~goes_on) - 1
+        return self.by_template(ids, kind, end, number, tuple(x[named] for x in paths)) + self.by_words(ids, plain, w, np.flatnonzero(bare))
+
+    def of_document(self, text: str | None, keep=None) -> list[tuple]:
+        """As ``of_item``, for the hashes that ``keep`` accepts."""
+        words = (text or "").split()
+        if not words:
+            return []
+        ids, kind, either, goes_on, end = self.tokens(words)
+        plain = self.known.hash[ids]
+        begins = ~goes_on
+        begins[1:] |= either[:-1]  # the word before may be plain
+        paths = self.paths(kind, plain, either, end, np.flatnonzero(begins))
+        paths = tuple(x[paths[4]] for x in paths)
+        found = self.by_template(ids, kind, end, np.cumsum(~goes_on) - 1, paths, keep)
+        for n in self.exact:
+            if len(words) >= n:
+                found += self.by_words(ids, plain, n, np.arange(len(words) - n + 1), keep)
         return found
 
 
@@ -156,15 +229,17 @@ class Sent:
         return hit[self.sorted[at] == hashes[hit]]
 
 
-def template_windows(rows: DataFrame, text_col: str, lengths: tuple[int, ...], sent=None) -> DataFrame:
-    """``rows`` without its text, one row for each window: hash, pos, template, slots."""
-    window = pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+def template_windows(rows: DataFrame, text_col: str, window: int, items: bool = False, exact: tuple[int, ...] = (), sent=None) -> DataFrame:
+    """``rows`` without its text, one row for each window: hash, pos, template, slots, exact, edge."""
+    names = ("hash", "pos", "template", "slots", "exact", "edge")
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
 
     @arrow_udf(HITS)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of, keep = Templates(lengths), Sent(sent.value) if sent else None
+        of, keep = Templates(window, exact), Sent(sent.value) if sent else None
         for texts in batches:
-            yield pa.array([[dict(zip(("hash", "pos", "template", "slots"), w)) for w in of.windows(t, keep)] for t in (t.as_py() for t in texts)], pa.list_(window))
+            found = [of.of_item(t) if items else of.of_document(t, keep) for t in (t.as_py() for t in texts)]
+            yield pa.array([[dict(zip(names, w)) for w in ws] for ws in found], pa.list_(pa.struct(list(zip(names, kinds)))))
 
     others = [c for c in rows.columns if c != text_col]
     return rows.select(*others, F.explode(cut(F.col(text_col))).alias("__w")).select(*others, "__w.*")
@@ -176,23 +251,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     checkpoint_dir(spark)
     bounded_batches(spark)
-    words = F.size(F.filter(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"\s+"), lambda w: w != ""))
-    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("item_text"), F.col(item_text_col).alias("t"),
-                             F.least(words, F.lit(window)).alias("n")).where("n > 0").dropDuplicates(["item", "item_text"])
-    lengths = tuple(sorted(r.n for r in items.select("n").distinct().collect()))  # at most ``window`` numbers
-    by_length = [template_windows(items.where(F.col("n") == n), "t", (n,)) for n in lengths]
-    if not by_length:
+    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("item_text"), F.col(item_text_col).alias("t"))
+    asked = template_windows(items.dropDuplicates(["item", "item_text"]), "t", window, items=True)
+    lengths = sorted(r.exact for r in asked.select("exact").distinct().collect())  # at most ``window`` numbers and 0
+    if not lengths:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"),
                            F.lit(0.0).alias("similarity")).where(F.lit(False))
-    asked = by_length[0]
-    for more in by_length[1:]:
-        asked = asked.unionByName(more)
-    asked = asked.select("item", "item_text", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    asked = asked.select("item", "item_text", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "edge")
     distinct = asked.select("hash").distinct().limit(SENT_WINDOWS + 1).toPandas()["hash"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(distinct) if len(distinct) <= SENT_WINDOWS else None  # the size is checked here
 
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("doc_text"), F.col(text_col).alias("t"))
-    hits = template_windows(rows, "t", lengths, sent)
+    hits = template_windows(rows, "t", window, exact=tuple(n for n in lengths if n), sent=sent).drop("exact", "edge")
     both = hits.join(asked, ["hash", "template"]).checkpoint()  # read twice below: the documents are scanned once
     key = ["doc", "doc_text", "item", "item_text"]
     pairs = both.select(*key, (F.col("pos") - F.col("item_pos")).alias("shift"), F.explode(
@@ -201,14 +271,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     votes = pairs.groupBy(*key, "shift", "s").agg(F.count("*").alias("n"))
     same_shift = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*key, "shift")]
     weighed = votes.alias("v").join(shifts.alias("w"), same_shift[0] & same_shift[1] & same_shift[2] & same_shift[3] & same_shift[4])
-    # the item laid against the document at its best place decides first, then the count, then the value
-    place = F.struct((-F.col("w.windows")).alias("w"), F.col("w.shift").alias("shift"), (-F.col("v.n")).alias("n"), F.col("v.s.got").alias("got"))
+    # the item laid against the document at its best place decides first, then the count, then the shorter value
+    place = F.struct((-F.col("w.windows")).alias("w"), F.col("w.shift").alias("shift"), (-F.col("v.n")).alias("n"), F.length("v.s.got").alias("l"), F.col("v.s.got").alias("got"))
     best = weighed.groupBy(*[F.col(f"v.{k}").alias(k) for k in key], F.col("v.s.asked").alias("asked")).agg(F.min(place).alias("b"))
     chosen = best.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("asked", "b.got"))).alias("chosen"))
     left, right = both.alias("m"), chosen.alias("c")
     same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
-    agree = F.forall(F.arrays_zip(F.col("m.item_slots").alias("asked"), F.col("m.slots").alias("got")),
-                     lambda s: F.element_at("c.chosen", s["asked"]) == s["got"])
+
+    def same_value(s):  # a slot at the item's edge may go on in the document
+        value = F.element_at("c.chosen", s["asked"])
+        left = (F.col("m.edge").bitwiseAND(1) > 0) & (s["asked"] == F.element_at("m.item_slots", 1)) & F.endswith(s["got"], F.concat(F.lit(" "), value))
+        right = (F.col("m.edge").bitwiseAND(2) > 0) & (s["asked"] == F.element_at("m.item_slots", -1)) & F.startswith(s["got"], F.concat(value, F.lit(" ")))
+        return (value == s["got"]) | left | right
+
+    agree = F.forall(F.arrays_zip(F.col("m.item_slots").alias("asked"), F.col("m.slots").alias("got")), same_value)
     sound = left.join(right, same[0] & same[1] & same[2] & same[3], "left").where((F.size("m.item_slots") == 0) | agree)
     found = sound.groupBy(*[F.col(f"m.{k}").alias(k) for k in key]).agg(F.count_distinct("m.item_pos").alias("n"))
     sizes = asked.groupBy("item", "item_text").agg(F.count_distinct("item_pos").alias("of")).alias("z")
