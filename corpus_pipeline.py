@@ -6,7 +6,7 @@ documents it keeps, with the columns of ``documents``; the last returns token id
 1. toxicity: documents scored 0.5 or more go.
 2. simhash: one document of each near-duplicate group stays, the one of the least id
    (shingles of three words, at most two bits).
-3. decontaminate: documents that hold a benchmark item go.
+3. decontaminate: rows whose text holds a benchmark item go; others under the same id, or without one, stay.
 4. pii: personal data is replaced by its kind in brackets; ``n_chars`` follows the text.
 5. bpe: token ids of each text, with the digests of the ids and of the decoded text.
 
@@ -36,7 +36,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_rows(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

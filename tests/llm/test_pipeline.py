@@ -61,3 +61,11 @@ def test_odd_rows(spark, odd, empty):
             assert out.columns == docs.columns, name
             out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, empty, SMALL).count() == 0
+
+
+def test_rows_that_share_an_id_with_a_held_item_stay(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, "x " + item), (None, "clean without an id"), (None, None), (4, item), (4, "clean under id four"), (5, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontaminate_stage(spark, docs, SMALL).collect()
+    assert sorted(((str(r.doc_id), str(r.text)) for r in kept)) == [("4", "clean under id four"), ("5", "clean"), ("None", "None"), ("None", "clean without an id")]

@@ -245,9 +245,9 @@ def template_windows(rows: DataFrame, text_col: str, window: int, items: bool =
     return rows.select(*others, F.explode(cut(F.col(text_col))).alias("__w")).select(*others, "__w.*")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                 item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, item id, n_windows, similarity) for each document and item it holds."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, doc_text, item, n, s) for each distinct row, by id and hash of the text, and item it holds."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     bounded_batches(spark)
@@ -255,8 +255,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     asked = template_windows(items.dropDuplicates(["item", "item_text"]), "t", window, items=True)
     lengths = sorted(r.exact for r in asked.select("exact").distinct().collect())  # at most ``window`` numbers and 0
     if not lengths:
-        return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"),
-                           F.lit(0.0).alias("similarity")).where(F.lit(False))
+        return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("doc_text"), F.lit(None).cast("long").alias("item"),
+                           F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")).where(F.lit(False))
     asked = asked.select("item", "item_text", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "edge")
     distinct = asked.select("hash").distinct().limit(SENT_WINDOWS + 1).toPandas()["hash"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(distinct) if len(distinct) <= SENT_WINDOWS else None  # the size is checked here
@@ -289,7 +289,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = sound.groupBy(*[F.col(f"m.{k}").alias(k) for k in key]).agg(F.count_distinct("m.item_pos").alias("n"))
     sizes = asked.groupBy("item", "item_text").agg(F.count_distinct("item_pos").alias("of")).alias("z")
     rated = found.alias("f").join(sizes, F.col("f.item").eqNullSafe(F.col("z.item")) & (F.col("f.item_text") == F.col("z.item_text")))
-    rated = rated.select("f.doc", "f.item", "f.n", (F.col("f.n") / F.col("z.of")).alias("s")).where(F.col("s") >= similarity)
+    return rated.select("f.doc", "f.doc_text", "f.item", "f.n", (F.col("f.n") / F.col("z.of")).alias("s")).where(F.col("s") >= similarity)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, item id, n_windows, similarity) for each document and item it holds."""
+    rated = contaminated_rows(docs, benchmark, id_col, text_col, **how)
     return rated.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("n").cast("long").alias("n_windows"), F.max("s").alias("similarity"))
 
@@ -298,3 +303,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` without the rows whose id holds a benchmark item; all columns as they are."""
     bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item, whatever other rows have their id."""
+    bad = contaminated_rows(docs, benchmark, id_col, text_col, **how).select(F.col("doc").alias("__bad"), F.col("doc_text").alias("__bad_text")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text_col]) == bad["__bad_text"]), "left_anti")
