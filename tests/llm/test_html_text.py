@@ -56,3 +56,11 @@ def test_odd_pages(spark):
     assert [r.text for r in got if r.page_id in (1, 2, None)] == ["", "", ""]
     assert [r.text for r in got if r.text == "twice"] == ["twice"] * 2
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_custom_and_self_closed_elements_hide_nothing():
+    tree = html_text.trained_tree()
+    for piece in ("<svg-icon name=x></svg-icon>", "<select-box></select-box>", "<title-bar/>", "<svg/>", "<svg viewBox='0 0 > 1' width=\"2\" />", "<math />", "<svg a/b><path/></svg>"):
+        got = html_text.main_text(f"<article><p>{LONG}</p>{piece}<p>after it {LONG}</p></article>", tree)
+        assert "after it the mayor" in got, piece
+    assert html_text.main_text(f"<article><p>{LONG}</p><svg class=a><text>hidden</text></svg><button>press</button></article>", tree) == LONG.strip()

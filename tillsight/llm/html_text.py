@@ -13,7 +13,8 @@ blocks are joined by one line feed.  A ``br`` is white space; scripts, styles, c
 
 Defined cases: null or empty html, and pages without a kept block, give the empty text.
 Unclosed tags end with the page or with what HTML closes them by; an unclosed comment or
-script takes the rest of the page.  Pages are read whole.  Rows are independent.
+script takes the rest of the page.  A self-closed ``svg`` or ``math`` is empty, and an element such
+as ``svg-icon`` is none of those.  Pages are read whole.  Rows are independent.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ BOILER_WORDS = frozenset(
     "sponsored subscribe subscription tags teaser toolbar widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<(?P<raw>{HIDDEN})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--(?:.*?-->|.*\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"
+    rf"|<(?P<raw>{HIDDEN})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
     re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
