@@ -64,3 +64,17 @@ def test_custom_and_self_closed_elements_hide_nothing():
         got = html_text.main_text(f"<article><p>{LONG}</p>{piece}<p>after it {LONG}</p></article>", tree)
         assert "after it the mayor" in got, piece
     assert html_text.main_text(f"<article><p>{LONG}</p><svg class=a><text>hidden</text></svg><button>press</button></article>", tree) == LONG.strip()
+
+
+def test_wrappers_do_not_mark_the_article():
+    tree = html_text.trained_tree()
+    body = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    for page in (f"<body class='no-sidebar'><article>{body}</article>", f"<body class='sidebar'><div class='layout has-sidebar'><main>{body}</main></div>",
+                 f"<article class='post has-comments'>{body}</article>", f"<div style='overflow:hidden'><article>{body}</article></div>",
+                 f"<div class='overflow-hidden'>{body}</div>", f"<body class='no-sidebar'><div class='has-sidebar'>{body}</div>",
+                 f"<div class='widget'><article data-id='nav'>{body}</article></div>"):
+        assert html_text.main_text(page, tree).replace(LONG.strip(), "LONG") == "Head\nLONG\nShort.\nLONG", page
+    for gone in ("class='comments'", "class='site-footer'", "id=cookie-notice", "hidden", "HIDDEN=''", "style='color:red;display: none'", "aria-hidden=true", "role='navigation'"):
+        assert html_text.main_text(f"<article>{body}<div {gone}><p>gone {LONG}</p></div></article>", tree).count("gone") == 0, gone
+    assert html_text.main_text(f"<div hidden><article>{body}</article></div><article>{body}</article>", tree).count("Head") == 1
+    assert "reply" not in html_text.main_text(f"<article>{body}<div class=comments><article><p>reply {LONG}</p></article></div></article>", tree)

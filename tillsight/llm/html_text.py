@@ -38,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = "script|style|title|noscript|template|svg|math|iframe|object|textarea|select|button"
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
+#: Their class words tell of the page's layout.
+PAGE_TAGS = frozenset(["html", "body"])
 #: Words of class, id or role that name a container which is no article.
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
@@ -50,10 +52,34 @@ TOKEN = re.compile(
     rf"|<(?P<raw>{HIDDEN})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
     re.S | re.I)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-UNSHOWN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: Words that go with one of BOILER_WORDS in a name of several words.
+NEUTRAL = frozenset("site global main top bottom primary secondary list links buttons box bar area section item items".split())
 WORD = re.compile(r"[a-z]+")
 
+PLAIN, BOILER, HIDDEN_TOO = range(3)
+
+
+def boiler_token(token: str) -> bool:
+    """A whole class, id or role: one of the words, or made of them and neutral ones ("cookie-banner", not "no-sidebar")."""
+    if token in BOILER_WORDS:
+        return True
+    pieces = WORD.findall(token)
+    return not BOILER_WORDS.isdisjoint(pieces) and all(w in BOILER_WORDS or w in NEUTRAL for w in pieces)
+
+
+def mark_of(tag: str, attrs: str) -> int:
+    """What a container's own tag and attributes say of it."""
+    mark = PLAIN
+    for name, value in ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "style" and UNSHOWN.search(value)) or (name == "aria-hidden" and value.lower() == "true"):
+            return HIDDEN_TOO
+        if name in ("class", "id", "role") and tag not in PAGE_TAGS and any(map(boiler_token, value.lower().split())):
+            mark = BOILER
+    return mark
+
 
 @dataclass
 class Block:
@@ -73,13 +99,13 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Flat blocks of a page, in page order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, is or lies in an article, is or lies in boilerplate
+    open_tags: list[tuple[str, bool, int]] = []  # tag, is or lies in an article, mark of it and what it lies in
     parts: list[str] = []
     linked = in_link = 0
     label = -1
 
-    def place() -> tuple[bool, bool]:
-        return open_tags[-1][1:] if open_tags else (False, False)
+    def place() -> tuple[bool, int]:
+        return open_tags[-1][1:] if open_tags else (False, PLAIN)
 
     def flush() -> None:
         nonlocal linked
@@ -87,7 +113,7 @@ def blocks_of(page: str) -> list[Block]:
         if words:
             article, boiler = place()
             heading = any(t in HEADINGS for t, _, _ in open_tags[-3:])
-            found.append(Block(" ".join(words), len(words), min(linked, len(words)), article, boiler, heading, label))
+            found.append(Block(" ".join(words), len(words), min(linked, len(words)), article, boiler > PLAIN, heading, label))
         parts.clear()
         linked = 0
 
@@ -134,10 +160,12 @@ def blocks_of(page: str) -> list[Block]:
                     if open_tags[i][0] == "li":
                         del open_tags[i:]
                 article, boiler = place()
-                attrs = m.group("attrs")
-                named = {w for v in NAMED.findall(attrs) for w in WORD.findall(v.lower())} if attrs else ()
-                boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not article) or bool(
-                    attrs and (not BOILER_WORDS.isdisjoint(named) or UNSHOWN.search(attrs)))
+                if boiler == BOILER and (tag in ("body", "main") or (tag == "article" and not any(t == "article" for t, _, _ in open_tags))):
+                    boiler = PLAIN  # what is around an article says nothing of it; articles in an article's comments do not count
+                if boiler == PLAIN and (tag in BOILER_TAGS or (tag == "header" and not article)):
+                    boiler = BOILER
+                if m.group("attrs"):
+                    boiler = max(boiler, mark_of(tag, m.group("attrs")))
                 open_tags.append((tag, article or tag in ARTICLE_TAGS, boiler))
     add(page[at:])
     flush()
@@ -176,6 +204,11 @@ _INNER_NOT_MAIN = (
 )
 _BARE_MAIN = ("<p>" + _LONG + "</p>", "<p>{0} {1}</p>", "<p>" + _LONG + " <a href=/r>{1}</a> " + _LONG + "</p>", "<h2>{2}</h2>", "<p>" + _LONG + "</p>")
 _UNMARKED = ("<div>{0} {1}</div>", "<p>" + _LONG + "</p>", "<div>" + _LONG + "</div><p>{2}</p>")
+#: Wrappers of a page whose classes and styles name something else.
+_WRAPS = (
+    "<body class='no-sidebar'>{}", "<body class='sidebar'><div class='layout has-sidebar'>{}</div>", "<div style='overflow:hidden' class='with-comments'>{}</div>",
+    "<body><div class='overflow-hidden page-no-footer'>{}</div>",
+)
 _BARE_LINKED = "<div><a href=/m>" + _LONG + "</a> <a href=/n>{0} {1}</a></div>"
 
 
@@ -198,6 +231,10 @@ def labelled_pages() -> list[str]:
         # the same without a tag that marks the article: long text and its neighbours must do
         bare = f"<body><!--label 0-->{before}{('<p>{0} {2}</p>' + _BARE_LINKED) * (k % 3 == 1)}<div><!--label 1-->{''.join(_BARE_MAIN)}</div><!--label 0-->{(_BARE_LINKED + '<p>{1}</p>') * (k % 3 == 0)}{after}"
         pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], bare))
+        wrapped = f"{wrap.format(main)}<!--label 0-->{after}".replace("<article>", "<article class='post has-comments'>")
+        for inner in (wrapped, f"<div><!--label 1-->{''.join(_BARE_MAIN)}</div><!--label 0-->{after}"):
+            page = _WRAPS[k % len(_WRAPS)].format(f"<!--label 0-->{before}<!--label 1-->{inner}")
+            pages.append(re.sub(r"\{(\d)\}", lambda m, w=words: w[int(m.group(1))], page))
     return [*pages, "<!--label 1-->" + _LONG, "<!--label 1--><p>" + _LONG + "</p>"]
 
 
