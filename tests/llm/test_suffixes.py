@@ -72,3 +72,31 @@ def test_previous_factors():
     got = suffixes.previous_factors(data, at, docs, 10)
     want = [any(docs[j] < docs[i] and data[j : j + 10].tobytes() == data[i : i + 10].tobytes() for j in at) for i in at]
     assert got.tolist() == want
+
+
+def test_hot_anchor_is_dealt_by_string(spark, monkeypatch):
+    """A phrase that most documents hold, with other neighbours in each, doesn't meet in one bucket."""
+    rng, phrase = random.Random(3), "all rights reserved by the owner of it"
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, own(60) + phrase + own(60)) for i in range(300)]
+    rows += [(rng.randint(0, 400), t[rng.randint(0, 60) :]) for _, t in rng.sample(rows, 60)] + spliced(11) + [(None, rows[3][1])]
+    whole, limit = suffixes.answer_stretches, 64
+
+    def checked(bucket, length):
+        codes, _ = suffixes.joined(bucket.column("part"), np.uint32)
+        assert not len(codes) or np.unique(codes, return_counts=True)[1].max() <= limit
+        return whole(bucket, length)
+
+    monkeypatch.setattr(suffixes, "answer_stretches", checked)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 12000)
+    monkeypatch.setattr(suffixes, "HOT", limit, raising=False)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_all_codes_dealt(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "HOT", 0)
+    rows = spliced(7)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

@@ -18,14 +18,18 @@ positions are dealt out first, so that equal strings meet in one bucket:
    smaller document are earlier copies as a whole; where an anchor has several different
    stretches, the suffixes in them are put in order and their longest previous
    factors decide string by string.  The answer is a bit for each string.
-4. Chunks turn the bits into spans and cut them out.
+4. A hot anchor, of which the chunks hold more than ``HOT`` stretches in all (a phrase with other
+   neighbours in each document), is not sent as stretches.  Its distinct strings go out by the hash
+   of the whole string instead, each with its smallest document; the bucket answers whether
+   another chunk has a smaller one.
+5. Chunks turn the bits into spans and cut them out.
 
 Chunks and buckets have a fixed mean size, their number grows with the data.  A passage
 that a third of all documents repeat is sent once by each chunk, not once by each document.
 Text is shuffled once: the chunks are read three times from the same shuffle.
 
-Codes are 32 bits within a bucket and only filter; stretches are compared by 128 bits,
-suffixes by their bytes.
+Codes are 32 bits within a bucket and only filter; stretches and strings of hot anchors are
+compared by 128 bits, suffixes by their bytes.
 
 Defined cases: null text has no bytes.  Rows without an id keep all their bytes and are nobody's
 earlier copy.  Rows that repeat an id are one document's: they never remove each other's
@@ -48,8 +52,15 @@ GRAM = 20
 BLOCK = 1 << 15
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Stretches under one code that a bucket takes; 31 strings of 7 keys each make some 100 MB of these.
+HOT = 1 << 16
+#: Up to so many stretches under one code, a chunk doesn't look which are equal to count them.
+FEW = 8
+#: The answers to codes.
+ALONE, SHARED, DEALT = range(3)
 OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 U = np.uint64
+PAIR = np.dtype([("h1", U), ("h2", U)])
 
 
 FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))
@@ -144,6 +155,39 @@ class Chunk:
         np.maximum.at(high, self.code_of, self.doc)
         return low < high
 
+    def counts(self) -> np.ndarray:
+        """Of each code: the distinct stretches here, in quarters of a power of two, rounded up."""
+        count = np.bincount(self.code_of, minlength=len(self.codes))
+        many = np.flatnonzero(count[self.code_of] > FEW)
+        if len(many):
+            a, b = self.s0[many], self.s1[many] + self.length
+            h1, h2 = short_hashes(words_of(self.data), a, b - a)
+            of = self.code_of[many]
+            order = np.lexsort((h2, h1, of))
+            c, x, y = of[order], h1[order], h2[order]
+            new = np.concatenate(([True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            count = np.where(count > FEW, np.bincount(c[new], minlength=len(count)), count)
+        return np.ceil(4 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+    def strings(self, dealt: np.ndarray) -> None:
+        """Distinct strings under dealt codes, by their own code; their smallest document, and whose they are."""
+        of = np.flatnonzero(dealt[self.code_of])
+        count = (self.s1 - self.s0)[of] + 1
+        self.t_of = np.repeat(of, count)
+        self.t_at = self.s0[self.t_of] + np.arange(len(self.t_of)) - np.repeat(np.cumsum(count) - count, count)
+        doc = self.doc[self.t_of]
+        h1, h2 = short_hashes(words_of(self.data), self.t_at, np.full(len(self.t_at), self.length))
+        code = bucketed(mixed(h1 ^ U(0x8EBC6AF09C88C6E3)), self.buckets) + (U(self.buckets) << U(32))  # after the stretches' buckets
+        order = np.lexsort((doc, h2, h1, code))
+        c, x, y = code[order], h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        heads = order[new]
+        self.string_of = np.empty(len(order), np.int64)
+        self.string_of[order] = np.cumsum(new) - 1
+        self.t_code, self.t_doc, self.t_pair = code[heads], doc[heads], np.empty(len(heads), PAIR)
+        self.t_pair["h1"], self.t_pair["h2"] = h1[heads], h2[heads]
+
     def stretches(self, shared: np.ndarray) -> None:
         """Distinct stretches under shared codes, by code; their smallest document, and whose they are."""
         self.of = np.flatnonzero(shared[self.code_of])
@@ -163,17 +207,20 @@ class Chunk:
 OUT_TYPE = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def answer_codes(bucket: pa.Table) -> pa.Table:
-    """Which codes does more than one chunk, or more than one document of a chunk, have?"""
+def answer_codes(bucket: pa.Table, hot: int) -> pa.Table:
+    """Which codes does more than one chunk, or more than one document of a chunk, have?  And which have
+    more than ``hot`` stretches?"""
     codes, sizes = joined(bucket.column("part"), np.uint32)
     here, _ = joined(bucket.column("extra"), np.uint8)
     order = np.argsort(codes, kind="stable")
     c = codes[order]
     head = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
     count = np.diff(np.append(head, len(c)))
-    shared = np.empty(len(c), np.uint8)
-    shared[order] = np.repeat((count > 1) | (np.maximum.reduceat(here[order], head) > 0), count)
-    return answered(bucket, sizes, shared, 1)
+    many = np.add.reduceat(np.exp2((here[order] >> 1) / 4), head) > hot
+    shared = (count > 1) | (np.maximum.reduceat(here[order] & 1, head) > 0)
+    out = np.empty(len(c), np.uint8)
+    out[order] = np.repeat(np.where(shared, np.where(many, DEALT, SHARED), ALONE), count)
+    return answered(bucket, sizes, out, 1)
 
 
 def previous_factors(data: np.ndarray, suffixes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -230,12 +277,25 @@ def answer_stretches(bucket: pa.Table, length: int) -> pa.Table:
     return answered(bucket, sizes, out, 2)
 
 
+def answer_strings(bucket: pa.Table) -> pa.Table:
+    """For each string: does another chunk have it in a smaller document?"""
+    docs, _ = joined(bucket.column("ids"), np.int64)
+    hashes, sizes = joined(bucket.column("extra"), PAIR)
+    h1, h2 = hashes["h1"], hashes["h2"]
+    order = np.lexsort((docs, h2, h1))
+    x, y = h1[order], h2[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    out = np.empty(len(order), np.uint8)
+    out[order] = docs[order][new][np.cumsum(new) - 1] < docs[order]
+    return answered(bucket, sizes, out, 3)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``spans`` of removed bytes, ``kept`` (binary)."""
     if not 8 <= gram <= length <= gram + 31:
         raise ValueError("8 <= gram <= length <= gram + 31: a stretch has at most 32 strings")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    chunks, buckets = size // CHUNK_BYTES + 1, size // BUCKET_BYTES + 1
+    chunks, buckets, hot = size // CHUNK_BYTES + 1, size // BUCKET_BYTES + 1, HOT
     text = F.col(text_col)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
@@ -244,25 +304,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send_codes(part: pa.Table) -> pa.Table:
         chunk, name = opened(part), part.column("chunk")[0].as_py()
-        here, low = chunk.shared_here().astype(np.uint8), (chunk.codes & LOW).astype(np.uint32)
+        here, low = chunk.shared_here().astype(np.uint8) | chunk.counts() << 1, (chunk.codes & LOW).astype(np.uint32)
         return table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "extra": here[a:e].tobytes(), "ids": b""}
                       for b, a, e in slices(chunk.codes)], SENT_TYPE)
 
+    def code_answers(bucket: pa.Table) -> pa.Table:
+        return answer_codes(bucket, hot)
+
     def send_stretches(part: pa.Table, answers: pa.Table) -> pa.Table:
         if not part.num_rows:
             return table([], SENT_TYPE)
         chunk, name = opened(part), part.column("chunk")[0].as_py()
-        chunk.stretches(answers_for(answers, 1, chunk.codes, np.uint8) > 0)
+        known = answers_for(answers, 1, chunk.codes, np.uint8)
+        chunk.stretches(known == SHARED)
         low, lens, data = (chunk.s_code & LOW).astype(np.uint32), chunk.s_len.astype(np.uint8), chunk.data
-        return table([{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "ids": chunk.s_doc[a:e].tobytes(),
-                       "extra": lens[a:e].tobytes() + b"".join(data[f : f + n].tobytes() for f, n in zip(chunk.s_from[a:e].tolist(), chunk.s_len[a:e].tolist()))}
-                      for b, a, e in slices(chunk.s_code)], SENT_TYPE)
+        sent = [{"bucket": b, "chunk": name, "part": low[a:e].tobytes(), "ids": chunk.s_doc[a:e].tobytes(),
+                 "extra": lens[a:e].tobytes() + b"".join(data[f : f + n].tobytes() for f, n in zip(chunk.s_from[a:e].tolist(), chunk.s_len[a:e].tolist()))}
+                for b, a, e in slices(chunk.s_code)]
+        if (known == DEALT).any():
+            chunk.strings(known == DEALT)
+            sent += [{"bucket": b, "chunk": name, "part": b"", "ids": chunk.t_doc[a:e].tobytes(), "extra": chunk.t_pair[a:e].tobytes()}
+                     for b, a, e in slices(chunk.t_code)]
+        return table(sent, SENT_TYPE)
 
     def cut(part: pa.Table, answers: pa.Table) -> pa.Table:
         if not part.num_rows:
             return table([], OUT_TYPE)
         chunk = opened(part)
-        chunk.stretches(answers_for(answers, 1, chunk.codes, np.uint8) > 0)
+        known = answers_for(answers, 1, chunk.codes, np.uint8)
+        chunk.stretches(known == SHARED)
         mask = answers_for(answers, 2, chunk.s_code, np.uint32)[chunk.stretch_of]
         mask = np.where(chunk.doc[chunk.of] > chunk.s_doc[chunk.stretch_of], np.uint32(0xFFFFFFFF), mask)
         hit = np.flatnonzero(mask)
@@ -271,6 +341,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         place = np.arange(len(at)) - np.repeat(np.cumsum(strings) - strings, strings)
         gone = np.repeat(mask[hit], strings) >> place.astype(np.uint32) & np.uint32(1) > 0
         found, row = (at + place)[gone], row[gone]  # strings to remove, in order
+        if (known == DEALT).any():
+            chunk.strings(known == DEALT)
+            earlier = answers_for(answers, 3, chunk.t_code, np.uint8)[chunk.string_of] > 0
+            earlier |= chunk.doc[chunk.t_of] > chunk.t_doc[chunk.string_of]
+            found, row = np.append(found, chunk.t_at[earlier]), np.append(row, chunk.row[chunk.t_of[earlier]])
+            order = np.argsort(found, kind="stable")
+            found, row = found[order], row[order]
         new = np.concatenate(([True], (np.diff(found) > length) | (row[1:] != row[:-1]))) if len(found) else np.zeros(0, bool)
         span_row, span_from = row[new], found[new]
         span_to = found[np.append(np.flatnonzero(new)[1:] - 1, len(found) - 1)] + length if len(found) else found
@@ -287,10 +364,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return table(out, OUT_TYPE)
 
     def stretch_answers(bucket: pa.Table) -> pa.Table:
-        return answer_stretches(bucket, length)
+        return answer_strings(bucket) if bucket.column("bucket")[0].as_py() >= buckets else answer_stretches(bucket, length)
 
     by_chunk = rows.groupBy("chunk")
-    known = by_chunk.applyInArrow(send_codes, SENT).groupBy("bucket").applyInArrow(answer_codes, ANSWER)
+    known = by_chunk.applyInArrow(send_codes, SENT).groupBy("bucket").applyInArrow(code_answers, ANSWER)
     stretches = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send_stretches, SENT)
     answers = stretches.groupBy("bucket").applyInArrow(stretch_answers, ANSWER)
     out = by_chunk.cogroup(known.unionByName(answers).groupBy("chunk")).applyInArrow(cut, OUT)
