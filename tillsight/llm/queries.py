@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, secrets, simhash, suffixes, toxicity
+from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, radix, secrets, simhash, suffixes, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -77,3 +77,21 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.copies(read(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op11_radix"] = """
+    SELECT doc_id, max(doc_id) OVER equal_texts AS keep_id, count(*) OVER equal_texts AS group_size,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW equal_texts AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
