@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, radix, secrets, simhash, suffixes, toxicity, whitening
+from tillsight.llm import bpe, debruijn, decontaminate, html_text, neighbours, pii, radix, secrets, simhash, spelling, suffixes, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ LLM_ORACLES["op11_radix"] = """
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), delete_every=97)
