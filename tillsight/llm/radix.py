@@ -58,12 +58,14 @@ def grouped(docs: DataFrame, carried: Column, id_col: str = "doc_id", text_col:
             break
         width, group = width * GROWTH, ["grp"]
     ended = reduce(DataFrame.unionAll, done)
-    # rows alike in text and id: the last of them stays
-    twice = (ended.where("group_size > 1 and id <=> keep").groupBy(F.col("round").alias("r"), F.col("grp").alias("g"))
-             .agg(F.count("*").alias("n"), F.max("row").alias("last")).where("n > 1"))
-    marked = ended.join(twice, (ended["round"] == twice["r"]) & (ended["grp"] == twice["g"]), "left")
-    stays = F.col("id").eqNullSafe(F.col("keep")) & (F.col("last").isNull() | (F.col("row") == F.col("last")))
-    return marked.select("carried", "id", "keep", "group_size", stays.alias("kept"))
+    out = ["carried", "id", "keep", "group_size"]
+    keeper = (F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep"))
+    others = ended.where(~keeper).select(*out, (F.col("group_size") == 1).alias("kept"))
+    # one row a group, but for rows alike in text and id: the last of them stays
+    keepers = ended.where(keeper)
+    last = keepers.groupBy(F.col("round").alias("r"), F.col("grp").alias("g")).agg(F.max("row").alias("last"))
+    marked = keepers.join(last, (keepers["round"] == last["r"]) & (keepers["grp"] == last["g"])).select(*out, (F.col("row") == F.col("last")).alias("kept"))
+    return others.unionAll(marked)
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
