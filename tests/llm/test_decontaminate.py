@@ -1,4 +1,8 @@
+import random
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from tillsight.llm import decontaminate
@@ -27,9 +31,10 @@ def test_small_table_against_brute_force(spark, texts):
     assert want and set(hits(frame(spark, texts, "doc_id"), frame(spark, items, "item_id"))) == want
 
 
-@pytest.mark.parametrize("sent", [decontaminate.SENT_WINDOWS, 0])
-def test_changed_questions(spark, monkeypatch, sent):
-    monkeypatch.setattr(decontaminate, "SENT_WINDOWS", sent)  # 0: the windows are joined by a shuffle
+@pytest.mark.parametrize("bits", [decontaminate.MOST_BITS, 64])
+def test_changed_questions(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, decontaminate.LEAST_BITS))  # 64: tables that let nearly all through
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     swap = {"12": "25", "30": "48", "45": "99", "3": "7", "Pedro": "Igor", "Maria": "Elena"}
     changed = " ".join(swap.get(w, w) for w in ITEM.split())
     mixed, n = [], 0
@@ -83,3 +88,65 @@ def test_short_items_are_matched_by_their_words(spark):
     docs = [(1, "they sold 41 of them to London"), (2, "they sold 42 of them"), (3, "once in Paris Texas"), (4, "for Ben Smith, 26 km."),
             (5, "then Anna Smith, 25 km. more"), (6, "so Dora 8 km Emil 9 kg Fay 1"), (7, "so Anna 5 km Ben 6 kg Carl 7 8"), (8, "a twenty five Anna Smith five")]
     assert hits(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")) == [("2", "1"), ("3", "2"), ("5", "3"), ("7", "4"), ("8", "5")]
+
+
+def brute(docs, items, similarity=0.8):
+    """Documents that hold an item, by templates without either-or words: windows compared one by one, slots checked against the item's best place."""
+    def windows(text):
+        words, tokens = (text or "").split(), []
+        for k, w in enumerate(words):
+            low, kind = decontaminate.core(w)
+            first = k == 0 or words[k - 1][-1] in ".!?:"
+            if kind and not first and tokens and tokens[-1][0] == decontaminate.SHOWN[kind]:
+                tokens[-1][1].append(low)
+            else:
+                tokens.append((decontaminate.SHOWN[kind] or low, [low] if kind else None))
+        return [(tuple(t for t, _ in tokens[p : p + 5]), [" ".join(v) for _, v in tokens[p : p + 5] if v]) for p in range(len(tokens) - 4)]
+
+    out = set()
+    for i, t in docs:
+        mine = windows(t)
+        for j, x in items:
+            asked = windows(x)
+            hits = [(p, q) for q, (a, _) in enumerate(asked) for p, (m, _) in enumerate(mine) if a == m]
+            if not hits:
+                continue
+            shifts = Counter(p - q for p, q in hits)
+            votes = Counter((p - q, a, g) for p, q in hits for a, g in zip(asked[q][1], mine[p][1]))
+            chosen = {}
+            for (s, a, g), n in votes.items():
+                chosen[a] = min(chosen.get(a, (1,)), (-shifts[s], s, -n, len(g), g))
+            sound = {q for p, q in hits if all(chosen[a][4] == g for a, g in zip(asked[q][1], mine[p][1]))}
+            if len(sound) >= similarity * len(asked):
+                out.add((str(i), str(j)))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(8)
+    frames = ["so {0} took {1} of the {2} km to {3} and paid {4} dollars there", "then {0} saw {3} with {1} birds and {4} trees near the mill",
+              "while {3} had {1} kg of flour for {2} loaves and {0} ate {4} of them", "and the train from {0} to {3} left after {1} hours with {2} seats of {4}"]
+    value = lambda: ("Anna Berta Carl Doris".split()[rng.randrange(4)], rng.randrange(2, 6), rng.randrange(20, 24), "Rome Oslo Bern".split()[rng.randrange(3)], rng.randrange(90, 93))
+    items = [(j, " ".join(rng.choice(frames).format(*value()) for _ in range(rng.randint(1, 3)))) for j in range(25)]
+    docs = [(i, " ".join(rng.choice([*frames, "some plain words between"]).format(*value()) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    want = brute(docs, items)
+    assert 20 < len(want) < 1200 and set(hits(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))) == want
+
+
+def test_a_common_phrase_joins_no_pairs(spark):
+    phrase = "please answer the question that follows here"
+    letters = lambda k, n: " ".join(f"k{k}q{j}" for j in range(n))
+    items = [(j, f"{phrase} {letters(j, 12)}") for j in range(200)]
+    docs = [(i, f"{letters(i + 300, 5)} {phrase} {letters(i + 400, 9)}") for i in range(1000)] + [(5000, "so " + items[7][1])]
+    docs, items = frame(spark, docs, "doc_id"), frame(spark, items, "item_id")
+    both, _ = decontaminate.matched_windows(docs, items, "doc_id", "text", "item_id", "text", 5, 0.8)
+    assert both.count() < 100
+    assert hits(docs, items) == [("5000", "7")]
+
+
+def test_bit_table(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63 - 1, 5000)
+    table = decontaminate.BitTable(decontaminate.bit_table(spark.createDataFrame([(int(x),) for x in h], "h long")))
+    assert len(table(h.view(np.uint64))) == 5000 and all(int(x) in table for x in h[:50].view(np.uint64))
+    assert len(table(rng.integers(0, 2**63, 20_000).astype(np.uint64))) < 600
