@@ -30,20 +30,27 @@ def item_sums(sales: DataFrame, group_cols: Sequence[str], with_revenue: bool =
 
 def item_list(sales: DataFrame, group_cols: Sequence[str], with_revenue: bool = True) -> DataFrame:
     """Item rows as the reference hands them out: int quantity, 2-place money."""
-    s = item_sums(sales, group_cols, with_revenue)
+    return item_rows(item_sums(sales, group_cols, with_revenue), group_cols, with_revenue)
+
+
+def item_rows(sums: DataFrame, group_cols: Sequence[str], with_revenue: bool = True) -> DataFrame:
+    """``item_sums`` rounded for output."""
     cols = [*group_cols, "item_name", whole_units("qty_sum").alias("quantity")]
     if with_revenue:
         cols += [money_out("net_sum").alias("net_sales"),
                  mean_out("price_sum", "price_n").alias("avg_price")]
     # keep the exact sum for ordering (C1: measure desc, name asc)
-    return s.select(*cols, F.col("qty_sum"))
+    return sums.select(*cols, F.col("qty_sum"))
 
 
 def top_items(sales: DataFrame, group_cols: Sequence[str] = (), n: int = 5,
               with_revenue: bool = True) -> DataFrame:
     """A1 / A2 + O1: top ``n`` items by quantity, ties by name."""
-    items = item_list(sales, group_cols, with_revenue)
-    ranked = top_k(items, group_cols, by_measure_then_name("qty_sum", "item_name"), n)
+    return top_item_rows(item_sums(sales, group_cols, with_revenue), group_cols, n, with_revenue)
+
+
+def top_item_rows(sums: DataFrame, group_cols: Sequence[str], n: int = 5, with_revenue: bool = True) -> DataFrame:
+    ranked = top_k(item_rows(sums, group_cols, with_revenue), group_cols, by_measure_then_name("qty_sum", "item_name"), n)
     return ranked.drop("qty_sum")
 
 
@@ -71,7 +78,11 @@ def category_list(sales: DataFrame, group_cols: Sequence[str], with_revenue: boo
     if with_revenue:
         aggs.append(F.sum("net_sales").alias("net_sum"))
         aggs.append(F.max(F.lit(True) if has_revenue is None else has_revenue).alias("has_rev"))
-    s = sales.filter(F.col("category").isNotNull()).groupBy(*group_cols, "category").agg(*aggs)
+    return category_rows(sales.filter(F.col("category").isNotNull()).groupBy(*group_cols, "category").agg(*aggs), group_cols, with_revenue)
+
+
+def category_rows(s: DataFrame, group_cols: Sequence[str], with_revenue: bool = True) -> DataFrame:
+    """Category sums rounded for output."""
     cols = [*group_cols, "category", whole_units("qty_sum").alias("quantity"), "qty_sum"]
     if with_revenue:
         cols += [F.when(F.col("has_rev"), money_out("net_sum")).alias("net_sales"), "net_sum", "has_rev"]
@@ -82,7 +93,10 @@ def top_categories(sales: DataFrame, group_cols: Sequence[str] = (), n: int = 5,
                    with_revenue: bool = True, has_revenue: Column | None = None) -> DataFrame:
     """A4 (by revenue) / A5 (by quantity): top ``n`` categories, ties by name.  With a
     ``has_revenue`` flag each group takes the measure that it has."""
-    cats = category_list(sales, group_cols, with_revenue, has_revenue)
+    return top_category_rows(category_list(sales, group_cols, with_revenue, has_revenue), group_cols, n, with_revenue)
+
+
+def top_category_rows(cats: DataFrame, group_cols: Sequence[str], n: int = 5, with_revenue: bool = True) -> DataFrame:
     if with_revenue:
         cats = cats.withColumn("measure", F.when(F.col("has_rev"), F.col("net_sum")).otherwise(F.col("qty_sum")))
     measure = "measure" if with_revenue else "qty_sum"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..contracts import money_out, ratio_pct, whole_units
 from ..functions.text import fixed_text, money_text, plain_money_text
 from .ranking import join_on_group, top_k
+from .shared import CATEGORY, FLAGS, MONTH, TOTAL, part_of, premium_quantity, shared_sums
 
 # Insight kinds, in the order they are listed.
 KIND_BESTSELLER = "bestseller"
@@ -47,23 +48,20 @@ def _equals(measure: Column, peak: str) -> Column:
     return F.coalesce(measure == F.col(peak), F.lit(False))
 
 
-def row_picks(sales: DataFrame, group_cols: Sequence[str], premium_price: float = 15.0,
-              order_col: str = "row_key", extra_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Totals and maxima in one hash aggregate, then the three
-    arg-max rows among the few that reach a maximum."""
-    premium = F.when(F.col("avg_price") > F.lit(premium_price), F.col("quantity"))
-    totals = sales.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("net_sales").alias("net_sum"), F.sum("discount_amount").alias("disc_sum"),
-        F.max("quantity").alias("_max_qty"), F.max("net_sales").alias("_max_net"), F.max(premium).alias("_max_prem"), *extra_aggs)
-    peaks = totals.select(*group_cols, "_max_qty", "_max_net", "_max_prem")
+def row_picks(sales: DataFrame, totals: DataFrame, group_cols: Sequence[str], premium_price: float = 15.0,
+              order_col: str = "row_key") -> DataFrame:
+    """``totals`` (one row a group, with its maxima) and the three arg-max rows among the few
+    that reach a maximum."""
+    premium = premium_quantity(premium_price)
+    peaks = totals.select(*group_cols, "max_qty", "max_net", "max_prem")
     rows = _peak_rows(sales, peaks, group_cols, {
-        "_is_best": _equals(F.col("quantity"), "_max_qty"), "_is_rev": _equals(F.col("net_sales"), "_max_net"),
-        "_is_prem": _equals(premium, "_max_prem")})
+        "_is_best": _equals(F.col("quantity"), "max_qty"), "_is_rev": _equals(F.col("net_sales"), "max_net"),
+        "_is_prem": _equals(premium, "max_prem")})
     picks = rows.groupBy(*group_cols).agg(
         _first(F.struct("item_name", "quantity"), "_is_best", order_col).alias("best"),
         _first(F.struct("item_name", "net_sales"), "_is_rev", order_col).alias("top_rev"),
         _first(F.struct("item_name", "avg_price", "quantity"), "_is_prem", order_col).alias("premium"))
-    return join_on_group(totals.drop("_max_qty", "_max_net", "_max_prem"), picks, group_cols, "left")
+    return join_on_group(totals, picks, group_cols, "left")
 
 
 def _peak_row(sales: DataFrame, group_cols: Sequence[str], measure: str, value: Column, order_col: str) -> DataFrame:
@@ -122,6 +120,11 @@ def monthly_trend(sales: DataFrame, group_cols: Sequence[str], max_months: int =
     mc = sales.filter(F.col("date").isNotNull() & F.col("category").isNotNull()) \
         .groupBy(*group_cols, F.date_format("date", fmt).alias("month"), "category") \
         .agg(F.sum("quantity").alias("qty_sum"))
+    return trend_rows(mc, group_cols, max_months)
+
+
+def trend_rows(mc: DataFrame, group_cols: Sequence[str], max_months: int = 2) -> DataFrame:
+    """A16 from the units by month and category."""
     top = mc.groupBy(*group_cols, "month").agg(
         F.min_by("category", F.struct((-F.col("qty_sum")).alias("m"), F.col("category"))).alias("category"))
     ranked = top_k(top, group_cols, [F.col("month")], max_months, rank_col="month_rank")
@@ -132,29 +135,26 @@ def monthly_trend(sales: DataFrame, group_cols: Sequence[str], max_months: int =
 
 def insights(sales: DataFrame, group_cols: Sequence[str], premium_price: float = 15.0,
              order_col: str = "row_key", flags: dict[str, Column] | None = None,
-             max_insights: int = 5, max_with_trend: int = 3) -> DataFrame:
+             max_insights: int = 5, max_with_trend: int = 3, uploads: DataFrame | None = None,
+             sums: DataFrame | None = None) -> DataFrame:
     """The ordered insight list per group as rows ``(…group, seq, type, text)``.
 
+    ``uploads``: the groups there are, one row each; those without sales rows get the information row.
+
     ``flags`` says which source columns existed in the export (``has_net_sales``,
     ``has_discount``, ``has_avg_price``, ``has_date``); a nullable fixed schema
-    cannot tell an absent column from an all-null one.  Defaults: all present.
+    cannot tell an absent column from an all-null one.  Defaults: all present.  ``sums``: the shared sums, if they
+    are there already; the sales are read once for them and once for the rows that reach a maximum.
     """
     group_cols = list(group_cols)
-    flags = flags or {}
-    f_net = flags.get("has_net_sales", F.lit(True))
-    f_disc = flags.get("has_discount", F.lit(True))
-    f_price = flags.get("has_avg_price", F.lit(True))
-    f_date = flags.get("has_date", F.lit(True))
-    flagged = sales.withColumn("_f_net", f_net).withColumn("_f_disc", f_disc) \
-        .withColumn("_f_price", f_price).withColumn("_f_date", f_date)
-    picks = row_picks(flagged, group_cols, premium_price, order_col, extra_aggs=[
-        F.max("_f_net").alias("f_net"), F.max("_f_disc").alias("f_disc"),
-        F.max("_f_price").alias("f_price"), F.max("_f_date").alias("f_date")])
-    cat = sales.filter(F.col("category").isNotNull()).groupBy(*group_cols, "category") \
-        .agg(F.sum("net_sales").alias("cat_sum")).groupBy(*group_cols).agg(
-        F.min_by(F.struct("category", "cat_sum"),
-                 F.struct((-F.col("cat_sum")).alias("m"), F.col("category"))).alias("topcat"))
-    trend = monthly_trend(sales, group_cols, max_months=12).groupBy(*group_cols).agg(
+    if sums is None:
+        sums = shared_sums(sales, group_cols, premium_price, flags, (TOTAL, CATEGORY, MONTH))
+    totals = part_of(sums, TOTAL).select(*group_cols, "n_rows", "net_sum", "disc_sum", "max_qty", "max_net", "max_prem", *[F.col(f).alias(f"_{f}") for f in FLAGS])
+    picks = row_picks(sales, totals, group_cols, premium_price, order_col)
+    cat = part_of(sums, CATEGORY).groupBy(*group_cols).agg(
+        F.min_by(F.struct("category", F.col("net_sum").alias("cat_sum")),
+                 F.struct((-F.col("net_sum")).alias("m"), F.col("category"))).alias("topcat"))
+    trend = trend_rows(part_of(sums, MONTH), group_cols, max_months=12).groupBy(*group_cols).agg(
         F.array_sort(F.collect_list(F.struct("month_rank", "text"))).alias("trends"))
 
     j = join_on_group(picks, cat, group_cols, "left")
@@ -163,7 +163,7 @@ def insights(sales: DataFrame, group_cols: Sequence[str], premium_price: float =
     def item(kind: str, text: Column, cond: Column) -> Column:
         return F.when(cond, F.struct(F.lit(kind).alias("type"), text.alias("text")))
 
-    rev_gate = F.col("f_net") & (F.coalesce(F.col("net_sum"), F.lit(0)) > 0)
+    rev_gate = F.col("_has_net_sales") & (F.coalesce(F.col("net_sum"), F.lit(0)) > 0)
     pct_text = fixed_text(ratio_pct("topcat.cat_sum", "net_sum"), 0)
     disc_pct = ratio_pct("disc_sum", F.col("net_sum") + F.col("disc_sum"))
     base = F.array(
@@ -182,22 +182,23 @@ def insights(sales: DataFrame, group_cols: Sequence[str], premium_price: float =
         item(KIND_DISCOUNT,
              F.concat(F.lit("Total discounts: "), money_text("disc_sum"), F.lit(" ("),
                       fixed_text(disc_pct, 1), F.lit("% of gross sales)")),
-             rev_gate & F.col("f_disc") & (F.coalesce(F.col("disc_sum"), F.lit(0)) > 0)),
+             rev_gate & F.col("_has_discount") & (F.coalesce(F.col("disc_sum"), F.lit(0)) > 0)),
         item(KIND_PREMIUM,
              F.concat(F.col("premium.item_name"), F.lit(" is the top premium item ("),
                       plain_money_text("premium.avg_price"), F.lit(" avg) with "),
                       whole_units("premium.quantity").cast("string"), F.lit(" sales")),
-             rev_gate & F.col("f_price") & F.col("premium").isNotNull()),
+             rev_gate & F.col("_has_avg_price") & F.col("premium").isNotNull()),
     )
     base = F.filter(base, lambda x: x.isNotNull())
     trend_items = F.transform(F.coalesce(F.col("trends"), F.array().cast(
         "array<struct<month_rank:int,text:string>>")),
         lambda t: F.struct(F.lit(KIND_TREND).alias("type"), t["text"].alias("text")))
-    use_trend = ~rev_gate & F.col("f_date")
+    use_trend = ~rev_gate & F.col("_has_date")
     all_items = F.when(use_trend, F.slice(F.concat(base, trend_items), 1, max_with_trend)) \
         .otherwise(F.slice(base, 1, max_insights))
-    all_items = F.when(F.col("n_rows") > 0, all_items).otherwise(
-        F.array(F.struct(F.lit(KIND_INFO).alias("type"), F.lit(NO_DATA_TEXT).alias("text"))))
     out = j.select(*group_cols, F.posexplode(all_items).alias("pos", "ins"))
-    return out.select(*group_cols, (F.col("pos") + 1).alias("seq"),
-                      F.col("ins.type").alias("type"), F.col("ins.text").alias("text"))
+    out = out.select(*group_cols, (F.col("pos") + 1).alias("seq"), F.col("ins.type").alias("type"), F.col("ins.text").alias("text"))
+    if uploads is None:
+        return out
+    empty = uploads.select(*group_cols).join(picks.select(*group_cols), group_cols, "left_anti")
+    return out.unionByName(empty.select(*group_cols, F.lit(1).alias("seq"), F.lit(KIND_INFO).alias("type"), F.lit(NO_DATA_TEXT).alias("text")))

@@ -8,7 +8,7 @@ table of millions of replies is validated in one projection (no Python).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_text
@@ -115,12 +115,30 @@ def _post(v: Column, platform: str) -> Column:
     return F.struct(caption.alias("caption"), tags.alias("hashtags"))
 
 
-def _ideas(v: Column) -> Column:
-    """Ideas as (text, reason); an idea that is a plain text, as in legacy replies, has no reason."""
+IDEAS_TYPE = "array<struct<text:string,reason:string>>"
+
+
+def _ideas(typed: Column, ideas: Column) -> Column:
+    """Ideas as (text, reason); an idea that is a plain text, as in legacy replies, has no reason.  ``typed``: the list
+    read as objects in one go; only where one of them is none of that are the ideas looked at one by one."""
     def idea(x: Column) -> Column:
         plain = F.struct(_str(x).alias("text"), F.lit(None).cast("string").alias("reason"))
         return F.when(_is_str(x), plain).otherwise(F.try_variant_get(x, "$", "struct<text:string,reason:string>"))
-    return F.transform(F.try_variant_get(v, "$.promotion_ideas", "array<variant>"), idea)
+    whole = typed.isNotNull() & ~F.exists(typed, lambda x: x.isNull())
+    return F.when(whole, typed).otherwise(F.transform(F.try_variant_get(ideas, "$", "array<variant>"), idea))
+
+
+def _whole_ideas(typed: Column) -> Column:
+    """Every idea is an object with a text and a reason."""
+    return F.coalesce(F.forall(typed, lambda x: x.isNotNull() & x["text"].isNotNull() & x["reason"].isNotNull()), F.lit(False))
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """A JSON object that repeats a key parses, the last one wins.  Spark reads this from the session when a reply is parsed,
+    so a session that was not made by ``get_session`` gets the setting here."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(name, "false") != "true":
+        spark.conf.set(name, "true")
 
 
 def _c(name: str) -> Column:
@@ -134,7 +152,8 @@ def parse_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataF
     ``error`` holds the first failing check in the reference's order.  Each step
     is its own projection so a parsed VARIANT is referenced, not re-parsed.
     """
-    tmp = ["_v0", "_v1", "_cap", "_looks", "_nested", "_v", "_ig", "_tt", "_pi", "_cur", "_leg", "_nfail", "_err"]
+    allow_repeated_keys(df.sparkSession)
+    tmp = ["_v0", "_v1", "_cap", "_looks", "_nested", "_v", "_ig", "_tt", "_pi", "_typed", "_cur", "_leg", "_nfail", "_err"]
     d = df.withColumn("_v0", F.try_parse_json(strip_fences(F.col(text_col))))
     # A JSON string that holds JSON is parsed again
     d = d.withColumn("_v1", F.when(_is_str(_c("_v0")), F.try_parse_json(_str(_c("_v0")))).otherwise(_c("_v0")))
@@ -152,7 +171,8 @@ def parse_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataF
     d = d.withColumn("_ig", _get(v, "$.instagram")).withColumn("_tt", _get(v, "$.tiktok")) \
          .withColumn("_pi", _get(v, "$.promotion_ideas")) \
          .withColumn("_cur", _has(v, "instagram") & _has(v, "tiktok") & _has(v, "promotion_ideas")) \
-         .withColumn("_leg", _has(v, "captions") & _has(v, "hashtags") & _has(v, "promotion_ideas"))
+         .withColumn("_leg", _has(v, "captions") & _has(v, "hashtags") & _has(v, "promotion_ideas")) \
+         .withColumn("_typed", F.try_variant_get(_c("_pi"), "$", IDEAS_TYPE))
     ig, tt = _c("_ig"), _c("_tt")
 
     def embedded(pv: Column) -> Column:
@@ -170,6 +190,7 @@ def parse_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataF
         .when(~_is_list(_get(tt, "$.hashtags")), F.lit(ERR_TT_TAGS))
         .when(embedded(ig), F.lit(ERR_EMBED.format(platform="instagram")))
         .when(embedded(tt), F.lit(ERR_EMBED.format(platform="tiktok")))
+        .when(_whole_ideas(_c("_typed")), F.lit(None).cast("string"))
         .otherwise(_first_bad_idea(_c("_pi"))))
     d = d.withColumn("_err", F.when(_c("_v0").isNull() | _c("_v1").isNull() | _c("_nfail"), F.lit(ERR_JSON))
                      .when(_c("_cur"), current_err)
@@ -185,9 +206,9 @@ def parse_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataF
         F.struct(F.when(F.size(caps) > 1, F.get(caps, 1)).when(has_caps, F.get(caps, 0))
                  .otherwise(F.lit(DEFAULT_TT_CAPTION)).alias("caption"),
                  F.slice(tags, 1, LEGACY_TT_TAGS).alias("hashtags")).alias("tiktok"),
-        _ideas(v).alias("promotion_ideas"))
+        _ideas(_c("_typed"), _c("_pi")).alias("promotion_ideas"))
     current = F.struct(_post(v, "instagram").alias("instagram"), _post(v, "tiktok").alias("tiktok"),
-                       _ideas(v).alias("promotion_ideas"))
+                       _ideas(_c("_typed"), _c("_pi")).alias("promotion_ideas"))
     ok = _c("_err").isNull()
     content = F.when(ok & _c("_cur"), current).when(ok & _c("_leg"), legacy)
     layout = F.when(ok & _c("_cur"), F.lit("current")).when(ok & _c("_leg"), F.lit("legacy"))
@@ -198,6 +219,7 @@ def parse_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataF
 
 def parse_api_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> DataFrame:
     """X11: the serverless layout ``{recommended_actions[], instagram{}, tiktok{}}``."""
+    allow_repeated_keys(df.sparkSession)
     d = df.withColumn("_v", F.try_parse_json(strip_fences(F.col(text_col))))
     v = _c("_v")
     d = d.withColumn("_ig", _get(v, "$.instagram")).withColumn("_tt", _get(v, "$.tiktok"))
@@ -221,6 +243,7 @@ def parse_api_replies(df: DataFrame, text_col: str, out_col: str = "reply") -> D
 def parse_platform_replies(df: DataFrame, platform_col: str, text_col: str,
                            out_col: str = "reply") -> DataFrame:
     """X3 choice + X12: one platform's reply; unknown platform is an error."""
+    allow_repeated_keys(df.sparkSession)
     p = F.col(platform_col)
     d = df.withColumn("_v", F.try_parse_json(strip_fences(F.col(text_col))))
     v = _c("_v")

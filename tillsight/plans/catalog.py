@@ -328,6 +328,20 @@ mr AS (SELECT store_id, month, category,
        FROM mt WHERE rk = 1)"""
 
 
+@query("insight_no_data", with_sales(f"""b AS (
+  SELECT l_orderkey AS order_id, item_name, quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY quantity DESC, {ROW_ORDER}) AS rk FROM sales)
+SELECT o_orderkey AS order_id, 1 AS seq, CASE WHEN item_name IS NULL THEN 'info' ELSE 'bestseller' END AS type,
+       CASE WHEN item_name IS NULL THEN 'No data available for insights'
+            ELSE item_name || ' is the top seller with ' || CAST(trunc(quantity) AS BIGINT) || ' units sold' END AS text
+FROM orders LEFT JOIN b ON order_id = o_orderkey AND rk = 1"""))
+def q_insight_no_data(spark, sf_dir):
+    """A22 over every order as an upload, with or without rows: the first insight of each."""
+    sales = _sales(spark, sf_dir).withColumn("order_id", F.col("row_key.l_orderkey"))
+    uploads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"))
+    found = ins.insights(sales, ["order_id"], PREMIUM_PRICE, uploads=uploads)
+    return found.filter("seq = 1").join(uploads, "order_id", "left_semi")
+
+
 @query("monthly_trend", with_sales(MONTH_TOP_SQL + """
 SELECT store_id, CAST(month_rank AS INTEGER) AS month_rank, month, category,
        'Higher ' || lower(category) || ' sales in ' || month AS text
@@ -1155,6 +1169,26 @@ def q_date_coerce(spark, sf_dir):
                      F.date_format(co.lenient_date(text), "yyyy-MM-dd").alias("parsed"))
 
 
+#: By store: how its exports spell dates.  The second and third can only be told apart by a day over twelve.
+STORE_SPELLINGS = ("yyyy-MM-dd", "d/M/yyyy", "M/d/yyyy", "d.M.yyyy", "MMM d, yyyy")
+
+
+@query("date_spelling", """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS d,
+       max(day(l_shipdate)) FILTER (WHERE l_linenumber <> 6) OVER (PARTITION BY l_suppkey) > 12 AS sure FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  strftime(CASE WHEN l_linenumber <> 6 THEN CASE WHEN l_suppkey % 5 <> 1 OR sure THEN d ELSE make_date(year(d), day(d), month(d)) END END, '%Y-%m-%d') AS parsed
+FROM t""")
+def q_date_spelling(spark, sf_dir):
+    """F4 by column: every store writes its dates in a spelling of its own."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("d"))
+    spelt = F.lit(None).cast("string")
+    for k, spelling in enumerate(STORE_SPELLINGS):
+        spelt = F.when(F.col("l_suppkey") % 5 == k, F.date_format("d", spelling)).otherwise(spelt)
+    text = F.when(F.col("l_linenumber") == 6, F.lit("n.d.")).when(F.col("l_linenumber") == 2, F.concat(spelt, F.lit(" 18:05"))).otherwise(spelt)
+    dated = co.dates_by_upload(li.withColumn("text", text), ["l_suppkey"], "text", "parsed")
+    return dated.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("parsed", "yyyy-MM-dd").alias("parsed"))
+
+
 LAYOUT_COLUMNS = ["date", "item_name", "quantity", "category", "net_sales"]
 
 
@@ -1471,33 +1505,51 @@ def q_stream_compare(spark, sf_dir):
     return dfs.latest_panels(spark, panels, STORE)
 
 
+@query("stream_summary", _panel_old_sql(LAG_PAIRS_SQL))
+def q_stream_summary(spark, sf_dir):
+    """A23 with T2: the documents of uploads that arrive in two drops, and the panels in them."""
+    base = scratch_path(spark, "stream-summary")
+    s = _sales_table(spark, sf_dir)
+    lo, hi = s.agg(F.min("period"), F.max("period")).first()
+    for name, part in (("a", F.col("period") <= (lo + hi) // 2), ("b", F.col("period") > (lo + hi) // 2)):
+        s.filter(part).write.parquet(f"{base}/drop/{name}")
+        dfs.summary_stream(spark, f"{base}/drop", s.schema, base, f"{base}/checkpoint", STORE, "period", premium_price=PREMIUM_PRICE)
+    docs = dfs.latest_summaries(spark, base, [*STORE, "period"])
+    panels = docs.select("store_id", F.col("period").alias("curr_upload"), F.explode("previous_panel").alias("p")).select("store_id", "curr_upload", "p.*")
+    pairs = cmp.successive_pairs(docs.select("store_id", "period"), STORE, "period")
+    want = dfs.latest_panels(spark, f"{base}/panels", STORE).columns
+    return panels.join(pairs, ["store_id", "curr_upload"]).select(*want)
+
+
 @query("stream_status", f"""WITH {PROGRESS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, seq DESC) AS rk,
              count(*) OVER (PARTITION BY request_id) AS n_events FROM pe)
 SELECT request_id, n_events, seq, status, partial, error FROM r WHERE rk = 1""")
 def q_stream_status(spark, sf_dir):
-    """T3 over a stream of progress events that arrive in two drops."""
+    """T3 over a stream of progress events that arrive in two drops, the second one later in time.  A request is followed
+    over a month of silence; events that are an hour late would be dropped."""
     base = scratch_path(spark, "stream-status")
     pe = progress_events(spark, sf_dir).select("request_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status", "partial", "error")
-    lo, hi = pe.agg(F.min("seq"), F.max("seq")).first()
-    for name, part in (("a", F.col("seq") <= (lo + hi) // 2), ("b", F.col("seq") > (lo + hi) // 2)):
+    middle = F.lit(pe.agg(F.timestamp_micros((F.min(F.unix_micros("ts")) / 2 + F.max(F.unix_micros("ts")) / 2).cast("bigint"))).first()[0])
+    for name, part in (("a", F.col("ts") <= middle), ("b", F.col("ts") > middle)):
         pe.filter(part).write.parquet(f"{base}/drop/{name}")
         events = spark.readStream.schema(pe.schema).option("recursiveFileLookup", "true").parquet(f"{base}/drop")
         dfs.status_stream(events, f"{base}/out", f"{base}/checkpoint", "request_id", ["ts", "seq"], "ts",
-                          ["seq", "status", "partial", "error"], late="3650 days")  # the drops are not in time order
+                          ["seq", "status", "partial", "error"], late="1 hour", idle="31 days")
     last = dfs._latest(spark.read.parquet(f"{base}/out"), ["request_id"])
     return last.select("request_id", "n_events", "seq", "status", "partial", "error")
 
 
 @query("stream_progress", REGISTRY["reply_progress"][1])
 def q_stream_progress(spark, sf_dir):
-    """T4 over a stream of chunks: the first turns of every conversation, then the others."""
+    """T4 over a stream of chunks that arrive out of order, over two drops; a turn a minute stands in for their time."""
     base = scratch_path(spark, "stream-progress")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    for name, part in (("a", F.col("turn") <= 1), ("b", F.col("turn") > 1)):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("turn") * 60).alias("at"))
+    second = F.xxhash64("conv_id", "turn") % 2 == 0
+    for name, part in (("a", ~second), ("b", second)):
         c.filter(part).write.parquet(f"{base}/drop/{name}")
         chunks = spark.readStream.schema(c.schema).option("recursiveFileLookup", "true").parquet(f"{base}/drop")
-        dfs.progress_stream(chunks, f"{base}/out", f"{base}/checkpoint", "conv_id", "turn")
+        dfs.progress_stream(chunks, f"{base}/out", f"{base}/checkpoint", "conv_id", "turn", "at", late="1 hour")
     return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "role", "partial")
 
 
@@ -1605,3 +1657,29 @@ def q_summary_json(spark, sf_dir):
     body = sm.summary_json(doc, STORE)
     read = F.from_json("summary_json", doc.drop("store_id").schema)
     return _summary_rows(body.select("store_id", read.alias("d")).select("store_id", "d.*"))
+
+
+def _published(spark, sf_dir):
+    """Two versions of the summaries: of the exports up to a year, then of all; readers get the second."""
+    base = scratch_path(spark, "published")
+    sales = _mixed_layouts(_sales_table(spark, sf_dir))
+    middle = sales.agg(F.floor((F.min("period") + F.max("period")) / 2)).first()[0]
+    flags = {f: F.col("has_revenue") for f in ("has_net_sales", "has_discount", "has_avg_price")} | {"has_date": F.lit(True)}
+    for rows in (sales.filter(F.col("period") <= middle), sales):
+        sm.publish_summaries(spark, base, rows, STORE, premium_price=PREMIUM_PRICE, flags=flags)
+    return published.current(spark, base)
+
+
+from ..sources import published  # noqa: E402
+
+
+@query("summary_published", SUMMARY_SQL)
+def q_summary_published(spark, sf_dir):
+    """The documents as a reader of the published folder gets them."""
+    return _summary_rows(_published(spark, sf_dir).read("summary"))
+
+
+@query("published_items", _tag_sql(False))
+def q_published_items(spark, sf_dir):
+    """A3 + S11: the full tagged item lists beside the documents."""
+    return _flat_tag(_published(spark, sf_dir).read("all_items"))
