@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tillsight.llm import secrets
 
@@ -56,3 +59,18 @@ def test_added_spans_and_queries(spark):
 def test_no_python_in_plan(odd):
     plan = secrets.digests(secrets.find_secrets(odd))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    piece = "0123456789abcdef0 "
+    rows = [(1, piece * 300 + "é🎉 " + piece * 41), (2, "AKIAABCDEFGHIJKLMN " * 129), (3, "token=abcdefghijklmnop " * 128 + "x"), (4, piece * 127)]
+    checked(secrets.digests(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))), rows)
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert secrets.find_secrets(docs).select(F.size("spans").alias("n")).first().n == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * seconds(20_000) + 5

@@ -61,6 +61,8 @@ RULES = BASE_RULES + ADDED_RULES
 #: A character class up to this size is spelt out, a larger one is a gap.
 CLASS_SPELT = 5
 ALTERNATIVES = 64
+#: Matches whose places are found in one go.
+RUN = 128
 
 
 def fragments(pattern: str) -> list[list[str]]:
@@ -143,39 +145,61 @@ def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     return met.groupBy("__id").agg(F.collect_set("__kind").alias("__kinds"))
 
 
-def spans_of(rule: Rule, text: Column) -> Column:
-    """Array of (start, order, end, kind) of a rule's matches in ``text``."""
-    matches, pattern = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)), F.lit(rule.java)
-    lengths = F.transform(F.split(text, rule.java, -1), F.length)
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    both = F.arrays_zip(lengths.alias("gap"), F.transform(matches, F.length).alias("n"), F.transform(checked, F.length).alias("part"))
-    walk = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,part:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["n"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["part"].alias("part"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    kept = F.filter(walk, lambda s: s["part"] >= rule.least)
+def turns_of(rule: Rule, text: Column) -> Column:
+    """(gap, n, part) by turns: the length of the text before a match, of the match and of the group that is checked; the last has a gap only."""
+    pattern = F.lit(rule.java)
+    lengths = lambda xs: F.transform(xs, F.length)
+    both = F.arrays_zip(lengths(F.split(text, rule.java, -1)).alias("gap"), lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("n"),
+                        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
+    return F.when(F.regexp_like(text, pattern), both)
+
+
+def _runs(turns: Column) -> Column:
+    return F.sequence(F.lit(0), F.ceil(F.size(turns) / RUN).cast("int") - 1)
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+def run_totals(turns: Column) -> Column:
+    """The text lengths of the runs of ``RUN`` turns."""
+    return F.transform(_runs(turns), lambda r: _total(F.transform(F.slice(turns, r * RUN + 1, RUN), lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0)))))
+
+
+def spans_of(rule: Rule, turns: Column, totals: Column) -> Column:
+    """Array of (start, order, end, kind) of a rule's matches, in time that grows with their number: a run of turns starts at the
+    sum of the runs before, and only a run's own list grows step by step."""
+    def placed(r: Column) -> Column:
+        return F.aggregate(
+            F.slice(turns, r * RUN + 1, RUN),
+            F.struct(_total(F.slice(totals, 1, r)).alias("at"), F.array().cast("array<struct<start:int,end:int,part:int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
+                F.when(x["n"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
+                    (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), F.length(x["part"]).alias("part"))))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    kept = F.filter(F.flatten(F.transform(_runs(turns), placed)), lambda s: s["part"] >= rule.least)
     order = [r.kind for r in RULES].index(rule.kind)
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
-    return F.when(F.regexp_like(text, pattern), spans)
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
 
 def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id and ``spans`` (start, order, end, kind), by start, then rule."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     asked = candidates(rows, rules, id_col, "__text")
-    full = [r for r in rules if trigram_query(r) is None]
-    indexed = [r for r in rules if trigram_query(r) is not None]
     joined = rows.join(asked, rows[id_col].eqNullSafe(asked["__id"]), "left")
+    turns, totals = [f"__turns{i}" for i in range(len(rules))], [f"__totals{i}" for i in range(len(rules))]
+    # in steps: what a lambda refers to must be a column, else it is computed anew for each element
+    found = [turns_of(r, F.col("__text")) if trigram_query(r) is None else F.when(F.array_contains("__kinds", r.kind), turns_of(r, F.col("__text"))) for r in rules]
+    step = joined.select(F.col(id_col), *[c.alias(t) for c, t in zip(found, turns)])
+    step = step.select("*", *[run_totals(F.col(t)).alias(n) for t, n in zip(turns, totals)])
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    parts = [F.coalesce(spans_of(r, F.col("__text")), none) for r in full]
-    parts += [F.coalesce(F.when(F.array_contains("__kinds", r.kind), spans_of(r, F.col("__text"))), none) for r in indexed]
-    return joined.select(F.col(id_col), F.array_sort(F.concat(*parts)).alias("spans"))
+    parts = [F.coalesce(spans_of(r, F.col(t), F.col(n)), none) for r, t, n in zip(rules, turns, totals)]
+    return step.select(F.col(id_col), F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
