@@ -36,9 +36,9 @@ from tillsight.llm.batches import bounded_batches
 
 #: Rows whose results one worker holds at a time.
 SLICE = 256
-#: Words and token pairs kept by one Python worker between rows.
-#: Twice as many pairs.  A few hundred bytes each; more words mean fewer to encode again.
-CACHE_WORDS = 400_000
+#: Words of usual size kept by one Python worker between rows, and twice as many token pairs; more words mean fewer to encode again.
+#: The room is counted in bytes, ``WORD_BYTES`` a word of usual size, so long words take the place of several.
+CACHE_WORDS, WORD_BYTES = 400_000, 512
 #: Unicode White_Space, which the tokenizer's pattern leaves out.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -52,25 +52,73 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def word_finders(tokenizer_json: str):
+    """(words of any text but such with newer letters, newer letters, words of those texts too, newer capitals' small letters).  The ``regex`` package knows
+    letters and numbers that are not assigned yet where Python's tables come from; whether they are to the library its own
+    pre-tokenizer says: a letter goes on with the word before it, and a number is none of the signs before it."""
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(tokenizer_json)
+    pieces, normal = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+    unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    spans: list[list[str]] = []
+    small: dict[int, str] = {}
+    for m in regex.finditer(r"(\p{L})|\p{N}", unassigned):
+        c = m.group()
+        known = len(pieces("a" + c)) == 1 if m.group(1) else len(pieces("!" + c)) == 2
+        if normal(c) != c:
+            small[ord(c)] = normal(c)
+        if known:
+            continue
+        if spans and ord(c) == ord(spans[-1][1]) + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    odd = "[" + "".join(f"{a}-{b}" for a, b in spans) + "]" if spans else r"(?!)"
+    strict = WORDS.replace(r"\p{L}+", rf"(?:(?!{odd})\p{{L}})+").replace(r"|\p{N}|", rf"|(?!{odd})\p{{N}}|")
+    strict = strict.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]+", rf"(?:{odd}|[^{SPACE}\p{{L}}\p{{N}}])+")
+    return regex.compile(WORDS).findall, regex.compile(odd).search, regex.compile(strict).findall, small
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Recent(dict):
-    """A bounded cache.  When it is full it starts anew, and what is asked for again is taken
-    over from the one before, so frequent keys stay."""
+    """A cache of bounded size: ``cost`` says how much of ``room`` an entry takes.  When it is full it starts anew, and what is
+    asked for again is taken over from the one before, so frequent keys stay.  An entry over a thousandth of the room is not kept."""
 
-    def __init__(self, make, room: int):
+    def __init__(self, make, room: int, cost):
         super().__init__()
-        self.make, self.room, self.before = make, room, {}
+        self.make, self.room, self.cost, self.used, self.before = make, room, cost, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.room:
-            self.before = dict(self)
-            self.clear()
         got = self.before.get(key)
         if got is None:
             got = self.make(key)
+        cost = self.cost(key, got)
+        if cost * 1000 > self.room:
+            return got
+        if self.used + cost > self.room:
+            self.before = dict(self)
+            self.clear()
+            self.used = 0
+        self.used += cost
         self[key] = got
         return got
 
 
+def word_cost(word: str, spelt: tuple[list[int], str]) -> int:
+    """Bytes of a kept word, about: texts, list and its numbers, and the table's entry."""
+    return 320 + 4 * len(word) + 40 * len(spelt[0]) + len(spelt[1])
+
+
 class PrefixEncoder:
     """Word -> ids.  Built once per Python worker from the tokenizer file's text."""
 
@@ -101,7 +149,7 @@ class PrefixEncoder:
         self.strings |= {i: t for t, i in self.special.items()}
         self.find_special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find_words = regex.compile(WORDS).findall
+        self.find_words, self.find_newer, self.find_strictly, self.small = word_finders(tokenizer_json)
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id_of.items():
             if self.merged(s) == [s]:  # a token that its own symbols don't merge to is never emitted
@@ -116,8 +164,8 @@ class PrefixEncoder:
                 self.pair_rank[i << 32 | j] = r
                 self.made.setdefault(self.id_of[a + b], (r, i, j))
         #: (token id << 32 | token id) -> compatible; word -> (its ids, their strings joined)
-        self.pairs = Recent(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), 2 * cache_words)
-        self.words = Recent(self.spelt, cache_words)
+        self.pairs = Recent(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), max(2 * cache_words, 1000), lambda pair, fits: 1)
+        self.words = Recent(self.spelt, WORD_BYTES * cache_words, word_cost)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, lowest rank first, leftmost first; for pairs and single tokens only."""
@@ -179,7 +227,13 @@ class PrefixEncoder:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # lower-casing is by character: a capital sigma has no word-final form
-        return list(map(self.words.__getitem__, self.find_words(text.replace("Σ", "σ").lower())))
+        low = text.replace("Σ", "σ").lower()
+        if is_latin(low):
+            return list(map(self.words.__getitem__, self.find_words(low)))
+        if self.small:
+            low = low.translate(self.small)
+        find = self.find_strictly if self.find_newer(low) else self.find_words
+        return list(map(self.words.__getitem__, find(low)))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         if self.find_special is None or not any(s in text for s in self.special):
