@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from tillsight.llm import pii
 
@@ -43,5 +46,28 @@ def test_added_kinds_and_redaction():
     text = "see https://a.b/c?x=1. IBAN: DE89370400440532013000 or account no: 12345678, mailto:jo@x.org"
     assert {k for k, _, _ in of(text)} == {"url", "account", "mail", "email"}
     assert not any(k == "account" for k, _, _ in of("iban DE00370400440532013000"))  # the checksum fails
-    assert pii.redact_text(text, of(text)) == "see [URL]. IBAN: [ACCOUNT] or account no: [ACCOUNT], [MAIL]"
+    assert pii.redact_text(text, of(text)) == "see https://a.b/c?x=1. IBAN: [ACCOUNT] or account no: [ACCOUNT], [MAIL]"
     assert pii.redact_text("a@b.co", of("a@b.co")) == "[EMAIL]" and pii.redact_text(None, []) is None
+    login = "at ftp://me:pw@host.org/x now"
+    assert pii.redact_text(login, of(login)) == "at [URL] now"
+
+
+def test_mail_spans_do_not_overlap():
+    of = pii.Anchors()
+    assert [s for s in of("mailto:mailto:a@b.de and mailto:x mailto:@y mailto:z@ MAILTO:c@d") if s[0] == "mail"] == [("mail", 0, 20), ("mail", 54, 64)]
+
+
+@pytest.mark.parametrize("piece", ["mailto:", "xhttp://", "http://", "iban ", "account no ", "a@", "@", "1.", "1.1.1", "+1", "+1 (", "1 ", "+", "iban:", "a.b"])
+def test_time_grows_with_the_text(piece):
+    of = pii.Anchors()
+
+    def seconds(text):
+        best = 9.0
+        for _ in range(2):
+            began = time.process_time()
+            of(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(piece * 80_000) < 12 * seconds(piece * 20_000) + 0.3
+    assert seconds("iban" + " " * 200_000) < 0.5 and seconds("iban" + " " * 100_000 + ":" + " " * 100_000) < 0.5

@@ -13,8 +13,8 @@ quotes or brackets; user data in front of a host stays inside), ``mail`` (``mail
 them; an IBAN must pass its checksum).  Spans are in code points, end exclusive.
 
 Defined cases: null text has no spans; texts are read whole.  Spans of different kinds
-may overlap, as each kind is on its own; ``redact`` replaces the union of overlapping spans once, under
-the kind that starts first (then the longer one).  Rows are independent, so repeated
+may overlap, as each kind is on its own; redaction replaces the union of overlapping spans once, under
+the kind that starts first (then the longer one), and leaves a ``url`` without user data (an at-sign) as it is.  Rows are independent, so repeated
 rows repeat their result; other columns are not touched.
 """
 
@@ -45,8 +45,8 @@ QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[a-z]+://[^\s\"'<>()\[\]{}]+", re.I)
-MAIL = re.compile(r"mailto:[^\s\"'<>()\[\]{}?]+@[^\s\"'<>()\[\]{}?]+", re.I)
-ACCOUNT = re.compile(r"(?:[ ](?:no\.?|number|nr\.?))?[ ]*[:#=]?[ ]*([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+ADDRESSES = re.compile(r"[^\s\"'<>()\[\]{}?]*+")
+ACCOUNT = re.compile(r"(?:[ ](?:no\.?|number|nr\.?))?[ ]*+(?:[:#=][ ]*+)?([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -81,7 +81,7 @@ class Anchors:
         if not text:
             return []
         out: list[tuple[str, int, int]] = []
-        email_end = phone_end = chain_end = quad_end = url_end = 0
+        email_end = phone_end = chain_end = quad_end = url_end = mail_end = 0
         for at, (what, n) in self.automaton.iter(text):
             if what == "0":
                 if at >= chain_end:
@@ -117,15 +117,16 @@ class Anchors:
                         out.append(("phone", at, phone_end))
             elif what == "url":
                 start = at + 1 - n
-                m = URL.match(text, start) if start >= url_end else None
-                if m and (start == 0 or not text[start - 1].isalnum()):
+                m = URL.match(text, start) if start >= url_end and (start == 0 or not text[start - 1].isalnum()) else None
+                if m:
                     url_end = start + len(m.group().rstrip(".,;:!?"))
                     if url_end > at + 1:
                         out.append(("url", start, url_end))
             elif what == "mail":
-                m = MAIL.match(text, at + 1 - n)
-                if m:
-                    out.append(("mail", at + 1 - n, m.end()))
+                if at + 1 - n >= mail_end:  # what follows is read once, whether an address is in it or not
+                    mail_end = ADDRESSES.match(text, at + 1).end()
+                    if text.find("@", at + 2, mail_end - 1) > 0:
+                        out.append(("mail", at + 1 - n, mail_end))
             else:
                 start = at + 1 - n
                 if (start == 0 or not text[start - 1].isalnum()) and (m := ACCOUNT.match(text, at + 1)):
@@ -164,6 +165,7 @@ def redacted_column(text: Column) -> Column:
 
 
 def redact_text(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    spans = [s for s in spans if s[0] != "url" or "@" in text[s[1] : s[2]]]
     if not spans:
         return text
     out, done, end = [], 0, -1
