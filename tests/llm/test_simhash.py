@@ -77,3 +77,11 @@ def test_long_chain_is_one_component(spark):
         prints.append(f)
     rows = simhash.groups(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
     assert {r.root for r in rows} == {0} and len(rows) == 61
+
+
+def test_survivors_keep_the_values_of_all_columns(spark):
+    schema = "doc_id long, text string, __text string, __id long, __fp double, __no_id string, __order array<int>, fp string, carried int, root string, best int"
+    rows = [(i, f"some words of text number {i // 2}", f"t{i}", 70 + i, i / 2, None, [i], "fp", i, "r", None) for i in range(6)]
+    kept = simhash.survivors(spark.createDataFrame(rows, schema))
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] % 2 == 0)

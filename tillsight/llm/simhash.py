@@ -139,17 +139,17 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hash of the text); null ids come last, and of rows alike in id and text one stays.
     The columns stay as they are."""
     checkpoint_dir(docs.sparkSession)
-    key = ["__no_id", "__id", "__fp", "__text"]  # none is null, so the join keeps the rows where dropDuplicates needs them
-    marked = docs.withColumns({
-        "__no_id": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__order": F.col(id_col),
-        "__fp": fingerprint_column(F.col(text_col), shingle), "__text": F.xxhash64(text_col)})
-    best = marked.groupBy("__fp").agg(F.min(F.struct("__no_id", "__order", "__id", "__fp", "__text")).alias("best"))
-    best = best.select(F.col("__fp").alias("fp"), "best").checkpoint()
+    key = ["no_id", "id", "fp", "text"]  # none is null, so the join keeps the rows where dropDuplicates needs them
+    marked = docs.select(  # the rows' own columns are carried as one, so their names can't clash
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"), F.col(id_col).isNull().alias("no_id"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(id_col).alias("order"),
+        fingerprint_column(F.col(text_col), shingle).alias("fp"), F.xxhash64(text_col).alias("text"))
+    best = marked.groupBy(F.col("fp").alias("print")).agg(F.min(F.struct("no_id", "order", "id", "fp", "text")).alias("best"))
+    best = best.select(F.col("print").alias("fp"), "best").checkpoint()
     rooted = groups(best.select("fp"), max_distance)
-    kept = rooted.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*").select(*[F.col(k).alias(f"kept{k}") for k in key])
-    one = [marked[k] == kept[f"kept{k}"] for k in key]
-    rows = marked.join(kept, one[0] & one[1] & one[2] & one[3], "left_semi").dropDuplicates(key)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*").select(*[F.col(k).alias(f"kept_{k}") for k in key])
+    one = [marked[k] == kept[f"kept_{k}"] for k in key]
+    return marked.join(kept, one[0] & one[1] & one[2] & one[3], "left_semi").dropDuplicates(key).select("carried.*")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
