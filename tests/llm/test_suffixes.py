@@ -100,3 +100,14 @@ def test_all_codes_dealt(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 0)
     rows = spliced(7)
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_rows_that_repeat_are_dealt_out(spark, monkeypatch):
+    """Rows alike in id and text fill no single chunk: each input partition's go to one of their own."""
+    text = "the same long text again and again, with a passage of more than fifty bytes in it. " * 3
+    rows = [(7, text)] * 400 + [(None, text)] * 40 + [(1, "something else before " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 4_000)
+    got = suffixes.digests(suffixes.remove_repeats(docs)).collect()
+    assert len(got) == len(rows) and {r.n_removed for r in got if r.doc_id == 7} == {len(text)}
+    assert [(r.n_bytes, r.n_removed) for r in got if r.doc_id == 1] == [(len(rows[-1][1]), 0)]

@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: id, ``n_words``, ``spans`` of removed words and the ``kept`` text."""
     text, size = F.col(text_col), docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     chunks, buckets = size // CHUNK_BYTES + 1, size // BUCKET_BYTES + 1
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text, F.spark_partition_id()), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), text.alias("text"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def opened(chunk: pa.Table) -> Graph:

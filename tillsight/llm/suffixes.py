@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     chunks, buckets, hot = size // CHUNK_BYTES + 1, size // BUCKET_BYTES + 1, HOT
     text = F.col(text_col)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text, F.spark_partition_id()), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
     def opened(part: pa.Table) -> Chunk:
         return Chunk(part, length, gram, buckets)
