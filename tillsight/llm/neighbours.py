@@ -47,7 +47,7 @@ TARGET = 0.96
 ROWS_A_SQUARE = 100
 MOST_PARTS = 256
 #: Rows and queries compared in one task at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 2_048
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 8_192
 K = 20
 
 
@@ -191,6 +191,7 @@ def best_in_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
     x, ids = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy(np.int64)
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))  # an id may repeat
     q, own = np.stack(queries["v"].to_numpy()), queries["id"].to_numpy(np.int64)
+    longest = np.linalg.norm(x, axis=1).max()
     out = []
     for at in range(0, len(q), 128):
         part, mine = q[at : at + 128], own[at : at + 128]
@@ -200,7 +201,7 @@ def best_in_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
         best = s if len(starts) == len(ids) else np.maximum.reduceat(s, starts, axis=1)
         cut = len(starts) - k
         least = np.partition(best, cut, axis=1)[:, cut] if cut > 0 else np.full(len(part), -np.inf)
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        slack = x.shape[1] * 1e-15 * np.linalg.norm(part, axis=1) * longest  # a bound of both sums' rounding
         i, j = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
         exact = np.zeros(len(i))
         for d in range(x.shape[1]):
