@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 #: Bits of a table: so many for each entry, between the least and the most (16 MB).
 BITS_AN_ENTRY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Words that one Python worker keeps; past it the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Words of documents that are looked at in one go; a longer text is looked at whole.
 CHUNK_WORDS = 100_000
 # What counts as a unit or a number word.
@@ -101,9 +101,6 @@ class BitTable:
         hit = np.flatnonzero(self._at(hashes & self.mask))
         return hit[self._at((hashes[hit] >> np.uint64(32)) & self.mask) > 0]
 
-    def __contains__(self, h: int) -> bool:
-        return all(self.bytes[p >> 3] >> (p & 7) & 1 for p in (h & int(self.mask), (h >> 32) & int(self.mask)))
-
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
     """The table of ``hashes`` (h long), put together by Spark; the driver gets its words, ``MOST_BITS`` / 64 of them at most."""
@@ -120,7 +117,8 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 
 
 class Words(dict):
-    """Word -> its number; by number: core, hash, kind, whether it ends a sentence, and what the benchmark's tables say of it."""
+    """Word -> its number; by number: core, hash, kind, whether it ends a sentence, and what the benchmark's tables say of it.
+    ``settle`` writes what has come since the last time into the arrays."""
 
     def __init__(self, room: int, literals=None, exacts=None):
         from xxhash import xxh64_intdigest
@@ -128,6 +126,7 @@ class Words(dict):
         super().__init__()
         self.digest, self.literals, self.exacts = xxh64_intdigest, literals, exacts
         self.cores: list[str] = []
+        self.new: list[tuple[int, int, bool]] = []
         self.hash, self.kind, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool)
         self.literal, self.exact = np.ones(room, bool), np.ones(room, bool)
 
@@ -135,15 +134,21 @@ class Words(dict):
         i = self[word] = len(self.cores)
         low, kind = core(word)
         self.cores.append(low)
-        h = self.hash[i] = self.digest(low)
-        if kind:
-            self.kind[i] = kind
-        if word[-1] in ".!?:":
-            self.ends[i] = True
-        if self.literals is not None:
-            self.literal[i], self.exact[i] = int(h) in self.literals, int(h) in self.exacts
+        self.new.append((self.digest(low), kind, word[-1] in ".!?:"))
         return i
 
+    def settle(self) -> None:
+        if not self.new:
+            return
+        at = slice(len(self.cores) - len(self.new), len(self.cores))
+        hashes, self.kind[at], self.ends[at] = zip(*self.new)
+        self.hash[at] = np.array(hashes, np.uint64)
+        self.new.clear()
+        if self.literals is not None:
+            for flags, table in ((self.literal, self.literals), (self.exact, self.exacts)):
+                flags[at] = False
+                flags[at][table(self.hash[at])] = True
+
 
 class Templates:
     """Texts -> windows.  Keeps the words it has seen.
@@ -154,15 +159,16 @@ class Templates:
 
     def __init__(self, window: int, exact: tuple[int, ...] = (), hashes=None, literals=None, exacts=None):
         self.window, self.exact, self.hashes, self.tables = window, exact, hashes, (literals, exacts)
-        self.known = Words(CACHE_WORDS, *self.tables)
+        self.known = Words(CACHE_WORDS + CHUNK_WORDS, *self.tables)
 
     def tokens(self, words: list[str], starts: np.ndarray):
         """Of each word: its number, kind, whether it begins a sentence with a capital, whether it goes on with a run, and
         where its run ends.  ``starts``: where texts begin."""
-        if len(self.known) + len(words) > len(self.known.hash):
-            self.known = Words(max(CACHE_WORDS, 2 * len(words)), *self.tables)
+        if len(self.known) > CACHE_WORDS or len(self.known) + len(words) > len(self.known.hash):
+            self.known = Words(CACHE_WORDS + max(CHUNK_WORDS, len(words)), *self.tables)
         known = self.known
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        known.settle()
         kind = known.kind[ids]
         first = np.empty(len(words), bool)
         first[1:] = known.ends[ids[:-1]]
