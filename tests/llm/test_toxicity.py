@@ -50,3 +50,33 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     none = toxicity.toxicity_scores(odd, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.toxicity_scores(empty, labels).count() == 0
+
+
+def test_fit_equals_plain_ftrl():
+    """Coordinate by coordinate, from the update rule, in dictionaries."""
+    rng = random.Random(9)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 8))), np.int32), int(rng.random() < 0.3)) for _ in range(300)]
+    rows = [(np.unique(np.append(x, 3)).astype(np.int32) if y and rng.random() < 0.8 else x, y) for x, y in rows]
+    positive = sum(y for _, y in rows)
+    gain = (len(rows) / 2 / (len(rows) - positive), len(rows) / 2 / positive)
+    z, g2, bias = {}, {}, "bias"
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= toxicity.L1:
+            return 0.0
+        return -(zi - (1 if zi > 0 else -1) * toxicity.L1) / ((toxicity.BETA + g2.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            at = [*x.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * gain[y]
+            for i in at:
+                old = g2.get(i, 0.0)
+                g2[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (g2[i] ** 0.5 - old**0.5) / toxicity.ALPHA * w[i]
+    got_bias, at, weights = toxicity.fit(rows, bits=6)
+    want = {i: weight(i) for i in z if i != bias and weight(i)}
+    assert len(want) > 1 and sorted(at.tolist()) == sorted(want)
+    assert np.allclose(weights, [want[i] for i in at.tolist()], rtol=1e-9) and abs(got_bias - weight(bias)) < 1e-9

@@ -67,6 +67,8 @@ NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*%?")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 LITERAL, NUM, UNIT, NAME = range(4)
+SPECIAL = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
+ENDS = 8
 MARKS = np.array([0, 0x4E554D, 0x554E4954, 0x4E414D45], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 SHOWN = ("", "<num>", "<unit>", "<name>")
 FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
@@ -81,11 +83,7 @@ def core(word: str) -> tuple[str, int]:
             return m.group(), NUM
         bare = EDGES.sub("", word) or word
     low = bare.lower()
-    if low in NUMBER_WORDS:
-        return low, NUM
-    if low in UNITS:
-        return low, UNIT
-    return low, NAME if bare[0].isupper() else LITERAL
+    return low, SPECIAL.get(low) or (NAME if bare[0].isupper() else LITERAL)
 
 
 class BitTable:
@@ -126,23 +124,29 @@ class Words(dict):
         super().__init__()
         self.digest, self.literals, self.exacts = xxh64_intdigest, literals, exacts
         self.cores: list[str] = []
-        self.new: list[tuple[int, int, bool]] = []
+        self.new: list[int] = []  # kinds, with a bit for the end of a sentence
         self.hash, self.kind, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool)
         self.literal, self.exact = np.ones(room, bool), np.ones(room, bool)
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self.cores)
-        low, kind = core(word)
+        if word.isalpha():  # most words are
+            low = word.lower()
+            kind = SPECIAL.get(low) or (NAME if word[0].isupper() else LITERAL)
+            self.new.append(kind)
+        else:
+            low, kind = core(word)
+            self.new.append(kind | ENDS if word[-1] in ".!?:" else kind)
         self.cores.append(low)
-        self.new.append((self.digest(low), kind, word[-1] in ".!?:"))
         return i
 
     def settle(self) -> None:
         if not self.new:
             return
         at = slice(len(self.cores) - len(self.new), len(self.cores))
-        hashes, self.kind[at], self.ends[at] = zip(*self.new)
-        self.hash[at] = np.array(hashes, np.uint64)
+        new = np.array(self.new, np.int8)
+        self.kind[at], self.ends[at] = new & ~ENDS, new & ENDS > 0
+        self.hash[at] = np.fromiter(map(self.digest, self.cores[at]), np.uint64, len(new))
         self.new.clear()
         if self.literals is not None:
             for flags, table in ((self.literal, self.literals), (self.exact, self.exacts)):
