@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tillsight.operators import aggregate as agg
 from tillsight.operators import insights as ins
 from tillsight.operators import labels as lab
+from tillsight.operators import ranking
 from tillsight.operators.ranking import rank_all
 from tillsight.sources.tables import sales_view
 
@@ -110,3 +111,20 @@ def test_keyless_monthly_trend(sales):
         best = sorted((r for r in mc if r["month"] == m), key=lambda r: (-r["quantity"], r["category"]))[0]
         want.append((i + 1, m, best["category"]))
     assert [(r[0], r[1], r[2]) for r in got] == want
+
+
+def test_ranks_inside_a_huge_group_are_the_windows(spark, monkeypatch):
+    """Groups over the bound are ranked range by range, in many tasks, as one window would."""
+    rows = spark.range(0, 20_000, numPartitions=6).select(
+        F.when(F.col("id") % 10 < 8, F.lit("big")).when(F.col("id") % 10 == 8, F.lit("small")).alias("g"), (F.hash("id") % 50).alias("q"),
+        F.concat(F.lit("item "), F.col("id").cast("string")).alias("name"))
+    order = [F.col("q").desc(), F.col("name")]
+    plain = {tuple(r) for r in ranking.rank_all(rows, ["g"], order).collect()}
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 5_000)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ranking.rank_all(rows, ["g"], order)
+        assert ranked.columns == ["g", "q", "name", "rank"] and {tuple(r) for r in ranked.collect()} == plain and len(plain) == 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

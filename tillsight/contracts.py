@@ -14,10 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QTY_TYPE = "decimal(18,4)"
-MONEY_TYPE = "decimal(18,4)"
-PRICE_TYPE = "decimal(18,6)"
-
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -30,35 +30,48 @@ def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+#: Rows up to which a group is ranked by one window task.
+GROUP_ROWS = 2_000_000
+
+
 def rank_all(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
              rank_col: str = "rank") -> DataFrame:
     """Rank every row of its group (W4 over full lists).
 
-    Work per window partition is bounded by the number of distinct keys of the
-    group (items of one store), not by sales rows.
+    The rows are written once, so their number is known from the files.  Only a table of more than ``GROUP_ROWS`` rows can
+    have a group of as many; then the groups are counted, and the large ones ranked over ranges of their order, in many tasks.
     """
     group_cols = list(group_cols)
     if not group_cols:
         # global order: range-partitioned sort, then a per-partition offset
-        return _global_rank(df, order, rank_col)
-    w = Window.partitionBy(*group_cols).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w))
+        return _range_rank(df, [], order, rank_col)
+    number = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order))
+    df = stored(df, "rank-rows")
+    if df.count() <= GROUP_ROWS:
+        return df.withColumn(rank_col, number)
+    large = stored(df.groupBy(*group_cols).count().filter(F.col("count") > GROUP_ROWS).select(*group_cols), "large-groups")
+    others = df.join(large, group_cols, "left_anti").withColumn(rank_col, number)
+    return others.unionByName(_range_rank(df.join(large, group_cols, "left_semi"), group_cols, order, rank_col))
 
 
-def _global_rank(df: DataFrame, order: Sequence[Column], rank_col: str) -> DataFrame:
-    """Row numbers over the whole table without pulling it into one partition.
+def _range_rank(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], rank_col: str) -> DataFrame:
+    """Row numbers over the whole table, or over each group, without pulling one into one partition.
 
-    The table is range-partitioned, numbered within each range and written once
-    with its range number, so both branches below see the same ranges.  A count per range, one
+    The table is range-partitioned by group and order, numbered within each range and written once
+    with its range number, so both branches below see the same ranges.  A count per range and group, one
     row each, gives the offsets."""
-    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    local = stored(local, "global-rank")
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (local.join(offsets, "_pid").withColumn(rank_col, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_local", "_off"))
+    ranged = df.repartitionByRange(*[F.col(c) for c in group_cols], *order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
+    local = stored(local, "range-rank")
+    counts = local.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    before = ranges.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of a group
+    offsets = counts.select(F.col("_pid").alias("_range"), *[F.col(c).alias(f"_of_{c}") for c in group_cols], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_pid") == F.col("_range")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rank = F.col("_off") + F.col("_local")
+    return local.join(offsets, same).select(*df.columns, (rank.cast("int") if group_cols else rank).alias(rank_col))
 
 
 def with_group_max(df: DataFrame, group_cols: Sequence[str], measures: dict[str, str]) -> DataFrame:
