@@ -206,3 +206,14 @@ def test_rows_of_a_group_meet_before_they_are_expanded(spark):
     rows = spark.range(8).selectExpr("id % 2 AS store_id", "id")
     assert "RebalancePartitions" in together(rows, STORE)._jdf.queryExecution().optimizedPlan().toString()
     assert _rows(together(rows, STORE)) == _rows(rows) and together(rows, []) is rows
+
+
+def test_a_part_of_the_sums_is_a_folder_of_its_own(spark):
+    """The size of the totals used to be taken for that of all sums, and all sales were shuffled to meet them."""
+    from tillsight.operators.shared import ITEM, TOTAL, part_of, shared_sums
+    s = sales_view(spark, SF)
+    sums = shared_sums(s, STORE)
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(part_of(sums, TOTAL)) < size(part_of(sums, ITEM))
+    assert part_of(sums, TOTAL).count() == s.select(*STORE).distinct().count()
+    assert part_of(shared_sums(s.limit(0), STORE), TOTAL).count() == 0  # no row, no folder
